@@ -168,6 +168,11 @@ def minhash_components(docs: DataFrame) -> DataFrame:
     smallest id and isn't kept; a group with no id at all has a null component. Only doc_id and text are
     read; an empty table gives an empty result.
     """
+    return grouped(docs).drop("text_hash")
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """The same with text_hash, which with doc_id tells rows apart."""
     scratch = Scratch(docs.sparkSession, "minhash")
     slim = scratch.keep(signed(docs), "signed")
     nodes = slim.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.max(F.struct("doc_id", "text_hash")).alias("pick"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
@@ -196,9 +201,22 @@ def minhash_components(docs: DataFrame) -> DataFrame:
     named = nodes.select("fp", "least_id").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of = scratch.keep(named.join(ids, "root").select("fp", "component_id"), "of")
-    out = slim.select("doc_id", "n_shingles", "fp").join(of, "fp", "left")
+    out = slim.select("doc_id", "text_hash", "n_shingles", "fp").join(of, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group; rows without words all stay. Columns as in ``docs``.
+
+    Rows that repeat that document's id and text stay with it. A group with no id at all stays whole.
+    """
+    found = grouped(docs)
+    gone = found.filter(~F.col("kept") & F.col("component_id").isNotNull()).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    gone = Scratch(docs.sparkSession, "keep-one").keep(gone, "gone")
+    few = gone.count() <= BROADCAST_ROWS
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_hash"])
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,25 @@
 """The queries of this subpackage, and SQL for those that SQL can express on whole tables."""
 
+from .ann import op8_nearest
+from .embdedup import op3_embedding_dedup
+from .langid import op5_langid
 from .linededup import op2_line_dedup
 from .minhash import op1_minhash
 from .mixing import op9_mixing
 from .packing import op10_packing
+from .pii import op6_pii
+from .secretscan import op7_secrets
+from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_line_dedup": op2_line_dedup,
+    "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_toxicity": op4_toxicity,
+    "op5_langid": op5_langid,
+    "op6_pii": op6_pii,
+    "op7_secrets": op7_secrets,
+    "op8_nearest": op8_nearest,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
 }

@@ -63,3 +63,11 @@ def test_signature_agreement_estimates_similarity():
     b = m.shingle_set(" ".join(f"a{i}" for i in range(250, 1000)))
     got = (m.signatures([a], 400, 1) == m.signatures([b], 400, 1)).mean()
     assert abs(got - len(np.intersect1d(a, b)) / len(np.union1d(a, b))) < 0.08
+
+
+def test_one_of_each_group_stays(spark):
+    df = frame(spark)
+    out = m.keep_one(df)
+    assert out.columns == df.columns
+    kept = sorted((str(r.doc_id), r.kept) for r in m.minhash_components(df).filter("kept or doc_id is null and n_shingles = 0").collect())
+    assert sorted(str(r.doc_id) for r in out.collect()) == [d for d, _ in kept]
