@@ -1,0 +1,53 @@
+"""The generic tables as trace frames, in Spark and as the SQL that the checks use.
+
+spans: an event is a span of its user's trace; turns: a conversation's rows; predictions: a rule's verdict
+on a labelled document; edges: customers and suppliers that an order links.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+#: The day that stands for "now".
+NOW = "2024-02-01"
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "purchase", "llm").when(F.col("event_type") == "signup", "agent").otherwise("tool")
+    status = F.when(F.col("event_type") == "error", "error").otherwise("ok")
+    k = F.regexp_extract("props", '"k": ([0-9]+)', 1).try_cast("int")
+    return e.select(F.col("user_id").alias("trace_id"), F.col("event_id").alias("span_id"), F.col("event_type").alias("name"), kind.alias("kind"), status.alias("status"), F.col("ts").alias("start_time"), "value", k.alias("k"))
+
+
+IN_ORDER = ("start_time", "span_id")
+
+
+def order(*more: str) -> W:
+    return W.partitionBy("trace_id", *more).orderBy(*IN_ORDER)
+
+
+SPANS = """spans AS (SELECT user_id AS trace_id, event_id AS span_id, event_type AS name,
+  CASE event_type WHEN 'purchase' THEN 'llm' WHEN 'signup' THEN 'agent' ELSE 'tool' END AS kind,
+  CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, ts AS start_time, value,
+  TRY_CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS INTEGER) AS k FROM events)"""
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_id, mode, detected, confidence, truth): a length rule against the quality label."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("n"))
+    labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
+    return d.join(labels, "doc_id").select(F.col("doc_id").alias("record_id"), F.col("source").alias("mode"), (F.col("n") > 1000).alias("detected"), F.least(F.lit(1.0), F.col("n") / 4000.0).alias("confidence"), (F.col("quality") == 1).alias("truth"))
+
+
+PREDICTIONS = """predictions AS (SELECT d.doc_id AS record_id, source AS mode, length(text) > 1000 AS detected,
+  least(1.0, CAST(length(text) AS DOUBLE) / 4000.0) AS confidence, quality = 1 AS truth
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

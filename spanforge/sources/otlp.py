@@ -1,0 +1,51 @@
+"""OpenTelemetry JSON into spans: nested batches are flattened and typed attribute values unwrapped."""
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_VALUE = "struct<stringValue:string,intValue:string,boolValue:boolean,doubleValue:double>"
+_KV = f"array<struct<key:string,value:{_VALUE}>>"
+_SPAN = f"struct<traceId:string,spanId:string,parentSpanId:string,name:string,kind:int,startTimeUnixNano:string,endTimeUnixNano:string,attributes:{_KV},status:struct<code:int,message:string>>"
+SCHEMA = f"resourceSpans array<struct<resource:struct<attributes:{_KV}>,scopeSpans:array<struct<spans:array<{_SPAN}>>>>>"
+
+
+def attributes(pairs: Column) -> Column:
+    """A map of key to text; of repeated keys the last stays."""
+    text = lambda v: F.coalesce(v["stringValue"], v["intValue"], v["boolValue"].cast("string"), v["doubleValue"].cast("string"))
+    known = F.filter(F.coalesce(pairs, F.array().cast(_KV)), lambda x: x["key"].isNotNull())
+    return F.aggregate(known, F.create_map().cast("map<string,string>"), lambda acc, x: F.map_concat(F.map_filter(acc, lambda k, _: k != x["key"]), F.create_map(x["key"], text(x["value"]))))
+
+
+def kind_of(name: Column, attrs: Column) -> Column:
+    """A span's kind by its attributes, else by words of its name."""
+    n = F.lower(F.coalesce(name, F.lit("")))
+    has = lambda k: F.coalesce(F.map_contains_key(attrs, F.lit(k)), F.lit(False))
+    return F.when(has("gen_ai.tool.name") | n.contains("tool"), "tool").when(has("gen_ai.request.model") | n.rlike("llm|chat|completion"), "llm").when(has("gen_ai.agent.name") | n.contains("agent"), "agent").when(n.rlike("retriev|search"), "retrieval").otherwise("task")
+
+
+def flatten(batches: DataFrame) -> DataFrame:
+    """Spans of parsed batches. A span without a trace id belongs to the trace "unknown"; microseconds are kept of times."""
+    each = batches.select(F.explode("resourceSpans").alias("r")).select(F.explode("r.scopeSpans").alias("s")).select(F.explode("s.spans").alias("x"))
+    micros = lambda c: F.timestamp_micros(F.expr(f"try_cast({c} as bigint) div 1000"))
+    flat = each.select(F.coalesce("x.traceId", F.lit("unknown")).alias("trace_id"), F.col("x.spanId").alias("span_id"), F.col("x.parentSpanId").alias("parent_id"), F.col("x.name").alias("name"), micros("x.startTimeUnixNano").alias("start_time"), micros("x.endTimeUnixNano").alias("end_time"), F.when(F.col("x.status.code") == 2, "error").otherwise("ok").alias("status"), F.col("x.status.message").alias("error_message"), attributes(F.col("x.attributes")).alias("attributes"))
+    return flat.withColumn("kind", kind_of(F.col("name"), F.col("attributes"))).withColumn("duration_ms", (F.unix_micros("end_time") - F.unix_micros("start_time")) / 1000)
+
+
+def read_otlp(spark: SparkSession, path: str) -> DataFrame:
+    """Spans of JSON files, one batch a line; lines that don't parse are left out."""
+    return flatten(spark.read.schema(SCHEMA).option("mode", "DROPMALFORMED").json(path))
+
+
+def with_tokens(spans: DataFrame) -> DataFrame:
+    """tokens: the total if given, else input plus output, else 0; seq: place in the trace from 0."""
+    from pyspark.sql import Window as W
+
+    n = lambda k: F.col("attributes")[k].try_cast("long")
+    total = F.coalesce(n("gen_ai.usage.total_tokens"), n("gen_ai.usage.input_tokens") + n("gen_ai.usage.output_tokens"), F.lit(0))
+    return spans.withColumn("tokens", total).withColumn("seq", F.row_number().over(W.partitionBy("trace_id").orderBy("start_time", "span_id")) - 1)
+
+
+def without_content(spans: DataFrame, keys: tuple[str, ...] = ("prompt", "completion", "input", "output", "content", "message")) -> DataFrame:
+    """Attributes whose last part names content are dropped; structure stays."""
+    last = lambda k: F.element_at(F.split(k, r"\."), -1)
+    return spans.withColumn("attributes", F.map_filter("attributes", lambda k, _: ~last(k).isin(*keys)))
