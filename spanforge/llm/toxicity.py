@@ -1,7 +1,8 @@
 """Toxicity (4): nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
 Terms are those whose document counts differ most between the labels, counted over all labelled training
-texts; their document frequencies are counted over all documents. A bounded sample of examples is indexed:
+texts. A text's number of toxic terms, and their density, reach certain levels; each level is a term as well.
+Document frequencies of all these are counted over all documents. A bounded sample of examples is indexed:
 for each term and block of examples the index knows the largest weight, so that whole blocks whose bound
 stays below the k-th neighbour are passed over without changing the result. Neighbours vote with their
 cosines; the vote is calibrated on the examples themselves, each left out of its own neighbours.
@@ -18,6 +19,8 @@ from ._util import BROADCAST_ROWS, Scratch, columns_once, table
 
 #: Terms kept at most, and the likelihood ratio that a term has to reach.
 TERMS, RATIO = 4096, 15.0
+#: Levels that the number of toxic terms' occurrences, and their number in a thousand words, reach.
+HITS, DENSITY = (1, 2, 3, 4, 6, 9), (1, 2, 4, 8, 16, 32)
 #: Labelled examples of each label that are indexed at most, and that calibrate.
 EXAMPLES, CALIBRATE = 6000, 2000
 NEIGHBOURS = 25
@@ -32,6 +35,26 @@ def terms_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(_SPACE).split()
 
 
+class Vocabulary:
+    """Terms by number; after them the levels."""
+
+    def __init__(self, terms: list[bytes], toxic: list[bool]):
+        self.at = {t: i for i, t in enumerate(terms)}
+        self.toxic = toxic
+        self.size = len(terms) + len(HITS) + len(DENSITY)
+
+    def counts(self, text: str | None) -> list[tuple[int, int]]:
+        """(number, occurrences) of a text's terms and levels, in order; none if it has no term."""
+        words = terms_of(text)
+        found = Counter(self.at[w] for w in words if w in self.at)
+        hits = sum(n for i, n in found.items() if self.toxic[i])
+        if hits:
+            first = len(self.at)
+            found.update({first + k: 1 for k, least in enumerate(HITS) if hits >= least})
+            found.update({first + len(HITS) + k: 1 for k, least in enumerate(DENSITY) if 1000 * hits >= least * len(words)})
+        return sorted(found.items())
+
+
 class BlockMax:
     """Examples' unit vectors as postings by term and block."""
 
@@ -85,11 +108,11 @@ class BlockMax:
 class Scorer:
     """Vocabulary, weights, index and calibration; small enough to send to every task."""
 
-    def __init__(self, terms: list[bytes], idf: np.ndarray, rows: list[tuple], rest: dict, k: int = NEIGHBOURS):
+    def __init__(self, words: Vocabulary, idf: np.ndarray, rows: list[tuple], rest: dict, k: int = NEIGHBOURS):
         """rows: (doc_id, toxic, terms, counts) of the sample; rest: labelled training texts by (label, has terms)."""
-        self.at, self.idf, self.k = {t: i for i, t in enumerate(terms)}, idf, k
+        self.words, self.idf, self.k = words, idf, k
         vectors = [self.weigh(np.array(t), np.array(n, float)) for _, _, t, n in rows]
-        self.index = BlockMax(vectors, np.array([r[1] for r in rows], int), [r[0] for r in rows], len(terms)) if rows else None
+        self.index = BlockMax(vectors, np.array([r[1] for r in rows], int), [r[0] for r in rows], words.size) if rows else None
         n = {key: rest.get(key, 0) for key in ((0, False), (1, False), (0, True), (1, True))}
         self.blank = (n[1, False] + 0.5 * self._rate(n)) / (n[0, False] + n[1, False] + 1)
         self.fit = (0.0, float(np.log(max(1e-6, self.blank) / max(1e-6, 1 - self.blank))))
@@ -105,10 +128,6 @@ class Scorer:
         w = (1 + np.log(counts)) * self.idf[terms]
         return terms, w / np.sqrt((w**2).sum())
 
-    def vector(self, text: str | None) -> tuple:
-        counts = Counter(t for t in terms_of(text) if t in self.at)
-        return tuple(sorted((self.at[t], n) for t, n in counts.items()))
-
     def _vote(self, terms: np.ndarray, weights: np.ndarray, but: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         ids, near = self.index.nearest(terms, weights, self.k, but)
         yes = float(near[self.index.labels[ids] == 1].sum())
@@ -137,7 +156,7 @@ class Scorer:
 
     def score(self, text: str | None) -> tuple[float, list, list]:
         """(score, evidence's doc_ids, their cosines)."""
-        v = self.vector(text)
+        v = tuple(self.words.counts(text))
         if not v or self.index is None:
             return self.blank, [], []
         if v not in self.known:
@@ -193,28 +212,27 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     one = xlogx(n1, n1 / a1) + xlogx(a1 - n1, (a1 - n1) / a1) + xlogx(n0, n0 / a0) + xlogx(a0 - n0, (a0 - n0) / a0)
     both = xlogx(n1 + n0, (n1 + n0) / (a1 + a0)) + xlogx(a1 + a0 - n1 - n0, (a1 + a0 - n1 - n0) / (a1 + a0))
     picked = counts.withColumn("ratio", 2 * (one - both)).filter((F.col("ratio") >= RATIO) & (F.col("n1") + F.col("n0") >= 3))
-    terms = sorted(bytes(r["term"]) for r in picked.orderBy(F.desc("ratio"), "term").limit(TERMS).collect())
-
-    at = {t: i for i, t in enumerate(terms)}
+    best = sorted((bytes(r["term"]), r["n1"] * all0 > r["n0"] * all1) for r in picked.orderBy(F.desc("ratio"), "term").limit(TERMS).collect())
+    words = Vocabulary([t for t, _ in best], [toxic for _, toxic in best])
 
     def frequency(batches):
-        n, seen = 0, np.zeros(len(at) + 1, np.int64)
+        n, seen = 0, np.zeros(words.size + 1, np.int64)
         for batch in batches:
             for text in batch.column(0):
                 n += 1
-                for t in set(terms_of(text.as_py())) & at.keys():
-                    seen[at[t]] += 1
+                for i, _ in words.counts(text.as_py()):
+                    seen[i] += 1
         seen[-1] = n
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(seen))), pa.array(seen)], ["i", "n"])
 
-    df = np.zeros(len(terms) + 1)
+    df = np.zeros(words.size + 1)
     for r in slim.select("text").mapInArrow(frequency, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
         df[r["i"]] = r["n"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
     def sparse(batches):
         for batch in batches:
-            found = [sorted(Counter(at[t] for t in terms_of(x.as_py()) if t in at).items()) for x in batch.column(2)]
+            found = [words.counts(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[t for t, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
 
     vectors = scratch.keep(texts.mapInArrow(sparse, "doc_id long, toxic int, terms array<int>, counts array<int>"), "vectors")
@@ -224,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     sample = vectors.filter((F.size("terms") > 0) & (place < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))).collect()
     scratch.drop(vectors)
     rows = sorted((r["doc_id"], r["toxic"], r["terms"], r["counts"]) for r in sample)
-    return Scorer(terms, idf, rows, rest)
+    return Scorer(words, idf, rows, rest)
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
