@@ -3,9 +3,11 @@
 Two permutations of the 64-bit shingle space are drawn. The first scatters the shingles; the second is
 shifted circularly, a step further for each coordinate of the signature, so that the two make all
 coordinates. Bands of coordinates put documents into buckets. Documents with equal shingle sets are one
-node; in each bucket every node is held against the bucket's first one, which joins groups of copies
-with a linear number of pairs. Only nodes that share a bucket and are still apart after that are paired
-with each other. Every link rests on the full sets.
+node; in each bucket every node is held against the bucket's lead, the node that shares most buckets with
+others, which joins groups of copies with a linear number of pairs. That comparison also leaves a sketch of
+the shingles in which the node differs from the lead. Nodes that share a bucket and are still apart are
+paired with each other unless their sketches prove that the two sets differ in too many shingles; the
+proof is exact, so that no link is lost. Every link rests on the full sets.
 """
 
 import hashlib
@@ -24,6 +26,8 @@ PERCENT = 75
 BANDS, ROWS = 24, 3
 #: Pairs of one leading node that go to one group.
 GROUP_PAIRS = 256
+#: 64-bit words of a sketch of differences.
+SKETCH = 8
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 _STEP = 0x9E3779B97F4A7C15
@@ -105,8 +109,15 @@ def signed(docs: DataFrame) -> DataFrame:
     return slim.select(slim.doc_id.cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(sign, SIGNED)
 
 
+def sketch(differing: np.ndarray) -> list[int]:
+    """A bit for each differing shingle, so that the union of two sketches has no more bits than the union of the two differences has shingles."""
+    bits = np.zeros(SKETCH * 64, bool)
+    bits[(differing % np.uint64(SKETCH * 64)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view("<i8").tolist()
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose full sets reach the similarity.
+    """(a, b, linked, differ, words): whether the full sets of each of ``pairs`` reach the similarity, in how many shingles they differ, and a sketch of those.
 
     The sets of the nodes in question are computed once more from their texts and sent to groups of
     pairs that share ``a``; a group's task reads a's set first and then one set at a time.
@@ -143,14 +154,13 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scrat
                     lead, at = s, (a, salt)
                     continue
                 assert at == (a, salt), "a group of pairs has lost its first set"
-                both = len(s) + len(lead)
-                shared = both - len(np.union1d(s, lead))
-                if 100 * shared >= PERCENT * (both - shared):
-                    out.append((a, fp))
-            cols = list(zip(*out, strict=True)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cols], ["a", "b"])
-
-    links = scratch.keep(dealt.mapInArrow(compare, "a binary, b binary").distinct(), "links")
+                differing = np.setxor1d(s, lead, assume_unique=True)
+                both = len(s) + len(lead)  # less the difference it is twice the intersection, plus it twice the union
+                out.append((a, fp, 100 * (both - len(differing)) >= PERCENT * (both + len(differing)), len(differing), sketch(differing)))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["a", "b", "linked", "differ", "words"])
+
+    links = scratch.keep(dealt.mapInArrow(compare, "a binary, b binary, linked boolean, differ long, words array<long>").dropDuplicates(["a", "b"]), "links")
     scratch.drop(sends, asked)
     return links
 
@@ -178,26 +188,38 @@ def grouped(docs: DataFrame) -> DataFrame:
     nodes = slim.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.max(F.struct("doc_id", "text_hash")).alias("pick"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     nodes = scratch.keep(nodes, "nodes")
     buckets = nodes.select("fp", "n", F.posexplode("bands").alias("band", "key")).select("fp", "n", F.xxhash64("band", "key").alias("bucket"))
-    leads = buckets.groupBy("bucket").agg(F.min(F.struct("fp", "n")).alias("lead"), F.count("*").alias("m")).filter("m > 1")
-    members = scratch.keep(buckets.join(leads.select("bucket", "lead"), "bucket"), "members")
+    shared = scratch.keep(buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1"), "bucket"), "shared")
+    met = shared.groupBy("fp").agg(F.sum("m").alias("met"))
+    leads = shared.join(met, "fp").groupBy("bucket").agg(F.max(F.struct("met", "fp", "n")).alias("lead"))
+    members = scratch.keep(shared.drop("m").join(leads, "bucket"), "members")
     stars = members.filter((F.col("fp") != F.col("lead.fp")) & near("n", "lead.n")).select(F.col("lead.fp").alias("a"), F.col("fp").alias("b")).distinct()
     stars = scratch.keep(stars, "stars")
-    links = verified(stars, nodes, docs, scratch)
+    compared = verified(stars, nodes, docs, scratch)
+    links = compared.filter("linked").select("a", "b")
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
 
-    placed = members.select("bucket", "fp", "n").join(roots, F.col("fp") == F.col("node"), "left").select("bucket", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    split = placed.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("bucket")
-    apart = scratch.keep(placed.join(split, "bucket"), "apart")
-    x, y = apart.alias("x"), apart.alias("y")
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & near("x.n", "y.n"))
-    rest = rest.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    rest = scratch.keep(rest, "rest")
+    placed = members.select("bucket", "fp", "n", F.col("lead.fp").alias("a")).join(roots, F.col("fp") == F.col("node"), "left").select("bucket", "fp", "n", "a", F.coalesce("root", "fp").alias("root"))
+    split = placed.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.mode("root").alias("main")).filter("r1 <> r2").select("bucket", "main")
+    words = [F.coalesce(F.col("words")[k], F.when(F.col("fp") == F.col("a"), F.lit(0))).alias(f"w{k}") for k in range(SKETCH)]
+    differ = F.coalesce("differ", F.when(F.col("fp") == F.col("a"), F.lit(0))).alias("differ")
+    sketched = compared.select("a", F.col("b").alias("fp"), "differ", "words")
+    apart = scratch.keep(placed.join(split, "bucket").join(sketched, ["a", "fp"], "left").select("bucket", "fp", "n", "root", "main", differ, *words), "apart")
+    x, y = apart.filter("root <> main").alias("x"), apart.alias("y")
+    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.fp") < F.col("y.fp"))
+    union = sum((F.bit_count(F.col(f"x.w{k}").bitwiseOR(F.col(f"y.w{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col("x.w0").bitwiseOR(F.col("y.w0"))))
+    # Two sets differ in no fewer shingles than that; sets of a and b shingles are linked if (a + b) (100 - PERCENT) >= difference (100 + PERCENT).
+    least = 2 * union - F.col("x.differ") - F.col("y.differ")
+    may = F.coalesce((100 + PERCENT) * least <= (100 - PERCENT) * (F.col("x.n") + F.col("y.n")), F.lit(True))
+    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & once & near("x.n", "y.n") & may)
+    rest = rest.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = scratch.keep(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        more = verified(rest, nodes, docs, scratch)
+        more = verified(rest, nodes, docs, scratch).filter("linked").select("a", "b")
         if not more.isEmpty():
             links = links.union(more)
             roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
-    scratch.drop(members, apart)
+    scratch.drop(shared, members, apart)
     named = nodes.select("fp", "least_id").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of = scratch.keep(named.join(ids, "root").select("fp", "component_id"), "of")
