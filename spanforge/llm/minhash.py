@@ -192,7 +192,8 @@ def grouped(docs: DataFrame) -> DataFrame:
     met = shared.groupBy("fp").agg(F.sum("m").alias("met"))
     leads = shared.join(met, "fp").groupBy("bucket").agg(F.max(F.struct("met", "fp", "n")).alias("lead"))
     members = scratch.keep(shared.drop("m").join(leads, "bucket"), "members")
-    stars = members.filter((F.col("fp") != F.col("lead.fp")) & near("n", "lead.n")).select(F.col("lead.fp").alias("a"), F.col("fp").alias("b")).distinct()
+    # Nodes whose size alone rules a link out are compared as well: without a sketch nothing would part them from their bucket.
+    stars = members.filter(F.col("fp") != F.col("lead.fp")).select(F.col("lead.fp").alias("a"), F.col("fp").alias("b")).distinct()
     stars = scratch.keep(stars, "stars")
     compared = verified(stars, nodes, docs, scratch)
     links = compared.filter("linked").select("a", "b")
