@@ -27,7 +27,7 @@ BANDS, ROWS = 24, 3
 #: Pairs of one leading node that go to one group.
 GROUP_PAIRS = 256
 #: 64-bit words of a sketch of differences.
-SKETCH = 8
+SKETCH = 16
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 _STEP = 0x9E3779B97F4A7C15
