@@ -1,9 +1,10 @@
 """Secret scans (7): corpus-wide ownership frequency, by DataFrame functions only.
 
 Every candidate's value is hashed and the distinct repositories and owners that hold it are counted over
-the whole corpus. A value that many hold is a copied example; one that few hold and that looks random is
-an owner's own credential. Base spans always stay; candidates of further formats are added if they are
-an owner's own.
+the whole corpus. A value that many owners hold, or many repositories of more than one owner, is a copied
+example; any other that looks random is an owner's own credential, in however many of its repositories it
+stands. Base spans always stay; candidates of further formats are added if they are an owner's own. A private
+key's value is its whole block, without line breaks.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from ._util import Scratch, table
 from .spans import joined, with_spans
 
 KINDS = ("assign", "access", "hex", "token", "key")
-#: From so many owners or repositories on a value counts as copied.
+#: From so many owners on, or repositories of several owners, a value counts as copied.
 COPIED_OWNERS, COPIED_REPOS = 3, 10
 #: Distinct characters that a live-looking value has at least.
 LIVE_DISTINCT = 8
@@ -26,7 +27,8 @@ BASE = {
 #: Prefixes of public credential formats.
 MORE = {
     "token": r"(?<![A-Za-z0-9_-])(?:gh[pousr]_[A-Za-z0-9]{30,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)",
-    "key": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
+    # The block up to its end; without an end the header and the lines of base64 that follow it. Line breaks may be written as \n.
+    "key": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:(?:[^-]++|-(?!----)){0,200}+-----END [A-Z ]{0,30}PRIVATE KEY-----|(?:(?:\s|\\[nr]){0,8}+[A-Za-z0-9+/=]{16,}+){0,400}+)",
 }
 _VALUE = r"^(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)$"
 
@@ -38,7 +40,7 @@ def found(docs: DataFrame) -> DataFrame:
     # Shorter runs of hex digits fail in any case; asking for the length in the pattern keeps the run whole.
     patterns = BASE | MORE | {"hex": r"(?:\G|(?<![0-9a-f]))[0-9a-f]{32,}+"}
     each = with_spans(docs, "t", {k: (p, gate[k]) for k, p in patterns.items()})
-    value = {k: (lambda v: v) for k in KINDS} | {"assign": lambda v: F.regexp_extract(v, _VALUE, 1)}
+    value = {k: (lambda v: v) for k in KINDS} | {"assign": lambda v: F.regexp_extract(v, _VALUE, 1), "key": lambda v: F.regexp_replace(v, r"\s|\\[nr]", "")}
     least = {"assign": 8, "access": 16, "hex": 32, "token": 1, "key": 1}
 
     def long_enough(i: int, k: str) -> Column:
@@ -63,7 +65,7 @@ def ownership(candidates: DataFrame) -> DataFrame:
 def secret_spans(docs: DataFrame, repo: str = "doc_id", owner: str = "source") -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied), a row for each row of ``docs``.
 
-    n_copied counts spans whose value many owners or repositories hold, n_live those that few hold and
+    n_copied counts spans whose value many owners hold, or many repositories of several; n_live the others
     that look random. A null text is an empty one; a null repository or owner counts as one of its own.
     Repeated rows give repeated results and count once; an empty table gives an empty result. Only
     doc_id, text and the two named columns are read.
@@ -74,7 +76,7 @@ def secret_spans(docs: DataFrame, repo: str = "doc_id", owner: str = "source") -
     rows = scratch.keep(found(slim).select("doc_id", "repo", "owner", hashed.alias("spans"), F.monotonically_increasing_id().alias("row")), "rows")
     each = rows.filter(F.size("spans") > 0).select("row", "repo", "owner", F.explode("spans").alias("x")).select("row", "repo", "owner", "x.*")
     held = ownership(each.select("h1", "h2", "owner", "repo"))
-    copied = (F.col("owners") >= COPIED_OWNERS) | (F.col("repos") >= COPIED_REPOS)
+    copied = (F.col("owners") >= COPIED_OWNERS) | ((F.col("owners") > 1) & (F.col("repos") >= COPIED_REPOS))
     judged = each.join(held, ["h1", "h2"]).withColumn("copied", copied).withColumn("own", ~F.col("copied") & F.col("live"))
     base = len(BASE)
     kept = judged.filter((F.col("kind") < base) | F.col("own") | ((F.col("kind") == KINDS.index("key")) & ~F.col("copied")))

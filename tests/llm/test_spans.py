@@ -97,3 +97,29 @@ def test_ownership_separates_copied_examples(spark):
     out = {r.doc_id: r for r in secretscan.secret_spans(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert out[0].n_copied == 1 and out[0].n_live == 0
     assert out[50].n_live == 2 and out[50].n_copied == 0 and "token:" in out[50].spans
+
+
+def pem(i, kind="RSA ", end=True, br="\n"):
+    lines = [hashlib.sha512(f"{i}-{k}".encode()).hexdigest()[:64].upper() for k in range(4)]
+    return br.join([f"-----BEGIN {kind}PRIVATE KEY-----", *lines, *[f"-----END {kind}PRIVATE KEY-----"] * end])
+
+
+def test_distinct_keys_are_not_copies_of_each_other(spark):
+    rows = [(i, f"key\n{pem(i)}\nend", f"s{i}") for i in range(12)] + [(20 + i, f"sample {pem('x', br=br)} text", f"s{i}") for i, br in enumerate(["\n", "\r\n", "\\n", "\n"])]
+    rows += [(30, f"cut off {pem(30, end=False)}", "s1"), (31, "-----BEGIN PRIVATE KEY-----" + "-a" * 5000, "s1")]
+    rows += [(32, pem(32, "ENCRYPTED ").replace("-----\n", "-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,00\n\n", 1), "s1")]
+    out = {r.doc_id: r for r in secretscan.secret_spans(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    texts = {r[0]: r[1] for r in rows}
+    for i in [*range(12), 30, 32]:
+        first, last = texts[i].index("-----BEGIN"), len(texts[i]) - (4 if i < 12 else 0)
+        assert f"key:{first}:{last}" in out[i].spans.split(",") and out[i].n_live == 1 and out[i].n_copied == 0
+    assert all("key:" not in out[20 + i].spans for i in range(4))
+    assert out[31].spans == "key:0:27"
+
+
+def test_an_owner_may_hold_its_own_value_many_times(spark):
+    own, shared = "ghp_abcdefghijklmnopqrstuvwxyz0123456789", "ghp_0123456789abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"use {own}", "s1") for i in range(15)] + [(50 + i, f"use {shared}", f"s{i % 2}") for i in range(10)]
+    out = {r.doc_id: r for r in secretscan.secret_spans(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all("token:" in out[i].spans and out[i].n_live == 1 and out[i].n_copied == 0 for i in range(15))
+    assert all("token:" not in out[50 + i].spans for i in range(10))
