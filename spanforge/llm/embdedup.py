@@ -2,8 +2,9 @@
 
 Equal vectors of a label are one class. A label's classes are dealt to shards of bounded size; each shard's
 graph is a table of nodes. Every block of query classes meets every shard of its label. A query whose beam
-is full of links is searched again with a wider one, down to a scan of the shard; and a sample of each
-block's queries is held against a scan, all beams being widened until enough of their links are found.
+is full of links is searched again with a wider one, down to a scan of the shard. Queries of each block are
+scanned until enough of them have links to other vectors; all beams are then widened until every one of these
+links is found. A block in which too few queries have links has been scanned to its end, and needs no beam.
 """
 
 import numpy as np
@@ -20,8 +21,8 @@ COSINE = 0.93
 #: Classes of a shard and of a block of queries on average.
 SHARD, BLOCK = 8192, 2048
 BEAM = 64
-#: Queries of a block that an audit takes, and the share of their links that must be found.
-AUDIT, RECALL = 64, 0.99
+#: Queries with links that an audit of a block takes, and the share of their links that must be found.
+AUDIT, RECALL = 64, 1.0
 
 NODE = "label string, dim int, shard int, pos int, fp binary, vec binary, members long, height int, links binary"
 FOUND = "u binary, v binary, n long"
@@ -53,14 +54,26 @@ def load_shard(pdf: pd.DataFrame) -> tuple[Graph, np.ndarray]:
     return Graph.load(x, np.zeros(len(x), np.float32), height, levels), x
 
 
-def linked(g: Graph, x: np.ndarray, q: np.ndarray, cosine: float, beam: int = BEAM, recall: float = RECALL) -> tuple[list[np.ndarray], int]:
-    """For each query the shard's nodes at or above ``cosine``, and the beam that passed the audit."""
+def linked(g: Graph, x: np.ndarray, q: np.ndarray, cosine: float, beam: int = BEAM, recall: float = RECALL, own: np.ndarray | None = None) -> tuple[list[np.ndarray], int]:
+    """For each query the shard's nodes at or above ``cosine``, and the beam that passed the audit; 0 if all were scanned.
+
+    ``own`` holds the queries' own nodes, -1 where they have none here; no audit counts them.
+    """
     n, exact = len(x), lambda rows: [np.flatnonzero(s >= cosine) for s in q[rows] @ x.T]
-    sample = np.unique(np.linspace(0, len(q) - 1, min(len(q), AUDIT)).astype(int))
-    truth = exact(sample)
+    own = np.full(len(q), -1) if own is None else own
+    order, truth, evidence, at = np.random.default_rng(0).permutation(len(q)), {}, [], 0
+    while at < len(q) and len(evidence) < AUDIT:
+        some = order[at : at + max(AUDIT, min(at, 512))]
+        at += len(some)
+        truth.update(zip(some.tolist(), exact(some), strict=True))
+        evidence += [i for i in some.tolist() if (truth[i] != own[i]).any()]
+    left = order[at:]
+    if not len(left):
+        return [truth[i] for i in range(len(q))], 0
+    known, tried = sum((truth[i] != own[i]).sum() for i in evidence), np.concatenate([left, evidence]).astype(int)
     while True:
         out: list = [None] * len(q)
-        rows, ef = np.arange(len(q)), beam
+        rows, ef = tried, beam
         while len(rows):
             if ef * 8 >= n:  # a beam this wide costs more than the scan it stands for
                 for k in range(0, len(rows), 512):
@@ -73,9 +86,8 @@ def linked(g: Graph, x: np.ndarray, q: np.ndarray, cosine: float, beam: int = BE
                 some = found[close >= cosine - 1e-4]
                 out[i] = some[x[some] @ q[i] >= cosine]
             rows, ef = rows[full], ef * 4
-        held = sum(map(len, truth))
-        if sum(len(np.intersect1d(a, out[i])) for a, i in zip(truth, sample, strict=True)) >= recall * held or beam * 8 >= n:
-            return out, beam
+        if sum((np.intersect1d(truth[i], out[i]) != own[i]).sum() for i in evidence) >= recall * known or beam * 8 >= n:
+            return [truth[i] if i in truth else hit for i, hit in enumerate(out)], beam
         beam *= 2
 
 
@@ -87,9 +99,9 @@ def search_shard(nodes: pd.DataFrame, queries: pd.DataFrame, cosine: float) -> p
     nodes = nodes.sort_values("pos").reset_index(drop=True)
     g, x = load_shard(nodes)
     q = unit(queries["vec"])
-    found, _ = linked(g, x, q, cosine)
     fps, members = nodes["fp"].to_numpy(), nodes["members"].to_numpy("int64")
     at, own = {f: i for i, f in enumerate(fps)}, queries["fp"].tolist()
+    found, _ = linked(g, x, q, cosine, own=np.array([at.get(f, -1) for f in own]))
     tree = np.arange(len(nodes))
     u, v, n = [], [], []
     for f, hits in zip(own, found, strict=True):

@@ -74,6 +74,41 @@ def test_beams_widen_until_the_audit_passes():
     assert sum(len(np.intersect1d(a, b)) for a, b in zip(found, truth, strict=True)) >= 0.99 * sum(map(len, truth))
 
 
+def pairs_among(n, dim, pairs, seed):
+    """Unit vectors of which the last ``pairs`` are near copies of the first."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    x[n - pairs :] = x[:pairs] + rng.normal(size=(pairs, dim)) * 0.05
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def without_copies(x, first):
+    """A graph in which no beam reaches the nodes from ``first`` on."""
+    g = Graph(x)
+    for level in g.levels:
+        level[level >= first] = -1
+    return g
+
+
+def test_an_audit_without_links_is_no_proof():
+    x = pairs_among(3000, 16, 5, 8)
+    own = np.concatenate([[5], np.arange(5), np.arange(6, 1000)])
+    found, _ = embdedup.linked(without_copies(x, 2995), x, x[own], 0.93, own=own)
+    assert all((2995 + i) in found[1 + i] for i in range(5))
+
+
+def test_queries_own_nodes_hide_no_lost_link():
+    x = pairs_among(3000, 16, 64, 9)
+    found, _ = embdedup.linked(without_copies(x, 2999), x, x[:64], 0.93, own=np.arange(64))
+    assert all((2936 + i) in found[i] for i in range(64))
+
+
+def test_near_dedup_of_thousands_in_a_label(spark):
+    x = pairs_among(5000, 16, 60, 10).astype("float32")
+    rows = [(i, v.tolist(), i // 4500) for i, v in enumerate(x)]
+    assert components(embdedup.embedding_components(frame(spark, rows), shard=2500, block=1500)) == brute_components(rows)
+
+
 def test_graph_recall():
     x = np.random.default_rng(6).normal(size=(2000, 16)).astype("float32")
     g = Graph(x, 0.5 * (x**2).sum(1))
