@@ -1,8 +1,8 @@
 """Language ID (5): word-first backoff.
 
 A known word scores its log frequency in each language. An unseen word is scored by its longest character
-n-grams that are known, from four down to one. The model comes from a bounded sample of labelled texts and
-is small enough for every task; every text is predicted from all its words.
+n-grams that are known, from four down to one. The model comes from a bounded sample of each language's
+labelled texts and is small enough for every task; every text is predicted from all its words.
 """
 
 import re
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ._util import Scratch, columns_once, table
 
-#: Labelled texts that the model is fitted on at most, on average, and words of a language that it keeps at most.
+#: Labelled texts of a language that the model is fitted on at most, on average, and words of a language that it keeps at most.
 LABELLED, WORDS = 20_000, 50_000
 ORDERS = (4, 3, 2, 1)
 FOLDS, HELD = 4, 2
@@ -109,12 +109,15 @@ def fold(doc_id):
 
 
 def train(docs: DataFrame, labelled: int = LABELLED, words: int = WORDS) -> Model:
-    """Fit on a sample, by hash, of the texts with a language outside the held-out fold."""
+    """Fit on the texts with a language outside the held-out fold; of a language with more than ``labelled``, on a sample by hash."""
     spark = docs.sparkSession
     slim = columns_once(docs, "doc_id", "text", "lang").filter((fold(docs["doc_id"]) != HELD) & docs["text"].isNotNull() & docs["lang"].isNotNull())
-    n = slim.select("doc_id").count()
+    per = {r["lang"]: r["count"] for r in slim.groupBy("lang").count().collect()}
     place = F.pmod(F.xxhash64(F.lit("lang"), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = slim.filter(place < F.lit(min(1.0, labelled / max(1, n)))).select("lang", "text")
+    # Only languages above the bound have a share; all texts of the others are taken.
+    often = {lang: labelled / n for lang, n in per.items() if n > labelled}
+    share = F.coalesce(F.create_map(*[F.lit(x) for pair in often.items() for x in pair])[F.col("lang")], F.lit(1.0)) if often else F.lit(1.0)
+    sample = slim.filter(place < share).select("lang", "text")
 
     def count(batches):
         seen: dict = defaultdict(Counter)

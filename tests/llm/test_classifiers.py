@@ -75,6 +75,15 @@ def test_language_on_held_out_rows(spark):
     assert np.mean(held) > 0.98
 
 
+def test_rare_languages_keep_their_texts(spark):
+    rows = [(i, f"common word number{i % 7}", "aa") for i in range(4000)] + [(5000 + i, f"selten wort{'abcdefgh'[i]}", "bb") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.train(docs, labelled=40)
+    learned = {f"wort{'abcdefgh'[i]}".encode() for i in range(8) if zlib.crc32(str(5000 + i).encode()) % 4 != 2}
+    assert m.langs == ["aa", "bb"] and learned and learned <= m.base.keys()
+    assert m.predict("selten")[0] == "bb" and m.predict("common")[0] == "aa"
+
+
 def test_unseen_words_back_off():
     m = langid.Model(["a", "b"], {"a": {b"strand": 5, b"strong": 5}, "b": {b"olivier": 5, b"olive": 5}}, {"a": 10, "b": 10})
     assert m.predict("stran") [0] == "a" and m.predict("oliv")[0] == "b"
