@@ -123,3 +123,27 @@ def test_an_owner_may_hold_its_own_value_many_times(spark):
     out = {r.doc_id: r for r in secretscan.secret_spans(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert all("token:" in out[i].spans and out[i].n_live == 1 and out[i].n_copied == 0 for i in range(15))
     assert all("token:" not in out[50 + i].spans for i in range(10))
+
+
+def test_every_kind_is_judged_by_its_own_threshold(spark, monkeypatch):
+    text = "write to jane.roe (at) example.org or 10[.]20[.]30[.]40 or 4041894974608795 1 or (269) 555-3296-01 now"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+
+    def added(*limits):
+        monkeypatch.setattr(pii, "fit", lambda _: pii.Judge([], [], list(limits)))
+        return {x.kind for r in pii.personal_spans(docs).collect() for x in r.added}
+
+    never = float("inf")
+    assert added(0.0, 0.0, 0.0, 0.0) >= {0, 1}
+    assert added(never, never, never, never) == set()
+    assert added(never, 0.0, never, never) == {1}
+
+
+def test_thresholds_are_those_found(spark):
+    texts = [(i, f"call +1 ({200 + i}) 555-{1000 + i}, mail a{i}@b.org, server 10.0.{i % 250}.{'7' if i % 2 else '777'}") for i in range(300)]
+    judge = pii.fit(spark.createDataFrame(texts, "doc_id long, t string"))
+    limits = dict(zip(pii.KINDS, judge.limits, strict=True))
+    assert limits["card"] == float("inf")  # no card was seen
+    assert max(limits[k] for k in ("email", "phone")) > 0.0  # as found, not cut to 0
+    only = pii.fit(spark.createDataFrame([(i, f"mail a{i}@b.org") for i in range(60)], "doc_id long, t string"))
+    assert only is not None and only.limits == [0.0] + [float("inf")] * 3
