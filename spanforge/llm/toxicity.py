@@ -1,32 +1,31 @@
 """Toxicity (4): nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are those whose document counts differ most between the labels, counted over all labelled training
-texts. A text's number of toxic terms, and their density, reach certain levels; each level is a term as well.
-Document frequencies of all these are counted over all documents. A bounded sample of examples is indexed:
-for each term and block of examples the index knows the largest weight, so that whole blocks whose bound
-stays below the k-th neighbour are passed over without changing the result. Neighbours vote with their
-cosines; the vote is calibrated on the examples themselves, each left out of its own neighbours.
+A bounded sample of labelled examples is indexed with all their words. A word's weight in a text is its
+TF-IDF, stretched by how surely the word tells the labels apart: a word that does not keeps ``FLOOR`` of its
+weight, so every word counts and every text with a word of the examples is searched. Document frequencies
+and label counts of these words are counted over all documents. For each word and block of examples the
+index knows the largest weight, so that blocks whose bound stays below the k-th neighbour are passed over
+without changing the result; many texts are searched at once. Neighbours vote with their cosines; the vote
+is calibrated on the examples themselves, each left out of its own neighbours.
 """
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import BROADCAST_ROWS, Scratch, columns_once, table
-
-#: Terms kept at most, and the likelihood ratio that a term has to reach.
-TERMS, RATIO = 4096, 15.0
-#: Levels that the number of toxic terms' occurrences, and their number in a thousand words, reach.
-HITS, DENSITY = (1, 2, 3, 4, 6, 9), (1, 2, 4, 8, 16, 32)
-#: Labelled examples of each label that are indexed at most, and that calibrate.
-EXAMPLES, CALIBRATE = 6000, 2000
-NEIGHBOURS = 25
-BLOCK = 64
-#: Blocks that are read at a time, by falling bound; 0: all the rest whose bound reaches the k-th neighbour.
-STEPS = (6, 24, 0)
+from ._util import BROADCAST_ROWS, Scratch, columns_once, numbered, position, table
+
+#: Labelled examples of each label that are indexed, on average, where there are as many.
+EXAMPLES = 1500
+NEIGHBOURS = 15
+BLOCK = 32
+#: Blocks that are read first, by falling bound, before the k-th neighbour rules others out.
+FIRST_BLOCKS = 6
+#: Share of its TF-IDF that a word without a bearing on the labels keeps, and the standard errors that a bearing must exceed.
+FLOOR, ERRORS = 0.03, 3.0
+#: Cells of the index that a batch of searches spreads out at a time.
+CELLS = 1 << 17
 #: The held-out fold: crc32(doc_id as text) mod FOLDS is 0.
 FOLDS = 5
 
@@ -37,122 +36,149 @@ def terms_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(_SPACE).split()
 
 
-class Vocabulary:
-    """Terms by number; after them the levels."""
+def known_terms(at: dict, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers, rising, and occurrences of a text's words that are in the vocabulary ``at``."""
+    ids = [i for i in map(at.get, terms_of(text)) if i is not None]
+    return np.unique(np.array(ids, np.int32), return_counts=True)
 
-    def __init__(self, terms: list[bytes], toxic: list[bool]):
-        self.at = {t: i for i, t in enumerate(terms)}
-        self.toxic = toxic
-        self.size = len(terms) + len(HITS) + len(DENSITY)
 
-    def counts(self, text: str | None) -> list[tuple[int, int]]:
-        """(number, occurrences) of a text's terms and levels, in order; none if it has no term."""
-        words = terms_of(text)
-        found = Counter(self.at[w] for w in words if w in self.at)
-        hits = sum(n for i, n in found.items() if self.toxic[i])
-        if hits:
-            first = len(self.at)
-            found.update({first + k: 1 for k, least in enumerate(HITS) if hits >= least})
-            found.update({first + len(HITS) + k: 1 for k, least in enumerate(DENSITY) if 1000 * hits >= least * len(words)})
-        return sorted(found.items())
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ..., for ``size`` places each, end to end."""
+    return np.repeat((start - np.cumsum(size) + size).astype(np.int32), size) + np.arange(int(size.sum()), dtype=np.int32)
 
 
 class BlockMax:
-    """Examples' unit vectors as postings by term and block."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: list, n_terms: int):
-        order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), int(labels[i]), i))  # like with like
-        self.labels, self.ids, self.vectors = labels[order], [ids[i] for i in order], [vectors[i] for i in order]
-        n = len(order)
-        self.blocks = -(-n // BLOCK)
-        terms = np.concatenate([t for t, _ in self.vectors]).astype(np.int64)
-        weights = np.concatenate([w for _, w in self.vectors])
-        examples = np.repeat(np.arange(n), [len(t) for t, _ in self.vectors])
-        self.bound = np.zeros((n_terms, self.blocks), np.float32)
-        np.maximum.at(self.bound, (terms, examples // BLOCK), (weights * (1 + 1e-6)).astype(np.float32))
-        by_term = np.lexsort((examples, terms))
-        self.examples, self.weights = examples[by_term], weights[by_term]
-        # A cell is a term's postings in a block; cells lie in order of term and block.
-        cells = np.bincount(terms * self.blocks + examples // BLOCK, minlength=n_terms * self.blocks)
-        self.first = np.concatenate([[0], np.cumsum(cells)])
-
-    def cosines(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of those examples of ``blocks`` that share a term; a cosine doesn't depend on the blocks asked for."""
-        cell = terms[:, None] * self.blocks + blocks[None, :]
-        start, size = self.first[cell].ravel(), (self.first[cell + 1] - self.first[cell]).ravel()
-        at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-        place = np.zeros(self.blocks, np.int64)
-        place[blocks] = np.arange(len(blocks)) * BLOCK
-        ids = self.examples[at]
-        total = np.bincount(place[ids // BLOCK] + ids % BLOCK, self.weights[at] * np.repeat(np.repeat(weights, len(blocks)), size), len(blocks) * BLOCK)
-        hit = np.flatnonzero(total > 0)
-        return blocks[hit // BLOCK] * BLOCK + hit % BLOCK, total[hit]
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k largest positive cosines, ties to the earlier example."""
-        bounds = weights @ self.bound[terms]
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        found, near, least, at = np.zeros(0, np.int64), np.zeros(0), 0.0, 0
-        for step in STEPS:
-            some = order[at : at + step] if step else order[at:]
-            at += len(some)
-            some = some[bounds[some] >= least * (1 - 1e-6)]
-            if not len(some):
-                break
-            ids, cosines = self.cosines(terms, weights, some)
-            found, near = np.concatenate([found, ids[ids != but]]), np.concatenate([near, cosines[ids != but]])
-            if len(near) > k:
-                may = near >= np.partition(near, len(near) - k)[len(near) - k]
-                found, near = found[may], near[may]
-            if len(near) >= k:
-                least = near.min()
-        top = np.lexsort((found, -near))[:k]
-        return found[top], near[top]
+    """Examples' unit vectors as postings in order of word and block; a cell is a word's postings in a block."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
+        n = len(vectors)
+        self.n, self.blocks = n, -(-n // BLOCK)
+        terms = np.concatenate([t for t, _ in vectors]).astype(np.int64) if n else np.zeros(0, np.int64)
+        weights = np.concatenate([w for _, w in vectors]) if n else np.zeros(0)
+        examples = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
+        order = np.lexsort((examples, terms))
+        terms, self.weights, self.examples = terms[order], weights[order], examples[order].astype(np.int32)
+        key = terms * max(1, self.blocks) + self.examples // BLOCK
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.start, self.size = first, np.diff(first, append=len(key))
+        self.block = (self.examples[first] // BLOCK).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        self.cells = np.searchsorted(terms[first], np.arange(n_terms + 1))  # a word's cells are cells[t] to cells[t + 1]
+        self.reads = np.zeros(3, np.int64)  # texts searched, blocks with a bound, blocks read
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(examples, cosines) of each vector's k largest positive cosines, ties to the earlier example; ``but`` are examples to leave out."""
+        out, at = [], 0
+        room = [int((self.cells[t + 1] - self.cells[t]).sum()) for t, _ in vectors]
+        while at < len(vectors):
+            end, cells = at, 0
+            while end < len(vectors) and end - at < 256 and (end == at or cells + room[end] <= CELLS):
+                cells += room[end]
+                end += 1
+            out += self._some(vectors[at:end], k, None if but is None else but[at:end])
+            at = end
+        return out
+
+    def _some(self, vectors, k, but):
+        m = len(vectors)
+        terms = np.concatenate([t for t, _ in vectors])
+        weights, row = np.concatenate([w for _, w in vectors]), np.repeat(np.arange(m), [len(t) for t, _ in vectors])
+        size = self.cells[terms + 1] - self.cells[terms]
+        cell, row, weights = spread(self.cells[terms], size), np.repeat(row, size), np.repeat(weights, size)
+        place = row * self.blocks + self.block[cell]
+        bounds = np.bincount(place, weights * self.most[cell], m * self.blocks).reshape(m, self.blocks) * (1 + 1e-9)
+        first = np.zeros((m, self.blocks), bool)
+        lead = np.argpartition(-bounds, min(FIRST_BLOCKS, self.blocks) - 1, axis=1)[:, :FIRST_BLOCKS]
+        np.put_along_axis(first, lead, True, 1)
+        first &= bounds > 0
+        total = np.zeros(m * self.n)
+        self._read(total, first, cell, row, weights, place)
+        near = total.reshape(m, self.n)
+        if but is not None:
+            near[np.arange(m), but] = 0.0
+        kth = np.partition(near, self.n - k, axis=1)[:, self.n - k] if self.n > k else np.zeros(m)
+        rest = (bounds > 0) & (bounds >= kth[:, None]) & ~first
+        self._read(total, rest, cell, row, weights, place)
+        if but is not None:
+            near[np.arange(m), but] = 0.0
+        self.reads += (m, int((bounds > 0).sum()), int(first.sum() + rest.sum()))
+        found = []
+        for s in near:
+            at = np.flatnonzero(s >= np.partition(s, self.n - k)[self.n - k]) if self.n > k else np.arange(self.n)
+            at = at[s[at] > 0]
+            at = at[np.lexsort((at, -s[at]))[:k]]
+            found.append((at, s[at]))
+        return found
+
+    def _read(self, total, chosen, cell, row, weights, place) -> None:
+        """Add the postings of the chosen blocks. A pair of text and example adds up in order of the words, whatever else is read."""
+        some = np.flatnonzero(chosen.ravel()[place])
+        size = self.size[cell[some]]
+        at = spread(self.start[cell[some]], size)
+        key = np.repeat(row[some] * self.n, size) + self.examples[at]
+        total += np.bincount(key, np.repeat(weights[some], size) * self.weights[at], len(total))
+
+
+def bearing(n1: np.ndarray, n0: np.ndarray, all1: int, all0: int) -> np.ndarray:
+    """How surely a word tells the labels apart, 0 to 1: its log odds beyond ``ERRORS`` standard errors, from texts of either label that hold it."""
+    odds = lambda n, m: np.log((n + 0.5) / (m - n + 0.5))
+    apart = np.abs(odds(n1, all1) - odds(n0, all0)) - ERRORS * np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
+    return 1 - np.exp(-np.maximum(0, apart))
 
 
 class Scorer:
-    """Vocabulary, weights, index and calibration; small enough to send to every task."""
-
-    def __init__(self, words: Vocabulary, idf: np.ndarray, rows: list[tuple], rest: dict, k: int = NEIGHBOURS):
-        """rows: (doc_id, toxic, terms, counts) of the sample; rest: labelled training texts by (label, has terms)."""
-        self.words, self.idf, self.k = words, idf, k
-        vectors = [self.weigh(np.array(t), np.array(n, float)) for _, _, t, n in rows]
-        self.index = BlockMax(vectors, np.array([r[1] for r in rows], int), [r[0] for r in rows], words.size) if rows else None
-        n = {key: rest.get(key, 0) for key in ((0, False), (1, False), (0, True), (1, True))}
-        self.blank = (n[1, False] + 0.5 * self._rate(n)) / (n[0, False] + n[1, False] + 1)
-        self.fit = (0.0, float(np.log(max(1e-6, self.blank) / max(1e-6, 1 - self.blank))))
-        if self.index:
-            self._calibrate(n)
-            self.index.vectors = []  # only calibration reads them
-        self.known: dict = {}
+    """Vocabulary, weights, index and calibration; bounded by the examples, so that every task can hold it."""
+
+    def __init__(self, rows: list[tuple], counts: np.ndarray, n_docs: int, per: dict, k: int = NEIGHBOURS):
+        """rows: (doc_id, toxic, numbers, occurrences) of the examples; counts: for each word the documents, and the toxic and
+        other training texts, that hold it; per: training texts by label."""
+        self.at: dict = {}
+        self.k, self.per = k, {label: per.get(label, 0) for label in (0, 1)}
+        self.idf = np.log((1 + n_docs) / (1 + counts[:, 0])) + 1
+        self.scale = self.idf * (FLOOR + (1 - FLOOR) * bearing(counts[:, 1], counts[:, 2], self.per[1], self.per[0]))
+        self.blank = (self.per[1] + 0.5) / (sum(self.per.values()) + 1)
+        vectors = [self.weigh(t, n) for _, _, t, n in rows]
+        order = self._alike(vectors)
+        self.labels, self.ids = np.array([rows[i][1] for i in order], int), [rows[i][0] for i in order]
+        vectors = [vectors[i] for i in order]
+        self.index = BlockMax(vectors, len(self.idf))
+        self.fit = (0.0, float(np.log(self.blank / (1 - self.blank))))
+        if rows:
+            self._calibrate(vectors)
+        self.index.reads[:] = 0
 
     @staticmethod
-    def _rate(n: dict) -> float:
-        return (n[1, True] + n[1, False] + 0.5) / (sum(n.values()) + 1)
+    def _alike(vectors) -> list[int]:
+        """An order that puts like examples into one block, for tight bounds: by the heaviest word, then by length."""
+        heavy = [(int(t[np.argmax(w)]) if len(t) and w.max() > 0.5 else -1) for t, w in vectors]
+        common: dict = {}
+        for t, _ in vectors:
+            for x in t.tolist():
+                common[x] = common.get(x, 0) + 1
+        # Texts of one language share their commonest words: the commonest word of at most a third of the examples parts them.
+        limit = max(1, len(vectors) // 3)
+        lead = [max(((common[x], -x) for x in t.tolist() if common[x] <= limit), default=(0, 0)) for t, _ in vectors]
+        return sorted(range(len(vectors)), key=lambda i: (heavy[i], lead[i], len(vectors[i][0]), i))
 
     def weigh(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(counts)) * self.idf[terms]
-        return terms, w / np.sqrt((w**2).sum())
+        w = (1 + np.log(counts)) * self.scale[terms]
+        return terms, w / np.sqrt((w**2).sum()) if len(w) else w
 
-    def _vote(self, terms: np.ndarray, weights: np.ndarray, but: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        ids, near = self.index.nearest(terms, weights, self.k, but)
-        yes = float(near[self.index.labels[ids] == 1].sum())
-        return np.log((yes + 0.25) / (float(near.sum()) - yes + 0.25)), ids, near
+    def _votes(self, found) -> np.ndarray:
+        yes = np.array([near[self.labels[ids] == 1].sum() for ids, near in found])
+        both = np.array([near.sum() for _, near in found])
+        return np.log((yes + 0.02 * both + 1e-9) / (both - yes + 0.02 * both + 1e-9))
 
-    def _calibrate(self, n: dict) -> None:
+    def _calibrate(self, vectors) -> None:
         """A logistic curve over the vote, examples weighing as many training texts as they stand for."""
-        labels, x, y, w = self.index.labels, [], [], []
-        for label in (0, 1):
-            own = np.flatnonzero(labels == label)
-            some = own[np.linspace(0, len(own) - 1, min(len(own), CALIBRATE)).astype(int)] if len(own) else own
-            for i in some.tolist():
-                x.append(self._vote(*self.index.vectors[i], but=i)[0])
-                y.append(label)
-                w.append(max(n[label, True], len(own)) / len(some))
-        x, y, w = np.array(x), np.array(y, float), np.array(w)
-        a, b = 1.0, 0.0
-        ridge = np.diag([1e-2, 1e-2])
+        some = [i for i, (t, _) in enumerate(vectors) if len(t)]
+        if not some:
+            return
+        x = self._votes(self.index.nearest([vectors[i] for i in some], self.k, np.array(some)))
+        y = self.labels[some].astype(float)
+        n = np.bincount(self.labels[some], minlength=2)
+        w = np.array([max(self.per[label], n[label]) / max(1, n[label]) for label in (0, 1)])[self.labels[some]]
+        a, b, ridge = 1.0, 0.0, np.diag([1e-2, 1e-2])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
             v = w * p * (1 - p)
@@ -161,106 +187,80 @@ class Scorer:
             a, b = a + np.clip(step[0], -2, 2), b + np.clip(step[1], -2, 2)
         self.fit = (max(0.0, a), b)
 
-    def score(self, text: str | None) -> tuple[float, list, list]:
-        """(score, evidence's doc_ids, their cosines)."""
-        v = tuple(self.words.counts(text))
-        if not v or self.index is None:
-            return self.blank, [], []
-        if v not in self.known:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            vote, ids, near = self._vote(*self.weigh(np.array([t for t, _ in v]), np.array([n for _, n in v], float)))
-            p = 1 / (1 + np.exp(-np.clip(self.fit[0] * vote + self.fit[1], -30, 30)))
-            self.known[v] = (float(p) if len(ids) else self.blank, [self.index.ids[i] for i in ids[:3]], near[:3].round(6).tolist())
-        return self.known[v]
+    def score(self, texts: list) -> tuple[np.ndarray, list, list]:
+        """Scores, evidence's doc_ids and their cosines. Texts without a word of the examples get the rate of toxic training texts."""
+        vectors = [known_terms(self.at, x) for x in texts]
+        scores, ids, cosines = np.full(len(texts), self.blank), [[]] * len(texts), [[]] * len(texts)
+        some = [i for i, (t, _) in enumerate(vectors) if len(t)]
+        if some:
+            found = self.index.nearest([self.weigh(*vectors[i]) for i in some], self.k)
+            scores[some] = 1 / (1 + np.exp(-np.clip(self.fit[0] * self._votes(found) + self.fit[1], -30, 30)))
+            for i, (at, near) in zip(some, found, strict=True):
+                ids[i], cosines[i] = [self.ids[j] for j in at[:3]], near[:3].round(6).tolist()
+        return scores, ids, cosines
 
 
 def held_out_fold(doc_id, folds: int):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds)), F.lit(1)).cast("int")
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Scorer:
-    """Fit on labelled rows outside the held-out fold; equal texts count once."""
+def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Scorer:
+    """Fit on labelled rows outside the held-out fold; equal texts count once, and so do repeated ids."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
     slim = columns_once(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    told = labels.select(labels["doc_id"].cast("long").alias("told_id"), labels["toxic"].cast("int").alias("toxic")).filter("told_id is not null and toxic is not null and toxic in (0, 1)")
+    told = columns_once(labels, "doc_id", "toxic").select(F.col("doc_id").cast("long").alias("told_id"), F.col("toxic").cast("int").alias("toxic")).filter("told_id is not null and toxic in (0, 1)")
     told = told.filter(held_out_fold(F.col("told_id"), FOLDS) != 0).groupBy("told_id").agg(F.max("toxic").alias("toxic"))
     small = told.count() <= BROADCAST_ROWS
     known = slim.join(F.broadcast(told) if small else told, F.col("doc_id") == F.col("told_id")).select("doc_id", "text", "toxic")
-    firsts = known.groupBy(F.xxhash64("text").alias("h1"), F.crc32("text").alias("h2")).agg(F.min("doc_id").alias("first_id"), F.max("toxic").alias("toxic")).select("first_id", "toxic")
+    firsts = known.groupBy(F.xxhash64("text").alias("h1"), F.crc32("text").alias("h2")).agg(F.min("doc_id").alias("first_id"), F.max("toxic").alias("toxic"))
     firsts = scratch.keep(firsts.groupBy("first_id").agg(F.max("toxic").alias("toxic")), "firsts")
-    texts = slim.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts, F.col("doc_id") == F.col("first_id")).select("doc_id", "toxic", "text")
+    per = {r["toxic"]: r["count"] for r in firsts.groupBy("toxic").count().collect()}
+    place = F.pmod(F.xxhash64(F.lit("example"), "first_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = {label: min(1.0, examples / max(1, per.get(label, 0))) for label in (0, 1)}
+    picked = firsts.filter(place < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
+    # The examples' own texts are the one bounded sample that reaches the driver; a repeated id gives its smallest text.
+    texts = slim.join(F.broadcast(picked), F.col("doc_id") == F.col("first_id")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toArrow()
+    rows = sorted(zip(*[texts.column(c).to_pylist() for c in ("doc_id", "toxic", "text")], strict=True), key=lambda r: r[:2])
+    words = sorted({w for _, _, text in rows for w in terms_of(text)})
+    at = {w: i for i, w in enumerate(words)}
+    shared = spark.sparkContext.broadcast(at)
+    counted = slim.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts, F.col("doc_id") == F.col("first_id"), "left").select("text", "toxic")
 
     def count(batches):
-        seen: dict = {}
-
-        def out():
-            keys = list(seen)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([seen[k][1] for k in keys], pa.int64()), pa.array([seen[k][0] for k in keys], pa.int64())], ["term", "n1", "n0"])
-
-        for batch in batches:
-            for toxic, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                for t in set(terms_of(text.as_py())):
-                    seen.setdefault(t, [0, 0])[toxic] += 1
-            if len(seen) > 200_000:
-                yield out()
-                seen.clear()
-        if seen:
-            yield out()
-
-    sizes = {r["toxic"]: r["count"] for r in firsts.groupBy("toxic").count().collect()}
-    all1, all0 = sizes.get(1, 0), sizes.get(0, 0)
-    counts = texts.mapInArrow(count, "term binary, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    # Rates apart by the same measure in SQL: a bounded number of terms reaches the driver.
-    c = lambda x: F.col(x).cast("double")
-    xlogx = lambda k, p: F.when(k > 0, k * F.log(p)).otherwise(0.0)
-    n1, n0, a1, a0 = c("n1"), c("n0"), F.lit(float(max(all1, 1))), F.lit(float(max(all0, 1)))
-    one = xlogx(n1, n1 / a1) + xlogx(a1 - n1, (a1 - n1) / a1) + xlogx(n0, n0 / a0) + xlogx(a0 - n0, (a0 - n0) / a0)
-    both = xlogx(n1 + n0, (n1 + n0) / (a1 + a0)) + xlogx(a1 + a0 - n1 - n0, (a1 + a0 - n1 - n0) / (a1 + a0))
-    picked = counts.withColumn("ratio", 2 * (one - both)).filter((F.col("ratio") >= RATIO) & (F.col("n1") + F.col("n0") >= 3))
-    best = sorted((bytes(r["term"]), r["n1"] * all0 > r["n0"] * all1) for r in picked.orderBy(F.desc("ratio"), "term").limit(TERMS).collect())
-    words = Vocabulary([t for t, _ in best], [toxic for _, toxic in best])
-
-    def frequency(batches):
-        n, seen = 0, np.zeros(words.size + 1, np.int64)
+        number, seen, n = shared.value, np.zeros((len(shared.value), 3), np.int64), 0
         for batch in batches:
-            for text in batch.column(0):
-                n += 1
-                for i, _ in words.counts(text.as_py()):
-                    seen[i] += 1
-        seen[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(seen))), pa.array(seen)], ["i", "n"])
-
-    df = np.zeros(words.size + 1)
-    for r in slim.select("text").mapInArrow(frequency, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
-        df[r["i"]] = r["n"]
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-
-    def sparse(batches):
-        for batch in batches:
-            found = [words.counts(x.as_py()) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[t for t, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "counts"])
-
-    vectors = scratch.keep(texts.mapInArrow(sparse, "doc_id long, toxic int, terms array<int>, counts array<int>"), "vectors")
-    rest = {(r["toxic"], r["some"]): r["count"] for r in vectors.groupBy("toxic", (F.size("terms") > 0).alias("some")).count().collect()}
-    share = {label: min(1.0, EXAMPLES / max(1, rest.get((label, True), 0))) for label in (0, 1)}
-    place = F.pmod(F.xxhash64(F.lit("example"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = vectors.filter((F.size("terms") > 0) & (place < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))).collect()
-    scratch.drop(vectors)
-    rows = sorted((r["doc_id"], r["toxic"], r["terms"], r["counts"]) for r in sample)
-    return Scorer(words, idf, rows, rest)
+            n += batch.num_rows
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                ids = known_terms(number, text.as_py())[0]
+                seen[ids, 0] += 1
+                if toxic is not None:
+                    seen[ids, 2 - toxic] += 1
+        some = np.flatnonzero(seen[:, 0])
+        cols = [np.append(some, -1), *[np.append(seen[some, k], n if k == 0 else 0) for k in range(3)]]
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype("int64")) for c in cols], ["i", "n", "n1", "n0"])
+
+    sums = counted.mapInArrow(count, "i long, n long, n1 long, n0 long").groupBy("i").agg(*[F.sum(c).alias(c) for c in ("n", "n1", "n0")]).toArrow()
+    scratch.drop(firsts)
+    shared.unpersist()
+    i, *n = [sums.column(c).to_numpy() for c in ("i", "n", "n1", "n0")]
+    counts = np.zeros((len(words), 3))
+    for k in range(3):
+        counts[i[i >= 0], k] = n[k][i >= 0]
+    scorer = Scorer([(d, toxic, *known_terms(at, text)) for d, toxic, text in rows], counts, int(n[0][i < 0].sum()), per)
+    scorer.at = at
+    return scorer
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """(doc_id, held_out, score, predicted, evidence, evidence_cosine, text): see ``toxicity``."""
+    """(doc_id, held_out, score, predicted, evidence, evidence_cosine): see ``toxicity``."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches):
         s = shared.value
         for batch in batches:
-            found = [s.score(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.float64()))], ["doc_id", "score", "evidence", "evidence_cosine"])
+            scores, ids, cosines = s.score(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], ["doc_id", "score", "evidence", "evidence_cosine"])
 
     slim = columns_once(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = slim.mapInArrow(run, "doc_id long, score double, evidence array<long>, evidence_cosine array<double>")
@@ -270,27 +270,31 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence, evidence_cosine), a row for each row of ``docs``.
 
-    Null and empty texts, and texts without a term of the vocabulary, get the rate of toxic ones among such
-    training texts. A null id isn't held out. Without any labelled row the score is one half of the prior
-    pseudo-count. Evidence holds the three nearest examples' doc_ids and cosines. Only doc_id and text are read
-    of ``docs``, doc_id and toxic of ``labels``; labels other than 0 and 1 are not used.
+    Null and empty texts, and texts without a word of the examples, get the rate of toxic training texts,
+    and no evidence. A null id isn't held out. Without any labelled row the score is one half. Evidence
+    holds the three nearest examples' doc_ids and cosines; equal cosines go by the index's order. Only doc_id
+    and text are read of ``docs``, doc_id and toxic of ``labels``; labels other than 0 and 1 are not used.
+    Repeated rows give repeated results; texts of any length are searched with all their words.
     """
     return score(docs, train(docs, labels))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text scores below one half, with all their columns."""
+    """The rows of ``docs`` whose text scores below one half, with all their columns, whatever their names.
+
+    Null and empty texts have the rate of toxic training texts for a score. Repeated rows stay or go alike;
+    no rows give no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    at = position(docs, "text")
 
     def clean(batches):
         s = shared.value
         for batch in batches:
-            yield batch.filter(pa.array([s.score(x.as_py())[0] < 0.5 for x in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array(s.score(batch.column(at).to_pylist())[0] < 0.5))
 
-    names = docs.columns
-    at = names.index("text")
-    numbered = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)])
-    return numbered.mapInArrow(clean, numbered.schema).toDF(*names)
+    plain = numbered(docs)
+    return plain.mapInArrow(clean, plain.schema).toDF(*docs.columns)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Documents with the awkward cases: nulls, blanks, repeated rows, null and repeated ids, clashing columns."""
 
-DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, TEXT_HASH string, n_lines int, size int, root int"
+DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, TEXT_HASH string, n_lines int, size int, root int, DOC_ID long, Text string, mix_n int, mix_of string, mix_copies int, mix_last long, c0 int, c1 string"
 WORDS = [f"w{i}" for i in range(60)]
 LONG = " ".join(WORDS)
+#: Columns whose names differ from others by case only, or are those of working columns.
+CLASHING = (-1, "another text", 1, "s", 2, 3, 4, "c")
 
 
 def rows():
@@ -12,7 +14,7 @@ def rows():
         (13, "a  b\n\n c <|endoftext|> d\r\n"), (14, "Été ÉTÉ été naïve"), (15, " ".join(f"v{i}" for i in range(3000))),
     ]
     texts += [(100 + i, f"common line\n  Common LINE \nown {i}\n") for i in range(12)]
-    return [(i, t, None if k % 5 == 0 else "en", None if k % 4 == 0 else f"s{k % 3}", None, "fp", "th", 1, 2, 3) for k, (i, t) in enumerate(texts)]
+    return [(i, t, None if k % 5 == 0 else "en", None if k % 4 == 0 else f"s{k % 3}", None, "fp", "th", 1, 2, 3, *CLASHING) for k, (i, t) in enumerate(texts)]
 
 
 def frame(spark, data=None):

@@ -3,7 +3,7 @@ import re
 
 from spanforge.llm import pii, secretscan
 
-from .fixtures import DOC_SCHEMA, empty, frame
+from .fixtures import CLASHING, DOC_SCHEMA, empty, frame
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -52,7 +52,7 @@ TRICKY = [
 
 
 def tricky(spark):
-    return spark.createDataFrame([(i, t, None, "s", None, None, None, None, None, None) for i, t in enumerate(TRICKY)], DOC_SCHEMA)
+    return spark.createDataFrame([(i, t, None, "s", None, None, None, None, None, None, *CLASHING) for i, t in enumerate(TRICKY)], DOC_SCHEMA)
 
 
 def check(df, rows, brute, kinds):
