@@ -51,3 +51,47 @@ PREDICTIONS = """predictions AS (SELECT d.doc_id AS record_id, source AS mode, l
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+
+
+def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans with an end and a parent: one whose k is under 20 opens a task that the spans after it belong to; a span lasts its value in minutes."""
+    s = spans(spark, sf_dir)
+    opens = F.coalesce(F.col("k") < 20, F.lit(False))
+    opened = F.last(F.when(opens, F.col("span_id")), ignorenulls=True).over(order().rowsBetween(W.unboundedPreceding, -1))
+    return s.withColumn("parent_id", opened).withColumn("end_time", F.timestamp_micros(F.unix_micros(F.col("start_time").cast("timestamp")) + F.floor(F.col("value")) * 60_000_000).cast(s.schema["start_time"].dataType))
+
+
+PARENTS = SPANS + """, parents AS (SELECT *, last_value(CASE WHEN k < 20 THEN span_id END IGNORE NULLS) OVER (PARTITION BY trace_id ORDER BY start_time, span_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS parent_id,
+  start_time + to_minutes(CAST(floor(value) AS BIGINT)) AS end_time FROM spans)"""
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(trace_id, msg_id, sender, recipient, content, ts): a turn is a message to the role of the next turn, the last to that before; a turn takes a second."""
+    w = W.partitionBy("conv_id").orderBy("turn")
+    to = F.coalesce(F.lead("role").over(w), F.lag("role").over(w))
+    return turns(spark, sf_dir).select(F.col("conv_id").alias("trace_id"), F.col("turn").alias("msg_id"), F.col("role").alias("sender"), to.alias("recipient"), F.col("text").alias("content"), F.col("turn").cast("double").alias("ts"))
+
+
+MESSAGES = """messages AS (SELECT conv_id AS trace_id, turn AS msg_id, role AS sender, coalesce(lead(role) OVER w, lag(role) OVER w) AS recipient, text AS content, CAST(turn AS DOUBLE) AS ts
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
+
+
+#: What an agent writes to another, by the last digit of k.
+PHRASES = (
+    "update the customer record for the ledger now", "delete the customer record for the ledger now", "please provide the customer record for the ledger", "lock resource ledger for writing",
+    "step 1 collect the totals of all regions", "step 2 report the totals of all regions", "cancel that and use the older totals instead", "owner: alice total: 10 for the customer record",
+    "owner: bob total: 12 for the customer record", "forward the report of all regions to the reviewers",
+)
+
+
+def dispatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(trace_id, msg_id, sender, recipient, content, ts): an event as an instruction between two of four agents; a trace's messages come a second apart."""
+    s = spans(spark, sf_dir).filter("k is not null")
+    a, b = F.col("k") % 4, F.floor(F.col("k") / 4) % 4
+    name = lambda c: F.concat(F.lit("agent"), c.cast("int").cast("string"))
+    content = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("k") % 10 + 1).cast("int"))
+    return s.select("trace_id", F.col("span_id").alias("msg_id"), name(a).alias("sender"), name(F.when(a == b, (b + 1) % 4).otherwise(b)).alias("recipient"), content.alias("content"), F.row_number().over(order()).cast("double").alias("ts"))
+
+
+DISPATCHES = SPANS + f""", messages AS (SELECT trace_id, span_id AS msg_id, 'agent' || (k % 4) AS sender, 'agent' || (CASE WHEN k % 4 = k // 4 % 4 THEN (k // 4 % 4 + 1) % 4 ELSE k // 4 % 4 END) AS recipient,
+  ({list(PHRASES)!r})[CAST(k % 10 + 1 AS INTEGER)] AS content, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY start_time, span_id) AS DOUBLE) AS ts FROM spans WHERE k IS NOT NULL)"""
