@@ -5,14 +5,18 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._util import columns_once
 
 VALID = "vec_id long, dim int, fp binary, vec binary"
 
 
 def valid_vectors(df: DataFrame, keep_invalid: bool = False, label: str | None = None) -> DataFrame:
     """(vec_id, dim, fp, vec[, label]): vec holds doubles; fp is null where the vector is null, zero or holds null or non-finite components."""
-    cols = [df["vec_id"].cast("long").alias("vec_id"), df["embedding"].cast("array<double>").alias("embedding")]
-    cols += [df[label].cast("string").alias("label")] if label else []
+    df = columns_once(df, "vec_id", "embedding", *([label] if label else []))
+    cols = [F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")]
+    cols += [F.col(label).cast("string").alias("label")] if label else []
 
     def convert(batches):
         for batch in batches:
