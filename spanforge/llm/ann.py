@@ -4,9 +4,12 @@ The largest inner product is turned into the nearest point by one more coordinat
 the same length. Centroids are fitted on a bounded sample with a penalty on large clusters; every vector
 is indexed. A vector near the border between clusters goes to several lists. Queries find lists through
 a small-world graph over the centroids, held in memory, and keep those whose distance is within a ratio of
-the nearest. Lists that grow large are cut into parts, which are scanned separately.
+the nearest. Some queries are first held against all vectors; lists and ratio are widened until the lists
+give enough of their true neighbours. Lists that grow large are cut into parts, which are scanned separately.
 """
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -14,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._util import Scratch, table
+from ._util import Scratch, columns_once, table
 from .hnsw import Graph
 from .vectors import dots, matrix, valid_vectors
 
@@ -28,6 +31,8 @@ PROBES, PROBE_RATIO = 32, 3.0
 #: Vectors and queries of a part of a list on average.
 PART = 4096
 ROUNDS = 10
+#: Queries that the audit holds against all vectors, and the share of their true neighbours that the lists must give.
+AUDIT, RECALL = 64, 0.95
 
 
 def balanced_centroids(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 11) -> np.ndarray:
@@ -64,10 +69,7 @@ class Lists:
     def nearest(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(list, squared distance) of the ``k`` nearest centroids found, nearest first; -1 where fewer."""
         k = min(k, len(self.c))
-        if k * 2 >= len(self.c):
-            ids = np.argsort(((self.c**2).sum(1) - 2 * x @ self.c.T), axis=1, kind="stable")[:, :k].astype(np.int32)
-        else:
-            ids = self.graph.search(x, max(2 * k, 32))[0][:, :k]
+        ids = self.graph.search(x, max(2 * k, 32))[0][:, :k]
         d = ((self.c[ids] - x[:, None, :]) ** 2).sum(2)
         d[ids < 0] = np.inf
         return ids, d
@@ -91,22 +93,43 @@ def lifted(x: np.ndarray, most: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(0, most - (x**2).sum(1)))[:, None]], 1)
 
 
+def exact_top(asking: list, top: int):
+    """For mapInArrow over (fp, vec): each batch's best ``top`` classes for each of ``asking``, (fp, vec) pairs."""
+
+    def run(batches):
+        q, own = matrix(v for _, v in asking), [f for f, _ in asking]
+        for b in batches:
+            x, fps = matrix(b.column(1).to_pylist()), b.column(0)
+            s = q @ x.T
+            take = min(len(x), top)
+            at = np.argpartition(-s, take - 1, axis=1)[:, :take]
+            r = np.repeat(np.arange(len(q)), take)
+            yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in r], pa.binary()), fps.take(pa.array(at.ravel())), pa.array(dots(q[r], x[at.ravel()]))], ["q", "fp", "score"])
+
+    return run
+
+
 def nearest_neighbours(vectors: DataFrame, is_query, top: int = TOP, probes: int = PROBES) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row that meets ``is_query`` the rows of largest inner product, itself excepted.
+    """(query_id, rank, vec_id, score, audit_recall): for each row that meets ``is_query`` the rows of largest inner product, itself excepted.
 
-    All vectors have one length; the commonest is taken if there are several. Null, empty, zero and
-    non-finite vectors and null ids take no part. Equal vectors are searched once and the smaller ids come
-    first. A query for which the lists give too few is searched in all of them. Repeated rows of an id
-    are one. Other columns are not read; no queries or no vectors give no rows.
+    Vectors are compared with those of their length. Null, empty, zero and non-finite vectors and null ids
+    take no part. Equal vectors are searched once and the smaller ids come first. A query for which the
+    lists give too few is searched in all of them. Repeated rows of an id are one. audit_recall is the share
+    of the audited queries' true neighbours that the lists gave. Other columns are not read; no queries or no
+    vectors give no rows.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
-    rows = scratch.keep(valid_vectors(vectors).filter("vec_id is not null").dropDuplicates(["vec_id", "fp"]), "rows")
-    dims = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    result = "query_id long, rank int, vec_id long, score double"
-    if dims is None:
-        return spark.createDataFrame([], result)
-    rows = rows.filter(F.col("dim") == dims["dim"])
+    slim = columns_once(vectors, "vec_id", "embedding")
+    rows = scratch.keep(valid_vectors(slim).filter("vec_id is not null").dropDuplicates(["vec_id", "fp"]), "rows")
+    dims = [r["dim"] for r in rows.filter(is_query).select("dim").distinct().orderBy("dim").collect()]
+    found = [_of_one_length(rows.filter(F.col("dim") == d), is_query, top, probes, scratch) for d in dims]
+    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, audit_recall double")
+    return reduce(DataFrame.unionByName, found) if found else none
+
+
+def _of_one_length(rows: DataFrame, is_query, top: int, probes: int, scratch: Scratch) -> DataFrame:
+    spark = rows.sparkSession
     # The first ids of a class are all that any query can want of it, and one more for its own.
     ids = rows.select("fp", "vec_id").withColumn("nth", F.row_number().over(W.partitionBy("fp").orderBy("vec_id"))).filter(F.col("nth") <= top + 1).select("fp", "vec_id")
     ids = scratch.keep(ids, "ids")
@@ -123,9 +146,11 @@ def nearest_neighbours(vectors: DataFrame, is_query, top: int = TOP, probes: int
 
     most = classes.select("vec").mapInArrow(longest, "most double").agg(F.max("most")).first()[0]
     k = int(max(1, min(LISTS, n // LIST, len(sample) // 8)))
-    shared = spark.sparkContext.broadcast(balanced_centroids(lifted(matrix(bytes(r["vec"]) for r in sample), most), k))
+    # The graph over the centroids is built once; tasks get it whole.
+    shared = spark.sparkContext.broadcast(Lists(balanced_centroids(lifted(matrix(bytes(r["vec"]) for r in sample), most), k)))
+
     def post(batches):
-        index = Lists(shared.value)
+        index = shared.value
         for b in batches:
             raws = b.column(1).to_pylist()
             homes = index.homes(lifted(matrix(raws), most))
@@ -138,14 +163,14 @@ def nearest_neighbours(vectors: DataFrame, is_query, top: int = TOP, probes: int
     queries = scratch.keep(rows.filter(is_query).select(F.col("vec_id").alias("query_id"), "fp"), "queries")
     asking = queries.select("fp").distinct().join(classes, "fp").select("fp", "vec")
 
-    def probe(limit: int, ratio: float):
+    def probe(limit: int, ratio: float | None):
         def run(batches):
-            index = Lists(shared.value)
+            index = shared.value
             for b in batches:
                 raws = b.column(1).to_pylist()
                 x = matrix(raws)
                 ids, d = index.nearest(np.concatenate([x, np.zeros((len(x), 1))], 1), limit)
-                ok = (ids >= 0) & (d <= d[:, :1] * ratio)
+                ok = (ids >= 0) & (ratio is None or d <= d[:, :1] * ratio)
                 at, col = np.nonzero(ok)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at, col].astype("int32")), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], ["list", "fp", "vec"])
 
@@ -164,7 +189,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, top: int = TOP, probes: int
                 out.append(pd.DataFrame({"q": own[a + r], "fp": fps[c], "score": dots(q[a + r], x[c])}))
         return pd.concat(out) if out else pd.DataFrame({"q": [], "fp": [], "score": []})
 
-    def search(asking: DataFrame, limit: int, ratio: float) -> DataFrame:
+    def search(asking: DataFrame, limit: int, ratio: float | None) -> DataFrame:
         asked = asking.mapInArrow(probe(limit, ratio), "list int, fp binary, vec binary")
         asked = asked.join(F.broadcast(size), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         pieces = posted.select("list", "part", "fp", "vec")
@@ -173,17 +198,33 @@ def nearest_neighbours(vectors: DataFrame, is_query, top: int = TOP, probes: int
         order = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
         return best.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= top + 1).select("q", "vec_id", "score")
 
-    found = scratch.keep(search(asking, probes, PROBE_RATIO), "found")
+    order = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    audited = [(bytes(r["fp"]), bytes(r["vec"])) for r in asking.orderBy(F.xxhash64(F.lit("audit"), "fp")).limit(AUDIT).collect()]
+    truth = classes.select("fp", "vec").mapInArrow(exact_top(audited, top + 1), "q binary, fp binary, score double")
+    truth = truth.withColumn("nth", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "fp"))).filter(F.col("nth") <= top + 1).join(ids, "fp")
+    truth = truth.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= top + 1)
+    truth = scratch.keep(truth.groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("least")), "truth")
+    some = scratch.keep(asking.join(F.broadcast(truth.select(F.col("q").alias("fp"))), "fp"), "audited")
+    ratio = PROBE_RATIO
+    while True:
+        tried = search(some, probes, ratio).join(F.broadcast(truth), "q").filter(F.col("score") >= F.col("least") - 1e-9 * F.abs("least") - 1e-12)
+        hit, known = tried.count(), truth.agg(F.sum("n")).first()[0] or 0
+        recall = min(1.0, hit / known) if known else 1.0
+        if recall >= RECALL or (probes >= k and ratio is None):
+            break
+        # Twice the lists and twice the ratio, up to every list.
+        probes, ratio = min(k, 2 * probes), None if 2 * probes >= k else 2 * ratio
+    found = scratch.keep(search(asking, probes, ratio), "found")
     enough = min(top + 1, ids.limit(top + 1).count())
     full = found.groupBy("q").count().filter(F.col("count") >= enough).select(F.col("q").alias("fp"))
     short = scratch.keep(asking.join(full, "fp", "left_anti"), "short")
     if not short.isEmpty():
-        again = scratch.keep(search(short, k, float("inf")), "again")
+        again = scratch.keep(search(short, k, None), "again")
         found = found.join(short.select(F.col("fp").alias("q")), "q", "left_anti").unionByName(again)
     scratch.drop(posts)
     pairs = queries.join(found, F.col("fp") == F.col("q")).filter(F.col("vec_id") != F.col("query_id"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).alias("rank")
-    return pairs.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").filter(F.col("rank") <= top)
+    return pairs.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score", F.lit(float(recall)).alias("audit_recall")).filter(F.col("rank") <= top)
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from spanforge.llm import ann, embdedup
 from spanforge.llm.hnsw import Graph
 
 SMALL = "/root/testdata/sf0.01"
-SCHEMA = "vec_id long, embedding array<float>, label int, fp string, shard int, list int"
+SCHEMA = "vec_id long, embedding array<float>, label int, fp string, shard int, list int, VEC_ID long, Embedding string, LABEL string, c0 int"
 
 
 def brute_components(rows, least=0.93):
@@ -39,12 +39,12 @@ def awkward():
     rng = np.random.default_rng(4)
     base = rng.normal(size=(6, 8))
     rows = [(i, (base[i % 6] + rng.normal(size=8) * 0.15).astype("float32").tolist(), i % 2) for i in range(80)]
-    rows += [(200 + i, rows[3][1], 1) for i in range(30)] + [(300, None, 1), (301, [], 1), (302, [0.0] * 8, 1), (303, [1.0] + [float("nan")] * 7, 1), (304, [None] + [1.0] * 7, 0), (305, rows[3][1], None), (None, rows[3][1], 1), (200, rows[3][1], 1), (306, [1.0, 2.0], 1), (307, [1.0, 2.1], 1), (308, [float("inf")] * 8, 0), (309, [-0.0] * 8, 0)]
-    return rows
+    rows += [(200 + i, rows[3][1], 1) for i in range(30)] + [(300, None, 1), (301, [], 1), (302, [0.0] * 8, 1), (303, [1.0] + [float("nan")] * 7, 1), (304, [None] + [1.0] * 7, 0), (305, rows[3][1], None), (None, rows[3][1], 1), (200, rows[3][1], 1), (306, [1.0, 2.0], 1), (307, [1.0, 2.125], 1), (308, [float("inf")] * 8, 0), (309, [-0.0] * 8, 0)]
+    return rows + [(310, [2.0, 1.0], 0), (315, [1.0, 1.0], 0)]
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(*r, "x", 1, 2) for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, "x", 1, 2, -1, "y", "z", 3) for r in rows], SCHEMA)
 
 
 def components(df):
@@ -55,13 +55,19 @@ def test_near_dedup_awkward_rows(spark):
     rows = awkward()
     df = frame(spark, rows)
     assert components(embdedup.embedding_components(df)) == brute_components(rows)
-    assert components(embdedup.embedding_components(df, shard=16, block=8)) == brute_components(rows)
+    assert components(embdedup.embedding_components(df, shard=16)) == brute_components(rows)
     assert embdedup.embedding_components(frame(spark, [])).count() == 0
 
 
 def test_near_dedup_whole_table(spark):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()]
     assert components(embdedup.op3_embedding_dedup(spark, SMALL)) == brute_components(rows)
+    searched = spark.sparkContext.accumulator(0)
+    embeddings = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    assert components(embdedup.embedding_components(embeddings, searched=searched)) == brute_components(rows)
+    classes = embeddings.filter("label is not null").select("label", "embedding").distinct().count()
+    print("queries that beams answered", searched.value, "of", classes)
+    assert searched.value >= 0.9 * classes
 
 
 def test_beams_widen_until_the_audit_passes():
@@ -106,7 +112,7 @@ def test_queries_own_nodes_hide_no_lost_link():
 def test_near_dedup_of_thousands_in_a_label(spark):
     x = pairs_among(5000, 16, 60, 10).astype("float32")
     rows = [(i, v.tolist(), i // 4500) for i, v in enumerate(x)]
-    assert components(embdedup.embedding_components(frame(spark, rows), shard=2500, block=1500)) == brute_components(rows)
+    assert components(embdedup.embedding_components(frame(spark, rows), shard=2500)) == brute_components(rows)
 
 
 def test_graph_recall():
@@ -122,12 +128,12 @@ def test_graph_recall():
 def brute_nearest(rows, is_query, top=20):
     ok = {}
     for i, v, _ in rows:
-        if i is not None and v is not None and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v):
+        if i is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v):
             ok.setdefault(i, []).append(np.array(v, float))
     out = {}
     for i, vs in ok.items():
         if is_query(i):
-            near = sorted({(-round(float(ann.dots(vs[0][None], w[None])[0]), 12), j) for j, ws in ok.items() for w in ws if j != i})
+            near = sorted({(-round(float(ann.dots(vs[0][None], w[None])[0]), 12), j) for j, ws in ok.items() for w in ws if j != i and len(w) == len(vs[0])})
             out[i] = near[:top]
     return out
 
@@ -168,3 +174,36 @@ def test_nearest_recall_on_the_whole_table(spark):
         hit.append(len(set(ids[np.argsort(-s)[:20]].tolist()) & got[ids[q]]) / 20)
     print("recall", np.mean(hit))
     assert np.mean(hit) >= 0.95
+
+
+def test_nearest_recall_with_hundreds_of_lists(spark):
+    """Far more lists than a query reads at first."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    base = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()], float)
+    rng = np.random.default_rng(12)
+    x = np.repeat(base, 25, 0)
+    x = (x + rng.normal(size=x.shape) * 0.5 * x.std()).astype("float32")
+    assert len(x) >= 50_000 and len(x) // ann.LIST > 10 * ann.PROBES
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.astype(float).tolist()}), "vec_id long, embedding array<double>")
+    got = {}
+    rows = ann.nearest_neighbours(df, F.col("vec_id") % 200 == 0).collect()
+    for r in rows:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    x, hit = x.astype(float), []
+    for q in range(0, len(x), 200):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit.append(len(set(np.argsort(-s)[:20].tolist()) & got[q]) / 20)
+    print("recall", np.mean(hit), "least", min(hit), "audited", rows[0].audit_recall)
+    assert np.mean(hit) >= 0.9 and rows[0].audit_recall >= 0.95
+
+
+def test_probes_widen_until_the_audit_passes(spark):
+    from pyspark.sql import functions as F
+
+    x = np.random.default_rng(13).normal(size=(3000, 16))  # no clusters: few lists hold few of the neighbours
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = ann.nearest_neighbours(df, F.col("vec_id") % 50 == 0, probes=1).collect()
+    assert rows[0].audit_recall >= 0.95
