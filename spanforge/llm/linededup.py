@@ -4,11 +4,14 @@ The reference counts say, for each line key, how many documents hold it. Keys th
 in the cuckoo filter of their shard; a filter takes deletions, so documents can leave again and a key
 that falls below the limit stops being dropped. The scan that rewrites texts probes the filters. Since
 every key is in the exact table, the few keys that a filter reports wrongly are found beforehand by
-probing it with the whole table, and the scan excepts them: its result is exact.
+probing it with the whole table, and the scan excepts them: its result is exact. Filters of a bounded size
+go to every task; beyond it, lines go to the filter of their shard. Insertions and deletions add short
+tables of changes to the counts, and read only the keys that change.
 """
 
 import hashlib
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import Scratch, columns_once, table
+from ._util import BROADCAST_ROWS, Scratch, columns_once, numbered, position, table
 
 MIN_CHARS = 1
 MIN_DOCS = 10
 #: Keys of a shard's filter on average, and bytes of filters and exceptions up to which tasks get them whole.
 SHARD_KEYS = 50_000
 BROADCAST_BYTES = 64 << 20
+#: Lines of a shard that go to one task on average, where lines go to filters, and tables of changes that are summed up into one.
+SHARD_LINES, CHANGES = 4_000_000, 8
 
 SLOTS = 4
 KICKS = 500
@@ -131,10 +136,16 @@ def reference_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         if seen:
             yield out()
 
-    partial = docs.select(docs["text"].alias("text")).mapInArrow(count, "k1 long, k2 long, n long")
+    partial = columns_once(docs, "text").mapInArrow(count, "k1 long, k2 long, n long")
     return partial.groupBy("k1", "k2").agg(F.sum("n").alias("n_docs"))
 
 
+def summed(tables: list[DataFrame], keep: bool = False) -> DataFrame:
+    """(k1, k2, n_docs) summed over ``tables``; keys that no document holds any more are left out unless ``keep``."""
+    both = reduce(DataFrame.unionByName, tables).groupBy("k1", "k2").agg(F.sum("n_docs").alias("n_docs"))
+    return both if keep else both.filter("n_docs > 0")
+
+
 def build_filters(dropped: DataFrame, shards: int) -> DataFrame:
     """(shard, filter) over the keys (k1, k2) of ``dropped``."""
 
@@ -174,8 +185,13 @@ class LineDedup:
     ``insert`` and ``delete`` take documents in and out; ``clean`` rewrites texts by the present state.
     """
 
-    def __init__(self, counts: DataFrame, filters: DataFrame, shards: int, scratch: Scratch, min_docs: int, min_chars: int):
-        self.counts, self.filters, self.shards, self.scratch, self.min_docs, self.min_chars = counts, filters, shards, scratch, min_docs, min_chars
+    def __init__(self, tables: list[DataFrame], filters: DataFrame, shards: int, scratch: Scratch, min_docs: int, min_chars: int):
+        """The counts are the sum of ``tables``: the first holds whole counts, the others changes."""
+        self.tables, self.filters, self.shards, self.scratch, self.min_docs, self.min_chars = tables, filters, shards, scratch, min_docs, min_chars
+
+    @property
+    def counts(self) -> DataFrame:
+        return self.tables[0] if len(self.tables) == 1 else summed(self.tables)
 
     @classmethod
     def build(cls, docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> "LineDedup":
@@ -183,12 +199,15 @@ class LineDedup:
         counts = scratch.keep(reference_counts(docs, min_chars), "counts")
         dropped = counts.filter(F.col("n_docs") >= min_docs)
         shards = max(1, -(-dropped.count() // SHARD_KEYS))
-        return cls(counts, scratch.keep(build_filters(dropped, shards), "filters"), shards, scratch, min_docs, min_chars)
+        return cls([counts], scratch.keep(build_filters(dropped, shards), "filters"), shards, scratch, min_docs, min_chars)
 
     def _change(self, docs: DataFrame, sign: int) -> "LineDedup":
-        delta = reference_counts(docs, self.min_chars).select("k1", "k2", (F.col("n_docs") * sign).alias("change"))
-        old = self.counts.withColumnRenamed("n_docs", "was").join(delta, ["k1", "k2"], "full")
-        both = self.scratch.keep(old.select("k1", "k2", F.coalesce("was", F.lit(0)).alias("was"), (F.coalesce("was", F.lit(0)) + F.coalesce("change", F.lit(0))).alias("n_docs")), "counts")
+        delta = self.scratch.keep(reference_counts(docs, self.min_chars).select("k1", "k2", (F.col("n_docs") * sign).alias("n_docs")), "change")
+        keys = delta.select("k1", "k2")
+        small = keys.count() <= BROADCAST_ROWS
+        # Of the counts only the changed keys are summed; with few of them no table is shuffled whole.
+        was = summed([t.join(F.broadcast(keys) if small else keys, ["k1", "k2"], "left_semi") for t in self.tables], keep=True).withColumnRenamed("n_docs", "was")
+        both = delta.withColumnRenamed("n_docs", "change").join(was, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("was", F.lit(0)).alias("was"), (F.coalesce("was", F.lit(0)) + F.col("change")).alias("n_docs"))
         crossing = both.filter((F.col("was") >= self.min_docs) != (F.col("n_docs") >= self.min_docs)).withColumn("shard", shard_of(self.shards))
         least = self.min_docs
 
@@ -201,12 +220,15 @@ class LineDedup:
             return pd.DataFrame({"shard": [shard], "filter": [None if full else f.table.tobytes()]})
 
         updated = self.scratch.keep(self.filters.groupBy("shard").cogroup(crossing.groupBy("shard")).applyInPandas(update, "shard long, filter binary"), "filters")
-        counts = both.filter("n_docs > 0").select("k1", "k2", "n_docs")
+        tables = [*self.tables, delta]
+        if len(tables) > CHANGES:
+            tables = [self.scratch.keep(summed(tables), "counts")]
+        new = LineDedup(tables, updated, self.shards, self.scratch, least, self.min_chars)
         if not updated.filter("filter is null").isEmpty():  # a filter is full: all are built anew from the exact counts
-            dropped = counts.filter(F.col("n_docs") >= least)
-            shards = max(1, -(-dropped.count() // SHARD_KEYS))
-            return LineDedup(counts, self.scratch.keep(build_filters(dropped, shards), "filters"), shards, self.scratch, least, self.min_chars)
-        return LineDedup(counts, updated, self.shards, self.scratch, least, self.min_chars)
+            dropped = new.counts.filter(F.col("n_docs") >= least)
+            new.shards = max(1, -(-dropped.count() // SHARD_KEYS))
+            new.filters = self.scratch.keep(build_filters(dropped, new.shards), "filters")
+        return new
 
     def insert(self, docs: DataFrame) -> "LineDedup":
         return self._change(docs, 1)
@@ -243,14 +265,13 @@ class LineDedup:
         columns stay as they are, whatever their names; no rows give no rows.
         """
         probe, shards, min_chars = self._probe(), self.shards, self.min_chars
-        names = docs.columns
-        at = names.index("text")
-        out = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)])
+        names, at = docs.columns, position(docs, "text")
+        out = numbered(docs)
         out = out.withColumn("c_text", F.coalesce(F.col(f"c{at}"), F.lit("")))
         schema = ", ".join(f"c{i} {docs.schema[i].dataType.simpleString()}" for i in range(len(names))) + ", n_lines long, n_dropped long"
         out = out.drop(f"c{at}").withColumnRenamed("c_text", f"c{at}").select(*[f"c{i}" for i in range(len(names))])
         if probe is None:
-            out = self._clean_by_join(out, f"c{at}")
+            out = self._clean_by_shard(out, f"c{at}")
         else:
 
             def rewrite(batches):
@@ -276,9 +297,14 @@ class LineDedup:
             out = out.mapInArrow(rewrite, schema)
         return out.toDF(*names, "line_dedup_lines", "line_dedup_dropped")
 
-    def _clean_by_join(self, docs: DataFrame, text: str) -> DataFrame:
-        """Beyond the broadcast limit: lines meet the exact table by key; dropped places meet texts by their hash."""
-        min_chars = self.min_chars
+    def _clean_by_shard(self, docs: DataFrame, text: str) -> DataFrame:
+        """Beyond the broadcast limit: lines go to the filter of their shard; dropped places meet texts by their hash.
+
+        A task reads a shard's filter, then the rare keys of the shard, which show what the filter reports
+        wrongly, then lines. A shard with many lines is dealt to several tasks, whatever its lines are.
+        """
+        min_chars, shards = self.min_chars, self.shards
+        task = "shard long, salt int, kind int, filter binary, t1 long, t2 long, i long, k1 long, k2 long"
 
         def lines(batches):
             for batch in batches:
@@ -286,10 +312,45 @@ class LineDedup:
                 cols = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["t1", "t2", "i", "k1", "k2"])
 
+        def probe(batches):
+            key, known, wrong = None, None, set()
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                shard, salt, kind = (batch.column(c).to_numpy() for c in ("shard", "salt", "kind"))
+                ends = np.flatnonzero(np.diff(shard, append=-1) | np.diff(salt, append=-1) | np.diff(kind, append=-1)) + 1
+                for first, last in zip([0, *ends[:-1]], ends, strict=True):
+                    rows = table.slice(first, last - first)
+                    if (shard[first], salt[first]) != key:
+                        key, known, wrong = (shard[first], salt[first]), None, set()
+                    if kind[first] == 0:
+                        known = Probe({int(shard[first]): rows.column("filter")[0].as_py()}, shards)
+                        continue
+                    if known is None:  # no key of the shard is dropped
+                        continue
+                    k1, k2 = (rows.column(c).to_numpy() for c in ("k1", "k2"))
+                    hit = rows.filter(pa.array(known.hits(k1, k2)))
+                    if kind[first] == 1:
+                        wrong |= set(zip(hit.column("k1").to_pylist(), hit.column("k2").to_pylist(), strict=True))
+                    else:
+                        right = [k not in wrong for k in zip(hit.column("k1").to_pylist(), hit.column("k2").to_pylist(), strict=True)]
+                        yield from hit.filter(pa.array(right, pa.bool_())).select(["t1", "t2", "i"]).to_batches()
+
         named = docs.withColumns({"t1": F.xxhash64(F.col(text)), "t2": F.xxhash64(F.lit("two"), F.col(text))})
-        found = named.select(text, "t1", "t2").mapInArrow(lines, "t1 long, t2 long, i long, k1 long, k2 long")
-        hot = self.counts.filter(F.col("n_docs") >= self.min_docs).select("k1", "k2")
-        places = found.join(hot, ["k1", "k2"]).groupBy("t1", "t2").agg(F.collect_set("i").alias("places"))
+        distinct = named.groupBy("t1", "t2").agg(F.first(text).alias(text)).select(text, "t1", "t2")
+        found = self.scratch.keep(distinct.mapInArrow(lines, "t1 long, t2 long, i long, k1 long, k2 long").withColumn("shard", shard_of(shards)), "lines")
+        salts = found.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(SHARD_LINES)).cast("int").alias("salts"))
+        each = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+        blank = lambda *names: [F.lit(None).cast("binary" if c == "filter" else "long").alias(c) for c in names]
+        rare = self.counts.filter(F.col("n_docs") < self.min_docs).select("k1", "k2").withColumn("shard", shard_of(shards))
+        parts = [
+            self.filters.join(F.broadcast(salts), "shard").select("shard", each, F.lit(0).alias("kind"), "filter", *blank("t1", "t2", "i", "k1", "k2")),
+            rare.join(F.broadcast(salts), "shard").select("shard", each, F.lit(1).alias("kind"), *blank("filter", "t1", "t2", "i"), "k1", "k2"),
+            found.join(F.broadcast(salts), "shard").select("shard", F.pmod(F.xxhash64("t1", "t2", "i"), F.col("salts")).cast("int").alias("salt"), F.lit(2).alias("kind"), *blank("filter"), "t1", "t2", "i", "k1", "k2"),
+        ]
+        dealt = reduce(DataFrame.unionByName, parts).select(*[c.split()[0] for c in task.split(", ")])
+        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        hits = dealt.repartition(tasks, "shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(probe, "t1 long, t2 long, i long")
+        places = hits.groupBy("t1", "t2").agg(F.collect_set("i").alias("places"))
         joined = named.join(places, ["t1", "t2"], "left")
         parts = F.split(F.col(text), "\n", -1)
         none = F.array().cast("array<bigint>")
@@ -300,6 +361,10 @@ class LineDedup:
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` without the lines that ``min_docs`` of its rows or more share; see ``LineDedup.clean``.
+
+    A row is a document: rows that repeat an id or a whole text count each. An empty table gives an empty one.
+    """
     return LineDedup.build(docs, min_docs, min_chars).clean(docs)
 
 

@@ -5,7 +5,7 @@ import numpy as np
 
 from spanforge.llm import linededup as d
 
-from .fixtures import empty, frame
+from .fixtures import empty, frame, rows
 
 SMALL = "/root/testdata/sf0.01"
 WHITE = " \t\n\x0b\x0c\r"
@@ -53,7 +53,7 @@ def test_beyond_the_broadcast_limit(spark, monkeypatch):
 
 def test_insert_and_delete_reverse_each_other(spark):
     df = frame(spark)
-    some, rest = df.filter("doc_id < 107"), df.filter("doc_id >= 107")
+    some, rest = frame(spark, [r for r in rows() if (r[0] or 107) < 107]), frame(spark, [r for r in rows() if (r[0] or 0) >= 107])
     part = d.LineDedup.build(some)
     whole = part.insert(rest)
     assert result(whole.clean(df)) == result(d.dedup_lines(df))
