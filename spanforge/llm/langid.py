@@ -7,6 +7,7 @@ labelled texts and is small enough for every task; every text is predicted from
 
 import re
 from collections import Counter, defaultdict
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ._util import Scratch, columns_once, table
 
-#: Labelled texts of a language that the model is fitted on at most, on average, and words of a language that it keeps at most.
-LABELLED, WORDS = 20_000, 50_000
+#: Labelled texts of a language that the model is fitted on at most, on average; all their words are learned.
+LABELLED = 20_000
 ORDERS = (4, 3, 2, 1)
 FOLDS, HELD = 4, 2
 UNKNOWN = "und"
@@ -32,31 +33,27 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(_SPACE).split()
 
 
+def grams_of(word: str) -> list[str]:
+    """The n-grams of a word between two spaces, longest first."""
+    s = f" {word} "
+    return [s[i : i + order] for order in ORDERS for i in range(len(s) - order + 1)]
+
+
 class Model(dict):
     """Maps a word to its row of ``table``; unseen words get a row by backoff when first asked for."""
 
-    def __init__(self, langs: list[str], counts: dict[str, dict[bytes, int]], totals: dict[str, int]):
+    def __init__(self, langs: list[str], words: list[bytes], rows: np.ndarray, grams: list[str], gram_rows: np.ndarray):
+        """rows and gram_rows: how often each word and each n-gram occurs in each language."""
         super().__init__()
         self.langs = langs
-        known = sorted({w for c in counts.values() for w in c})
-        self.base = {w: i for i, w in enumerate(known)}
-        grams: dict = defaultdict(lambda: np.zeros(len(langs)))
-        rows = np.zeros((len(known), len(langs)))
-        for k, lang in enumerate(langs):
-            for w, n in counts[lang].items():
-                rows[self.base[w], k] = n
-        for w, row in zip(known, rows, strict=True):
-            s = f" {w.decode()} "
-            for order in ORDERS:
-                for i in range(len(s) - order + 1):
-                    grams[s[i : i + order]] += row
-        size = np.array([totals[x] for x in langs], float)
-        self.words = np.log((rows + 0.5) / (size + 0.5 * len(known) + 1))
-        self.grams = {}
-        by_order = {o: sum((v for g, v in grams.items() if len(g) == o), np.zeros(len(langs))) for o in ORDERS}
-        kinds = Counter(len(g) for g in grams)
-        for g, v in grams.items():
-            self.grams[g] = np.log((v + 0.5) / (by_order[len(g)] + 0.5 * kinds[len(g)] + 1))
+        self.base = {w: i for i, w in enumerate(words)}
+        self.words = np.log((rows + 0.5) / (rows.sum(0) + 0.5 * len(words) + 1))
+        order = np.array([len(g) for g in grams], int)
+        logs = np.zeros_like(gram_rows)
+        for o in ORDERS:
+            own = gram_rows[order == o]
+            logs[order == o] = np.log((own + 0.5) / (own.sum(0) + 0.5 * len(own) + 1))
+        self.grams = dict(zip(grams, logs, strict=True))
         self.reset()
 
     def reset(self) -> None:
@@ -74,9 +71,8 @@ class Model(dict):
         return at
 
     def back_off(self, word: str) -> np.ndarray:
-        s = f" {word} "
-        for order in ORDERS:
-            found = [self.grams[g] for i in range(len(s) - order + 1) if (g := s[i : i + order]).strip() and g in self.grams]
+        for _, some in groupby(grams_of(word), key=len):
+            found = [self.grams[g] for g in some if g.strip() and g in self.grams]
             if found:
                 return np.mean(found, axis=0)
         return np.zeros(len(self.langs))
@@ -108,10 +104,22 @@ def fold(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(FOLDS)), F.lit(0))
 
 
-def train(docs: DataFrame, labelled: int = LABELLED, words: int = WORDS) -> Model:
+def table_of(counts: DataFrame, key: str, langs: list[str]) -> tuple[list, np.ndarray]:
+    """The distinct keys in order, and their counts by language, from rows (lang, key, n)."""
+    found = counts.toArrow()
+    coded = found.column(key).combine_chunks().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    place = {lang: k for k, lang in enumerate(langs)}
+    out = np.zeros((len(names), len(langs)))
+    np.add.at(out, (coded.indices.to_numpy(), [place[x] for x in found.column("lang").to_pylist()]), found.column("n").to_numpy())
+    order = sorted(range(len(names)), key=names.__getitem__)
+    return [names[i] for i in order], out[order]
+
+
+def train(docs: DataFrame, labelled: int = LABELLED) -> Model:
     """Fit on the texts with a language outside the held-out fold; of a language with more than ``labelled``, on a sample by hash."""
     spark = docs.sparkSession
-    slim = columns_once(docs, "doc_id", "text", "lang").filter((fold(docs["doc_id"]) != HELD) & docs["text"].isNotNull() & docs["lang"].isNotNull())
+    slim = columns_once(docs, "doc_id", "text", "lang").filter((fold(F.col("doc_id")) != HELD) & F.col("text").isNotNull() & F.col("lang").isNotNull())
     per = {r["lang"]: r["count"] for r in slim.groupBy("lang").count().collect()}
     place = F.pmod(F.xxhash64(F.lit("lang"), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # Only languages above the bound have a share; all texts of the others are taken.
@@ -128,11 +136,30 @@ def train(docs: DataFrame, labelled: int = LABELLED, words: int = WORDS) -> Mode
         cols = list(zip(*rows, strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64())], ["lang", "word", "n"])
 
-    counts = Scratch(spark, "langid").keep(sample.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "counts")
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    langs = sorted(totals)
-    kept = {x: {bytes(r["word"]): r["n"] for r in counts.filter(F.col("lang") == x).orderBy(F.desc("n"), "word").limit(words).collect()} for x in langs}
-    return Model(langs, kept, totals)
+    def split(batches):
+        seen: Counter = Counter()
+
+        def out():
+            keys = list(seen)
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())], ["lang", "gram", "n"])
+
+        for batch in batches:
+            for lang, word, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for g in grams_of(word.decode()):
+                    seen[lang, g] += n
+            if len(seen) > 500_000:
+                yield out()
+                seen.clear()
+        if seen:
+            yield out()
+
+    scratch = Scratch(spark, "langid")
+    counts = scratch.keep(sample.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "counts")
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    words = table_of(counts, "word", langs)
+    grams = table_of(counts.mapInArrow(split, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram", langs)
+    scratch.drop(counts)
+    return Model(langs, *words, *grams)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -138,8 +139,49 @@ def test_rare_languages_keep_their_texts(spark):
     assert m.predict("selten")[0] == "bb" and m.predict("common")[0] == "aa"
 
 
-def test_unseen_words_back_off():
-    m = langid.Model(["a", "b"], {"a": {b"strand": 5, b"strong": 5}, "b": {b"olivier": 5, b"olive": 5}}, {"a": 10, "b": 10})
-    assert m.predict("stran") [0] == "a" and m.predict("oliv")[0] == "b"
+def test_unseen_words_back_off(spark):
+    docs = [(i, t, lang) for i, (t, lang) in enumerate([("strand strong " * 5, "a"), ("olivier olive " * 5, "b")] * 3)]
+    m = langid.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert m.predict("stran")[0] == "a" and m.predict("oliv")[0] == "b"
     assert m.predict("12 ...") == ("und", 0.0)
     assert m.predict("漢")[0] in ("a", "b")
+
+
+def test_languages_equal_a_plain_version(spark):
+    """Every prediction of a table worked out anew with plain counts, words before n-grams."""
+    rows = spark.read.parquet(f"{TINY}/documents.parquet").select("doc_id", "text", "lang").collect()
+    got = {r.doc_id: r for r in langid.op5_langid(spark, TINY).collect()}
+    words, grams = {}, {}
+    for r in rows:
+        if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            words.setdefault(r.lang, Counter()).update(re.findall(r"[^\x00-@\[-`{-\x7f]+", r.text.lower()))
+    langs = sorted(words)
+    for lang in langs:
+        grams[lang] = Counter()
+        for w, n in words[lang].items():
+            for k in range(1, 5):
+                for i in range(len(w) + 3 - k):
+                    grams[lang][f" {w} "[i : i + k]] += n
+    known, pieces = {w for c in words.values() for w in c}, {g for c in grams.values() for g in c}
+    size = {lang: sum(words[lang].values()) for lang in langs}
+    kinds = Counter(map(len, pieces))
+    total = {lang: {k: sum(n for g, n in grams[lang].items() if len(g) == k) for k in kinds} for lang in langs}
+
+    def score(w, lang):
+        if w in known:
+            return math.log((words[lang][w] + 0.5) / (size[lang] + 0.5 * len(known) + 1))
+        for k in (4, 3, 2, 1):
+            found = [g for i in range(len(w) + 3 - k) if (g := f" {w} "[i : i + k]).strip() and g in pieces]
+            if found:
+                return sum(math.log((grams[lang][g] + 0.5) / (total[lang][k] + 0.5 * kinds[k] + 1)) for g in found) / len(found)
+        return 0.0
+
+    for r in rows:
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert got[r.doc_id].lang_pred == "und" and got[r.doc_id].score == 0
+            continue
+        seen = Counter(re.findall(r"[^\x00-@\[-`{-\x7f]+", r.text.lower()))
+        s = [sum(n * score(w, lang) for w, n in seen.items()) for lang in langs]
+        p = np.exp(np.array(s) - max(s))
+        assert got[r.doc_id].lang_pred == langs[int(np.argmax(s))]
+        assert abs(got[r.doc_id].score - p.max() / p.sum()) < 1e-6
