@@ -139,6 +139,31 @@ def test_every_kind_is_judged_by_its_own_threshold(spark, monkeypatch):
     assert added(never, 0.0, never, never) == {1}
 
 
+def test_trees_decide_on_the_whole_table(spark, monkeypatch):
+    """Held against spans that no tree judges: numbers inside other kinds' spans go, real ones stay; precision and recall on held-out candidates."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    judge = pii.fit(docs)
+    held = pii.candidates(docs).filter("held").select("k", "label", F.round(judge.margin(F.struct(*pii.FEATURES)), 2).alias("m")).collect()
+    passed = [r.label for r in held if r.m >= judge.limits[r.k]]
+    caught = [r.m >= judge.limits[r.k] for r in held if r.label == 1 and judge.limits[r.k] < float("inf")]
+    print("precision", sum(passed) / len(passed), "recall", sum(caught) / len(caught), "limits", judge.limits)
+    assert sum(passed) >= 0.98 * len(passed) and sum(caught) >= 0.9 * len(caught)
+    assert any(r.label == 0 and r.m < judge.limits[r.k] < float("inf") for r in held)
+
+    def added(judge):
+        monkeypatch.setattr(pii, "fit", lambda _: judge)
+        rows = pii.personal_spans(docs.withColumnRenamed("t", "text")).select("doc_id", F.explode("added").alias("x")).select("doc_id", "x.*").collect()
+        return {tuple(r) for r in rows}
+
+    judged, always = added(judge), added(pii.Judge([], [], [0.0] * len(pii.KINDS)))
+    assert judged < always
+    texts = {r.doc_id: r.t for r in docs.collect()}
+    inside = {(i, k, s, e) for i, k, s, e in always if k == 3 and any(a < e and s < b for a, b in spans(texts[i], PII)["ip"])}
+    assert inside and not inside & judged
+
+
 def test_thresholds_are_those_found(spark):
     texts = [(i, f"call +1 ({200 + i}) 555-{1000 + i}, mail a{i}@b.org, server 10.0.{i % 250}.{'7' if i % 2 else '777'}") for i in range(300)]
     judge = pii.fit(spark.createDataFrame(texts, "doc_id long, t string"))
