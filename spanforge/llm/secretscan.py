@@ -10,7 +10,7 @@ key's value is its whole block, without line breaks.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import Scratch, table
+from ._util import BROADCAST_ROWS, Scratch, columns_once, table
 from .spans import joined, with_spans
 
 KINDS = ("assign", "access", "hex", "token", "key")
@@ -71,13 +71,15 @@ def secret_spans(docs: DataFrame, repo: str = "doc_id", owner: str = "source") -
     doc_id, text and the two named columns are read.
     """
     scratch = Scratch(docs.sparkSession, "secretscan")
-    slim = docs.select(docs["doc_id"], F.coalesce(docs["text"], F.lit("")).alias("t"), docs[repo].alias("repo"), docs[owner].alias("owner"))
+    slim = columns_once(docs, *dict.fromkeys(["doc_id", "text", repo, owner])).select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.col(repo).alias("repo"), F.col(owner).alias("owner"))
     hashed = F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e"), F.xxhash64(x["v"]).alias("h1"), F.xxhash64(F.lit("two"), x["v"]).alias("h2"), live_looking(x["v"]).alias("live")))
     rows = scratch.keep(found(slim).select("doc_id", "repo", "owner", hashed.alias("spans"), F.monotonically_increasing_id().alias("row")), "rows")
     each = rows.filter(F.size("spans") > 0).select("row", "repo", "owner", F.explode("spans").alias("x")).select("row", "repo", "owner", "x.*")
-    held = ownership(each.select("h1", "h2", "owner", "repo"))
+    # Few values have more than one holder; the others need no row, and a value that is everywhere meets no single task.
+    held = scratch.keep(ownership(each.select("h1", "h2", "owner", "repo")).filter("owners > 1"), "held")
+    held = F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
     copied = (F.col("owners") >= COPIED_OWNERS) | ((F.col("owners") > 1) & (F.col("repos") >= COPIED_REPOS))
-    judged = each.join(held, ["h1", "h2"]).withColumn("copied", copied).withColumn("own", ~F.col("copied") & F.col("live"))
+    judged = each.join(held, ["h1", "h2"], "left").withColumn("copied", F.coalesce(copied, F.lit(False))).withColumn("own", ~F.col("copied") & F.col("live"))
     base = len(BASE)
     kept = judged.filter((F.col("kind") < base) | F.col("own") | ((F.col("kind") == KINDS.index("key")) & ~F.col("copied")))
     per = kept.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "kind", "e"))).alias("all"), F.sum(F.col("own").cast("long")).alias("n_live"), F.sum(F.col("copied").cast("long")).alias("n_copied")).withColumnRenamed("row", "of")
