@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._util import Scratch, columns_once, table
+from ._util import Scratch, columns_once, numbered, position, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -76,8 +76,8 @@ def thresholds(placed: DataFrame, scratch: Scratch, **params) -> DataFrame:
     return scratch.keep(goal.join(last, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "target", "copies", F.coalesce("last", rest).alias("last")), "thresholds")
 
 
-def taken_copies() -> Column:
-    return F.least(F.col("copies") + (F.col("at") <= F.col("last")).cast("int"), F.lit(MOST_COPIES)).cast("long")
+def taken_copies(most: float) -> Column:
+    return F.least(F.col("copies") + (F.col("at") <= F.col("last")).cast("int"), F.lit(int(most))).cast("long")
 
 
 def mix_sizes(docs: DataFrame, **params) -> DataFrame:
@@ -90,18 +90,22 @@ def mix_sizes(docs: DataFrame, **params) -> DataFrame:
     placed = scratch.keep(place(docs).select("doc_id", "source", word_count(F.col("text")).alias("size"), "at"), "placed")
     ends = thresholds(placed.select("source", "size", "at"), scratch, **params).withColumnRenamed("source", "of")
     joined = placed.join(ends, F.col("source").eqNullSafe(F.col("of")))
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * taken_copies()).alias("taken"))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * taken_copies(params.get("most", MOST_COPIES))).alias("taken"))
 
 
 def mix(docs: DataFrame, **params) -> DataFrame:
-    """The documents that the mix takes, as often as it takes them, with the columns of ``docs``."""
+    """The documents that the mix takes, as often as it takes them, with the columns of ``docs``, whatever their names.
+
+    A null text has no words and a null source is a source of its own, as in ``mix_sizes``; equal rows are
+    taken alike. A source without words takes none of its rows. An empty table gives an empty one.
+    """
     scratch = Scratch(docs.sparkSession, "mixing")
     placed = scratch.keep(place(docs).select("source", word_count(F.col("text")).alias("size"), "at"), "placed")
-    ends = thresholds(placed, scratch, **params).select(F.col("source").alias("mix_of"), F.col("copies").alias("mix_copies"), F.col("last").alias("mix_last"))
-    at = F.xxhash64(F.lit("mix"), docs["doc_id"], docs["text"])
-    joined = docs.join(ends, docs["source"].eqNullSafe(F.col("mix_of")))
-    times = F.least(F.col("mix_copies") + (at <= F.col("mix_last")).cast("int"), F.lit(MOST_COPIES)).cast("int")
-    return joined.withColumn("mix_n", F.explode(F.array_repeat(F.lit(1), times))).drop("mix_of", "mix_copies", "mix_last", "mix_n")
+    ends = thresholds(placed, scratch, **params).select(F.col("source").alias("of"), "copies", "last")
+    doc_id, text, source = (F.col(f"c{position(docs, n)}") for n in ("doc_id", "text", "source"))
+    joined = numbered(docs).withColumn("at", F.xxhash64(F.lit("mix"), doc_id, text)).join(ends, source.eqNullSafe(F.col("of")))
+    taken = joined.withColumn("copy", F.explode(F.array_repeat(F.lit(1), taken_copies(params.get("most", MOST_COPIES)).cast("int"))))
+    return taken.drop("of", "copies", "last", "at", "copy").toDF(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
