@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import Scratch
+from ._util import BROADCAST_ROWS, Scratch
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -14,16 +14,22 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     minima alone survive a round, so a chain takes a logarithmic number of rounds.
     Loops and repeated edges do no harm; edges with a null end are left out; no edges give no rows.
     """
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
     edges = edges.filter("u is not null and v is not null and u <> v").select("u", "v").distinct()
     left = scratch.keep(edges.select("u", "v").union(edges.select("v", "u")).distinct(), "edges")
     roots = None
     while not left.isEmpty():
         up = scratch.keep(left.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("node"), F.least("u", "least").alias("root")), "hooks")
         while True:
-            end = up.select(F.col("node").alias("root"), F.col("root").alias("further"))
-            jumped = scratch.keep(up.join(end, "root").select("node", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved")), "jump")
+            # The ends of roots, a row each, so that the nodes of a large component need not meet in one task.
+            end = up.select("root").distinct().join(up.select(F.col("node").alias("root"), F.col("root").alias("further")), "root")
+            end = scratch.keep(end, "ends")
+            jumped = scratch.keep(up.join(small(end), "root").select("node", F.col("further").alias("root"), (F.col("further") != F.col("root")).alias("moved")), "jump")
             still = jumped.filter("moved").isEmpty()
-            scratch.drop(up)
+            scratch.drop(up, end)
             up = jumped
             if still:
                 break

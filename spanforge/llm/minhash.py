@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import BROADCAST_ROWS, Scratch, columns_once, table
+from ._util import BROADCAST_ROWS, Scratch, columns_once, numbered, position, table
 from .components import components
 
 WORDS = 5
@@ -26,6 +26,8 @@ PERCENT = 75
 BANDS, ROWS = 24, 3
 #: Pairs of one leading node that go to one group.
 GROUP_PAIRS = 256
+#: Members of a bucket that are held against each other in one task.
+BUCKET = 2048
 #: 64-bit words of a sketch of differences.
 SKETCH = 16
 
@@ -123,9 +125,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scrat
     pairs that share ``a``; a group's task reads a's set first and then one set at a time.
     """
     spark = docs.sparkSession
-    per = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(GROUP_PAIRS)).alias("salts"))
-    salted = pairs.join(per, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    firsts = per.select(F.col("a").alias("fp"), "a", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int"))).alias("salt"), F.lit(0).alias("later"))
+    per = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(GROUP_PAIRS)).cast("int").alias("salts"))
+    # Only leads of more than one group need a number of salts; the pairs of a frequent lead are not gathered for it.
+    heavy = scratch.keep(per.filter("salts > 1"), "heavy")
+    heavy = F.broadcast(heavy) if heavy.count() <= BROADCAST_ROWS else heavy
+    salted = pairs.join(heavy, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int"))
+    firsts = per.select(F.col("a").alias("fp"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("later"))
     sends = scratch.keep(salted.select(F.col("b").alias("fp"), "a", "salt", F.lit(1).alias("later")).union(firsts), "sends")
     few = sends.count() <= BROADCAST_ROWS
     asked = sends.select("fp").distinct().join(nodes.select("fp", F.col("pick.doc_id").alias("pick_id"), F.col("pick.text_hash").alias("pick_hash")), "fp")
@@ -200,18 +205,23 @@ def grouped(docs: DataFrame) -> DataFrame:
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
 
     placed = members.select("bucket", "fp", "n", F.col("lead.fp").alias("a")).join(roots, F.col("fp") == F.col("node"), "left").select("bucket", "fp", "n", "a", F.coalesce("root", "fp").alias("root"))
-    split = placed.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.mode("root").alias("main")).filter("r1 <> r2").select("bucket", "main")
+    # Members are counted by root first, so that a bucket's own row is made from few.
+    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("m"))
+    split = sizes.groupBy("bucket").agg(F.count("*").alias("roots"), F.max(F.struct("m", "root")).alias("most"), F.ceil(F.sum("m") / F.lit(BUCKET)).cast("int").alias("salts"))
+    split = split.filter("roots > 1").select("bucket", F.col("most.root").alias("main"), "salts")
     words = [F.coalesce(F.col("words")[k], F.when(F.col("fp") == F.col("a"), F.lit(0))).alias(f"w{k}") for k in range(SKETCH)]
     differ = F.coalesce("differ", F.when(F.col("fp") == F.col("a"), F.lit(0))).alias("differ")
     sketched = compared.select("a", F.col("b").alias("fp"), "differ", "words")
-    apart = scratch.keep(placed.join(split, "bucket").join(sketched, ["a", "fp"], "left").select("bucket", "fp", "n", "root", "main", differ, *words), "apart")
-    x, y = apart.filter("root <> main").alias("x"), apart.alias("y")
+    apart = scratch.keep(placed.join(split, "bucket").join(sketched, ["a", "fp"], "left").select("bucket", "fp", "n", "root", "main", "salts", differ, *words), "apart")
+    # A large bucket's members are dealt to several tasks, each of which holds the members outside the main root against its share.
+    x = apart.filter("root <> main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("x")
+    y = apart.withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")).alias("y")
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.fp") < F.col("y.fp"))
     union = sum((F.bit_count(F.col(f"x.w{k}").bitwiseOR(F.col(f"y.w{k}"))) for k in range(1, SKETCH)), F.bit_count(F.col("x.w0").bitwiseOR(F.col("y.w0"))))
     # Two sets differ in no fewer shingles than that; sets of a and b shingles are linked if (a + b) (100 - PERCENT) >= difference (100 + PERCENT).
     least = 2 * union - F.col("x.differ") - F.col("y.differ")
     may = F.coalesce((100 + PERCENT) * least <= (100 - PERCENT) * (F.col("x.n") + F.col("y.n")), F.lit(True))
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & once & near("x.n", "y.n") & may)
+    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.root") != F.col("y.root")) & once & near("x.n", "y.n") & may)
     rest = rest.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = scratch.keep(rest.join(tried, ["a", "b"], "left_anti"), "rest")
@@ -238,8 +248,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     gone = found.filter(~F.col("kept") & F.col("component_id").isNotNull()).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
     gone = Scratch(docs.sparkSession, "keep-one").keep(gone, "gone")
     few = gone.count() <= BROADCAST_ROWS
-    same = docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_hash"])
-    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    plain = numbered(docs)
+    doc_id, text = (F.col(f"c{position(docs, n)}") for n in ("doc_id", "text"))
+    same = doc_id.cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(text) == F.col("gone_hash"))
+    return plain.join(F.broadcast(gone) if few else gone, same, "left_anti").toDF(*docs.columns)
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
