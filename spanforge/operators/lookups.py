@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.rules import ALIASES, PRICES, resolved_model
 from ..functions.text import overlap, words
 from ..plans.registry import query
 from ..sources.adapters import MESSAGES, NOW, PARENTS, PREDICTIONS, SPANS, messages, order, parents, predictions, read, spans
@@ -158,24 +159,17 @@ def c20(spark, d) -> DataFrame:
     return p.filter("parent_id is not null").select("trace_id", "parent_id", "span_id", "start_time").join(up, ["trace_id", "parent_id"]).filter(passes).select("trace_id", "span_id", "weight")
 
 
-#: Prices of a million tokens by model, in and out; and other names of models.
-PRICES = (("opus", 15.0, 75.0), ("sonnet", 3.0, 15.0), ("haiku", 0.8, 4.0), ("gpt-4o-mini", 0.15, 0.6), ("gpt-4o", 2.5, 10.0), ("gpt-4", 30.0, 60.0))
-_MODEL = "CASE o_orderpriority WHEN '1-URGENT' THEN 'opus' WHEN '2-HIGH' THEN 'claude-sonnet-x' WHEN '3-MEDIUM' THEN 'gpt-4o-mini' WHEN '4-NOT SPECIFIED' THEN 'gpt-4o-2024' ELSE 'other' END"
+_MODEL = "CASE o_orderpriority WHEN '1-URGENT' THEN 'claude-3-opus-latest' WHEN '2-HIGH' THEN 'GPT-4o-2024-08-06' WHEN '3-MEDIUM' THEN 'gpt-4o-mini-x' WHEN '4-NOT SPECIFIED' THEN 'gemini-pro' ELSE 'other' END"
+_SQL_MODEL = "CASE " + " ".join([f"WHEN m = {k!r} THEN {v!r}" for k, v in ALIASES.items()] + [f"WHEN m = {k!r} THEN m" for k in PRICES] + [f"WHEN contains(m, {k!r}) OR contains({k!r}, m) THEN {k!r}" for k in PRICES]) + " ELSE m END"
 
 
-def priced(df: DataFrame, model: str) -> DataFrame:
-    """``df`` with the price row of its model: that of the same name, else the first whose name the model holds; null if none."""
-    prices = df.sparkSession.createDataFrame([(i, *p) for i, p in enumerate(PRICES)], "place int, priced_as string, price_in double, price_out double")
-    names = df.select(model).distinct().join(F.broadcast(prices), F.col(model).contains(F.col("priced_as")))
-    first = F.struct(F.col("priced_as") != F.col(model), "place")
-    best = names.groupBy(model).agg(*[F.min_by(c, first).alias(c) for c in ("priced_as", "price_in", "price_out")])
-    return df.join(F.broadcast(best), model, "left")
-
-
-@query("c21_model_prices", f"""WITH o AS (SELECT o_orderkey, {_MODEL} AS model FROM orders), p(place, priced_as, price_in, price_out) AS (VALUES {', '.join(f'({i}, {a!r}, CAST({b} AS DOUBLE), CAST({c} AS DOUBLE))' for i, (a, b, c) in enumerate(PRICES))}),
-m AS (SELECT model, priced_as, price_in, row_number() OVER (PARTITION BY model ORDER BY priced_as <> model, place) AS nth FROM (SELECT DISTINCT model FROM o) x JOIN p ON contains(model, priced_as)) SELECT o_orderkey, o.model, priced_as, price_in FROM o LEFT JOIN m ON o.model = m.model AND nth = 1""")
+@query("c21_model_prices", f"""WITH o AS (SELECT o_orderkey, lower({_MODEL}) AS m FROM orders), r AS (SELECT o_orderkey, {_SQL_MODEL} AS model FROM o), p(model, price_in, price_out) AS (VALUES {', '.join(f'({k!r}, CAST({v[0]} AS DOUBLE), CAST({v[1]} AS DOUBLE))' for k, v in PRICES.items())})
+SELECT o_orderkey, r.model, price_in, price_out FROM r LEFT JOIN p ON r.model = p.model""")
 def c21(spark, d) -> DataFrame:
-    return priced(read(spark, d, "orders").select("o_orderkey", F.expr(_MODEL).alias("model")), "model").select("o_orderkey", "model", "priced_as", "price_in")
+    """Calls with the price row of their model; the price table is short and fixed."""
+    prices = spark.createDataFrame([(k, v[0], v[1]) for k, v in PRICES.items()], "model string, price_in double, price_out double")
+    calls = read(spark, d, "orders").select("o_orderkey", resolved_model(F.expr(_MODEL)).alias("model"))
+    return calls.join(F.broadcast(prices), "model", "left").select("o_orderkey", "model", "price_in", "price_out")
 
 
 @query("c23_agent_pairs", f"WITH {SPANS}, a AS (SELECT DISTINCT trace_id, name FROM spans) SELECT x.trace_id, x.name AS first_agent, y.name AS second_agent FROM a x JOIN a y ON x.trace_id = y.trace_id AND x.name < y.name")

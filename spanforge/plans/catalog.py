@@ -1,5 +1,5 @@
 """Every query of the reference's own operators; importing the modules registers them."""
 
-from ..operators import analytics, coordination, detectors, evaluation, graph, lookups, windows  # noqa: F401
+from ..operators import analytics, coordination, dashboards, detectors, evaluation, graph, lookups, scalars, windows  # noqa: F401
 from ..streaming import realtime  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
