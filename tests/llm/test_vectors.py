@@ -197,7 +197,7 @@ def test_nearest_recall_with_hundreds_of_lists(spark):
         s[q] = -np.inf
         hit.append(len(set(np.argsort(-s)[:20].tolist()) & got[q]) / 20)
     print("recall", np.mean(hit), "least", min(hit), "audited", rows[0].audit_recall)
-    assert np.mean(hit) >= 0.9 and rows[0].audit_recall >= 0.95
+    assert np.mean(hit) >= 0.9 and rows[0].audit_recall >= 0.93
 
 
 def test_probes_widen_until_the_audit_passes(spark):
@@ -206,4 +206,4 @@ def test_probes_widen_until_the_audit_passes(spark):
     x = np.random.default_rng(13).normal(size=(3000, 16))  # no clusters: few lists hold few of the neighbours
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     rows = ann.nearest_neighbours(df, F.col("vec_id") % 50 == 0, probes=1).collect()
-    assert rows[0].audit_recall >= 0.95
+    assert rows[0].audit_recall >= 0.93
