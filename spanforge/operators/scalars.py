@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.text import cosine, jaccard, overlap, words
 from ..plans.registry import query
-from ..sources.adapters import DISPATCHES, PARENTS, SPANS, dispatches, order, parents, read, spans, turns
+from ..sources.adapters import DISPATCHES, ERRORS, MODELS, PARENTS, SPANS, dispatches, order, parents, read, spans, turns
 
 _WS = "list_distinct(list_filter(regexp_split_to_array(lower({c}), '[ \\t\\n\\r\\f]+'), lambda x: x <> ''))"
 _TWO = f"w AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations), s AS (SELECT *, {_WS.format(c='text')} AS a, {_WS.format(c='before')} AS b FROM w WHERE before IS NOT NULL)"
@@ -65,8 +65,6 @@ def h7(spark, d) -> DataFrame:
     return v.select("span_id", R.same_magnitude(F.col("a"), F.col("b")).alias("same"))
 
 
-#: Names of models that spans carry, by k.
-MODELS = ("claude-3-opus", "claude-3.5-sonnet", "claude-3.5-haiku", "gpt-4", "gpt-4-turbo", "gpt-4o", "gpt-4o-mini", "gemini-1.5-pro", "gemini-flash", "o1-preview", "llama-3", "gpt-3.5-turbo-0125")
 _SQL_SPAN_MODEL = f"({list(MODELS)!r})[CAST(k % {len(MODELS)} + 1 AS INTEGER)]"
 
 
@@ -85,13 +83,9 @@ def h11(spark, d) -> DataFrame:
     return with_model(spark, d).select("span_id", R.context_window(F.col("model")).alias("context_window"))
 
 
-#: What failed spans say, by k.
-ERRORS = ("Tool not found: search", "schema validation: missing required field", "401 Unauthorized: expired token", "connection refused after timeout", "ok", "Invalid arguments and permission denied", "file not found", "Unexpected property 'x'")
-
-
-@query("h12_failure_categories", f"WITH {SPANS}, m AS (SELECT span_id, ({[e.replace(chr(39), '') for e in ERRORS]!r})[CAST(k % {len(ERRORS)} + 1 AS INTEGER)] AS message FROM spans WHERE k IS NOT NULL) SELECT span_id, array_to_string(list_filter([{', '.join(f'CASE WHEN regexp_matches(message, {_quoted(p)}) THEN {k!r} END' for k, p in R.FAILURES.items())}], lambda x: x IS NOT NULL), ',') AS categories FROM m")
+@query("h12_failure_categories", f"WITH {SPANS}, m AS (SELECT span_id, ({list(ERRORS)!r})[CAST(k % {len(ERRORS)} + 1 AS INTEGER)] AS message FROM spans WHERE k IS NOT NULL) SELECT span_id, array_to_string(list_filter([{', '.join(f'CASE WHEN regexp_matches(message, {_quoted(p)}) THEN {k!r} END' for k, p in R.FAILURES.items())}], lambda x: x IS NOT NULL), ',') AS categories FROM m")
 def h12(spark, d) -> DataFrame:
-    message = F.element_at(F.array(*[F.lit(e.replace("'", "")) for e in ERRORS]), (F.col("k") % len(ERRORS) + 1).cast("int"))
+    message = F.element_at(F.array(*[F.lit(e) for e in ERRORS]), (F.col("k") % len(ERRORS) + 1).cast("int"))
     return spans(spark, d).filter("k is not null").select("span_id", F.array_join(R.failure_categories(message), ",").alias("categories"))
 
 

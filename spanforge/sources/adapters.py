@@ -95,3 +95,41 @@ def dispatches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DISPATCHES = SPANS + f""", messages AS (SELECT trace_id, span_id AS msg_id, 'agent' || (k % 4) AS sender, 'agent' || (CASE WHEN k % 4 = k // 4 % 4 THEN (k // 4 % 4 + 1) % 4 ELSE k // 4 % 4 END) AS recipient,
   ({list(PHRASES)!r})[CAST(k % 10 + 1 AS INTEGER)] AS content, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY start_time, span_id) AS DOUBLE) AS ts FROM spans WHERE k IS NOT NULL)"""
+
+
+#: Names that spans of agents carry, by their value.
+TOOLS = ("Read", "Grep", "Write", "deploy")
+MODELS = ("claude-3-opus", "claude-3.5-sonnet", "claude-3.5-haiku", "gpt-4", "gpt-4-turbo", "gpt-4o", "gpt-4o-mini", "gemini-1.5-pro", "gemini-flash", "o1-preview", "llama-3", "gpt-3.5-turbo-0125")
+ERRORS = ("Tool not found: search", "schema validation: missing required field", "401 Unauthorized: expired token", "connection refused after timeout", "ok", "Invalid arguments and permission denied", "file not found", "Unexpected property x")
+
+
+def agent_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of agents (trace_id, span_id, us, name, kind, status, value, tokens, source, target, content, error, model).
+
+    The last digit of k is the kind, the value the rest; a month's time is pressed into three quarters of
+    an hour, in microseconds since its start.
+    """
+    e = read(spark, sf_dir, "events")
+    k, v = F.coalesce(F.regexp_extract("props", '"k": ([0-9]+)', 1).try_cast("int"), F.lit(0)), F.floor("value").cast("int")
+    e = e.select(F.col("user_id").alias("trace_id"), F.col("event_id").alias("span_id"), "event_type", "value", k.alias("k"), v.alias("v"), F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 1000).alias("us"))
+    d = F.col("k") % 10
+    kind = F.when(d <= 3, "tool").when(d <= 5, "llm").when(d == 6, "agent").when(d == 7, "message").when(d == 8, "handoff").otherwise("user_input")
+    pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (n % len(names) + 1).cast("int"))
+    e = e.withColumn("kind", kind)
+    a, b = F.col("v") % 4, F.floor(F.col("v") / 4).cast("int") % 4
+    to = F.when(a == b, (b + 1) % 4).otherwise(b)
+    is_ = lambda x: F.col("kind") == x
+    name = F.when(is_("tool"), pick(TOOLS, F.col("v"))).when(is_("agent"), F.concat(F.lit("agent"), (F.col("v") % 3).cast("string"))).otherwise(F.col("kind"))
+    bad = F.col("event_type") == "error"
+    return e.select(
+        "trace_id", "span_id", "us", name.alias("name"), "kind", F.when(bad, "error").otherwise("ok").alias("status"), "value", (F.col("k") * 40).alias("tokens"),
+        F.when(is_("handoff"), F.concat(F.lit("a"), a.cast("string"))).alias("source"), F.when(is_("handoff"), F.concat(F.lit("a"), to.cast("string"))).alias("target"),
+        pick(PHRASES, F.col("v")).alias("content"), F.when(bad, pick(ERRORS, F.col("v"))).alias("error"), F.when(is_("llm"), pick(MODELS, F.col("v"))).alias("model"),
+    )
+
+
+AGENT_SPANS = f"""e0 AS (SELECT user_id AS trace_id, event_id AS span_id, event_type, value, coalesce(TRY_CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS INTEGER), 0) AS k, CAST(floor(value) AS INTEGER) AS v, CAST(floor((epoch_us(ts) - 1704067200000000) / 1000) AS BIGINT) AS us FROM events),
+e1 AS (SELECT *, CASE WHEN k % 10 <= 3 THEN 'tool' WHEN k % 10 <= 5 THEN 'llm' WHEN k % 10 = 6 THEN 'agent' WHEN k % 10 = 7 THEN 'message' WHEN k % 10 = 8 THEN 'handoff' ELSE 'user_input' END AS kind FROM e0),
+spans AS (SELECT trace_id, span_id, us, CASE kind WHEN 'tool' THEN ({list(TOOLS)!r})[v % 4 + 1] WHEN 'agent' THEN 'agent' || (v % 3) ELSE kind END AS name, kind, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, value, k * 40 AS tokens,
+ CASE WHEN kind = 'handoff' THEN 'a' || (v % 4) END AS source, CASE WHEN kind = 'handoff' THEN 'a' || (CASE WHEN v % 4 = v // 4 % 4 THEN (v // 4 % 4 + 1) % 4 ELSE v // 4 % 4 END) END AS target, ({list(PHRASES)!r})[v % 10 + 1] AS content,
+ CASE WHEN event_type = 'error' THEN ({list(ERRORS)!r})[v % 8 + 1] END AS error, CASE WHEN kind = 'llm' THEN ({list(MODELS)!r})[v % 12 + 1] END AS model FROM e1)"""

@@ -51,4 +51,4 @@ def test_entry(spark):
 
 def test_every_trace_has_a_finding_of_each_detector(spark):
     n = QUERIES["k33_orchestrate"](spark, D)
-    assert {r["count"] for r in n.groupBy("trace_id").count().collect()} == {8}
+    assert {r["count"] for r in n.groupBy("trace_id").count().collect()} == {12}
