@@ -121,9 +121,22 @@ def q5(spark, d) -> DataFrame:
 @query("q9_assign_splits", """WITH r AS (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS i, count(*) OVER (PARTITION BY toxic) AS n FROM labels)
 SELECT doc_id, CASE WHEN i <= greatest(1, round_even(n * 0.7, 0)) THEN 'train' WHEN i <= greatest(1, round_even(n * 0.7, 0)) + round_even(n * 0.15, 0) THEN 'val' ELSE 'test' END AS split FROM r""")
 def q9(spark, d) -> DataFrame:
-    r = read(spark, d, "labels").withColumn("i", F.row_number().over(W.partitionBy("toxic").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))).withColumn("n", F.count("*").over(W.partitionBy("toxic")))
+    """Of each label the first 70 % by hash train, the next 15 % validate, the rest test.
+
+    Labels are counted by the hash's first digits; whole buckets fall on one side of both cuts but for the two that the
+    cuts lie in, and only rows of these are put in order.
+    """
+    r = read(spark, d, "labels").select("doc_id", "toxic", F.md5(F.col("doc_id").cast("string")).alias("h")).withColumn("digits", F.substring("h", 1, 3))
+    label = W.partitionBy("toxic")
+    b = r.groupBy("toxic", "digits").agg(F.count("*").alias("c")).withColumns({"upto": F.sum("c").over(label.orderBy("digits")), "n": F.sum("c").over(label)})
     train, val = F.greatest(F.lit(1.0), F.bround(F.col("n") * 0.7, 0)), F.bround(F.col("n") * 0.15, 0)
-    return r.select("doc_id", F.when(F.col("i") <= train, "train").when(F.col("i") <= train + val, "val").otherwise("test").alias("split"))
+    b = b.select(F.col("toxic").alias("of"), F.col("digits").alias("at"), (F.col("upto") - F.col("c")).alias("before"), "upto", train.alias("train"), (train + val).alias("val"))
+    j = r.join(F.broadcast(b), F.col("toxic").eqNullSafe(F.col("of")) & (F.col("digits") == F.col("at")))  # at most 4096 rows a label
+    split = lambda first, last: F.when(last <= F.col("train"), "train").when((first > F.col("train")) & (last <= F.col("val")), "val").when(first > F.col("val"), "test")
+    whole = j.withColumn("split", split(F.col("before") + 1, F.col("upto")))
+    i = F.col("before") + F.row_number().over(W.partitionBy("toxic", "digits").orderBy("h", "doc_id"))
+    cut = whole.filter("split is null").withColumn("i", i).select("doc_id", split(F.col("i"), F.col("i")).alias("split"))
+    return whole.filter("split is not null").select("doc_id", "split").unionByName(cut)
 
 
 @query("q19_drift_report", f"""WITH {PREDICTIONS} SELECT mode, count(*) AS n, round(avg(CASE WHEN detected = truth THEN 1.0 ELSE 0.0 END), 6) AS accuracy, avg(CASE WHEN detected = truth THEN 1.0 ELSE 0.0 END) < 0.7 AS drifted FROM predictions GROUP BY 1 HAVING count(*) >= 5""")
