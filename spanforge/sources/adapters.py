@@ -133,3 +133,23 @@ e1 AS (SELECT *, CASE WHEN k % 10 <= 3 THEN 'tool' WHEN k % 10 <= 5 THEN 'llm' W
 spans AS (SELECT trace_id, span_id, us, CASE kind WHEN 'tool' THEN ({list(TOOLS)!r})[v % 4 + 1] WHEN 'agent' THEN 'agent' || (v % 3) ELSE kind END AS name, kind, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, value, k * 40 AS tokens,
  CASE WHEN kind = 'handoff' THEN 'a' || (v % 4) END AS source, CASE WHEN kind = 'handoff' THEN 'a' || (CASE WHEN v % 4 = v // 4 % 4 THEN (v // 4 % 4 + 1) % 4 ELSE v // 4 % 4 END) END AS target, ({list(PHRASES)!r})[v % 10 + 1] AS content,
  CASE WHEN event_type = 'error' THEN ({list(ERRORS)!r})[v % 8 + 1] END AS error, CASE WHEN kind = 'llm' THEN ({list(MODELS)!r})[v % 12 + 1] END AS model FROM e1)"""
+
+
+#: What the turns of a dialogue say, by the value of an event.
+SAYINGS = (
+    "What is the total for the north region? Please tell me.", "The total for the north region is 10, taken from the ledger of the first quarter, after all of the corrections that were booked in March.", "I don't have that.", "Task complete, everything is finished.",
+    "But wait, there is one more thing to look at.", "Next step: I will collect the totals.", "Could you be more specific? I need more details.", "Please send me the report of last week.", "ok", "Working on it, moving on to the other region.", "That is confidential and restricted.",
+    "How do we proceed with the south region?", "The south region comes after the north region, as the plan of the first quarter says, and the report of last week is attached to it.", "All done, nothing more.", "I am confused about the south region.", "fine",
+)
+
+
+def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(trace_id, turn, participant, text): an event as a turn of its user's dialogue with three agents."""
+    s = spans(spark, sf_dir)
+    k, v = F.coalesce("k", F.lit(0)), F.floor("value").cast("int")
+    who = F.when(k % 4 == 0, "user").otherwise(F.concat(F.lit("agent"), (k % 3).cast("string")))
+    return s.select("trace_id", (F.row_number().over(order()) - 1).alias("turn"), who.alias("participant"), F.element_at(F.array(*[F.lit(x) for x in SAYINGS]), v % len(SAYINGS) + 1).alias("text"))
+
+
+DIALOGUES = SPANS + f""", turns AS (SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY start_time, span_id) - 1 AS turn, CASE WHEN coalesce(k, 0) % 4 = 0 THEN 'user' ELSE 'agent' || (coalesce(k, 0) % 3) END AS participant,
+  ([{", ".join("'" + x.replace("'", "''") + "'" for x in SAYINGS)}])[CAST(floor(value) AS INTEGER) % {len(SAYINGS)} + 1] AS text FROM spans)"""
