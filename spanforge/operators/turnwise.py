@@ -26,12 +26,14 @@ ENDS = (
 GOES_ON = ("but wait", "actually", "one more thing", "let me also", "additionally", "furthermore", "however", "also need to", "i should also", "before we finish", "wait", "hold on")
 PROGRESS = ("step", "progress", "moving on", "next", "continuing", "proceeding", "working on", "now i'll", "let me", "i will")
 
-LOW = F.lower("text")
-_ORDER = W.partitionBy("trace_id").orderBy("turn")
-_W = "(PARTITION BY trace_id ORDER BY turn)"
 
 
-def says(phrases: tuple[str, ...], text: Column = LOW) -> Column:
+def by_turn() -> W:
+    return W.partitionBy("trace_id").orderBy("turn")
+
+
+def says(phrases: tuple[str, ...], text: Column | None = None) -> Column:
+    text = F.lower("text") if text is None else text
     return reduce(Column.__or__, [text.contains(p) for p in phrases])
 
 
@@ -43,7 +45,7 @@ def loops(t: DataFrame) -> DataFrame:
     """(trace_id, repeats, cycle, alternates, issues) of the agents' turns: equal answers, a cycle of two or three of them, agents who take turns. Paraphrases need vectors and are not judged."""
     n = t.groupBy("trace_id").agg(F.count("*").alias("n_turns"))
     a = t.filter("participant <> 'user'").withColumn("h", F.xxhash64("text"))
-    h, p = [F.lag("h", i).over(_ORDER) for i in range(6)], [F.lag("participant", i).over(_ORDER) for i in range(6)]
+    h, p = [F.lag("h", i).over(by_turn()) for i in range(6)], [F.lag("participant", i).over(by_turn()) for i in range(6)]
     cycle = ((h[0] == h[2]) & (h[1] == h[3])) | ((h[0] == h[3]) & (h[1] == h[4]) & (h[2] == h[5]))
     two = (p[0] == p[2]) & (p[1] == p[3]) & (p[0] != p[1])
     three = (p[0] == p[3]) & (p[1] == p[4]) & (p[2] == p[5]) & (p[0] != p[1]) & (p[1] != p[2]) & (p[0] != p[2])
@@ -66,10 +68,10 @@ def n1(spark, d) -> DataFrame:
 
 def withholding(t: DataFrame) -> DataFrame:
     """(trace_id, issues, detected, severity, confidence): questions and requests without an answer of substance from another in the next two turns, words of withholding, complaints of missing context; at most three or two of a kind count."""
-    other = lambda i: (F.lead("participant", i).over(_ORDER) != F.col("participant")) & (F.length(F.lead("text", i).over(_ORDER)) > SUBSTANCE)
+    other = lambda i: (F.lead("participant", i).over(by_turn()) != F.col("participant")) & (F.length(F.lead("text", i).over(by_turn())) > SUBSTANCE)
     # The first of the next two turns that another takes decides a question, any of them a request.
     answered = F.coalesce(other(1), F.lit(False)) | F.coalesce(other(2), F.lit(False))
-    more = F.lead("turn").over(_ORDER).isNotNull()
+    more = F.lead("turn").over(by_turn()).isNotNull()
     asks = F.col("text").contains("?") & ~F.col("text").contains("```") & says(ASKING)
     q = t.withColumns({"unanswered": more & asks & ~answered, "ignored": more & says(REQUESTS) & ~answered, "withheld": says(WITHHELD), "puzzled": says(PUZZLED)})
     most = lambda c, n: F.least(F.lit(n), F.count_if(c))
@@ -89,9 +91,9 @@ def n4(spark, d) -> DataFrame:
 
 def termination(t: DataFrame) -> DataFrame:
     """(trace_id, endless, ignored, stalled, claims, issues, severity, confidence): over 25 turns without an end in the last five, work that goes on after an end was called (two at most count), ten turns with hardly a word of progress, completion claimed three times or more."""
-    after, who = F.lower(F.lead("text").over(_ORDER)), F.lead("participant").over(_ORDER)
-    goes_on = says(GOES_ON, after) | ((who == F.col("participant")) & (F.length(F.lead("text").over(_ORDER)) > SUBSTANCE))
-    q = t.withColumns({"goes_on": F.coalesce(says(ENDS) & goes_on, F.lit(False)), "back": F.count("*").over(W.partitionBy("trace_id")) - F.row_number().over(_ORDER)})
+    after, who = F.lower(F.lead("text").over(by_turn())), F.lead("participant").over(by_turn())
+    goes_on = says(GOES_ON, after) | ((who == F.col("participant")) & (F.length(F.lead("text").over(by_turn())) > SUBSTANCE))
+    q = t.withColumns({"goes_on": F.coalesce(says(ENDS) & goes_on, F.lit(False)), "back": F.count("*").over(W.partitionBy("trace_id")) - F.row_number().over(by_turn())})
     i = q.groupBy("trace_id").agg(F.count("*").alias("n"), F.least(F.lit(2), F.count_if("goes_on")).alias("ignored"), F.count_if((F.col("back") < NO_PROGRESS) & says(PROGRESS)).alias("progress"), F.count_if(says(ENDS[:6])).alias("claimed"), F.count_if((F.col("back") < 5) & says(ENDS)).alias("ends")).filter("n >= 3")
     i = i.withColumns({"endless": (F.col("n") > NO_END) & (F.col("ends") == 0), "stalled": (F.col("n") >= NO_PROGRESS) & (F.col("progress") < 2), "claims": F.col("claimed") >= 3})
     i = i.withColumn("issues", F.col("endless").cast("int") + F.col("ignored") + F.col("stalled").cast("int") + F.col("claims").cast("int"))

@@ -1,6 +1,8 @@
 """Each query against its SQL in DuckDB, on the same tables."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -44,6 +46,12 @@ def test_query_equals_sql(spark, db, name):
     assert got == want
 
 
+def test_the_entry_needs_no_session():
+    """The driver imports the entry points before it has a session."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=root, check=True)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
