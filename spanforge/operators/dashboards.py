@@ -136,14 +136,14 @@ def g2(spark, d) -> DataFrame:
     a, b = (x.groupBy("trace_id").agg(F.collect_set("name").alias(n)) for x, n in zip(halves(spark, d), "lr", strict=True))
     none = F.array().cast("array<string>")
     s = a.join(b, "trace_id", "full").select("trace_id", F.coalesce("l", none).alias("l"), F.coalesce("r", none).alias("r"))
-    shared = F.size(F.array_intersect("l", "r"))
-    return s.select("trace_id", shared.alias("shared"), F.size(F.array_except("l", "r")).alias("dropped"), F.size(F.array_except("r", "l")).alias("added"), F.round(ratio(shared, F.size("l")), 6).alias("contained"))
+    shared = F.size(F.array_intersect("l", "r")).cast("long")
+    return s.select("trace_id", shared.alias("shared"), F.size(F.array_except("l", "r")).cast("long").alias("dropped"), F.size(F.array_except("r", "l")).cast("long").alias("added"), F.round(ratio(shared, F.size("l")), 6).alias("contained"))
 
 
 @query("g3_failures_and_healthy", """WITH s AS (SELECT d.doc_id, length(text) AS n, toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE text IS NOT NULL), f AS (SELECT doc_id, n, 'failure' AS side FROM s WHERE toxic = 1 ORDER BY abs(n - 1000), doc_id LIMIT 5), h AS (SELECT doc_id, n, 'healthy' AS side FROM s WHERE toxic = 0 ORDER BY abs(n - 1000), doc_id LIMIT 5) SELECT * FROM f UNION ALL SELECT * FROM h""")
 def g3(spark, d, k: int = 5, size: int = 1000) -> DataFrame:
     """The nearest failures and the nearest healthy records of a text length, together."""
-    s = read(spark, d, "documents").filter("text is not null").select("doc_id", F.length("text").alias("n")).join(read(spark, d, "labels").select("doc_id", "toxic"), "doc_id")
+    s = read(spark, d, "documents").filter("text is not null").select("doc_id", F.length("text").cast("long").alias("n")).join(read(spark, d, "labels").select("doc_id", "toxic"), "doc_id")
     near = lambda label, side: s.filter(F.col("toxic") == label).orderBy(F.abs(F.col("n") - size), "doc_id").limit(k).select("doc_id", "n", F.lit(side).alias("side"))
     return near(1, "failure").unionByName(near(0, "healthy"))
 

@@ -50,7 +50,7 @@ def _quoted(pattern: str) -> str:
 
 @query("h5_facts", f"SELECT conv_id, turn, len(regexp_extract_all(text, {_quoted(R.NUMBER)})) AS numbers, len(regexp_extract_all(text, {_quoted(R.URL)})) AS urls, len(regexp_extract_all(text, {_quoted(R.MAIL)})) AS emails FROM conversations")
 def h5(spark, d) -> DataFrame:
-    n = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0)))
+    n = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).cast("long")
     return turns(spark, d).select("conv_id", "turn", n(R.NUMBER).alias("numbers"), n(R.URL).alias("urls"), n(R.MAIL).alias("emails"))
 
 
@@ -98,12 +98,12 @@ def h13(spark, d) -> DataFrame:
 def h17(spark, d) -> DataFrame:
     """Matches of each kind in texts of ASCII letters, where word borders are the same in every engine."""
     t = read(spark, d, "documents").filter(F.col("text").isNotNull() & (F.length("text") == F.octet_length("text")))
-    return t.select("doc_id", *[F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias(k) for k, p in R.PII.items()])
+    return t.select("doc_id", *[F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).cast("long").alias(k) for k, p in R.PII.items()])
 
 
 @query("h18_secrets", f"SELECT doc_id, {', '.join(f'len(regexp_extract_all(text, {_quoted(p)})) AS {k}' for k, p in R.SECRETS.items())} FROM documents WHERE text IS NOT NULL")
 def h18(spark, d) -> DataFrame:
-    return read(spark, d, "documents").filter("text is not null").select("doc_id", *[F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias(k) for k, p in R.SECRETS.items()])
+    return read(spark, d, "documents").filter("text is not null").select("doc_id", *[F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).cast("long").alias(k) for k, p in R.SECRETS.items()])
 
 
 @query("h19_personal_tokens", f"WITH e AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, {_quoted(R.MAIL)})) AS value FROM documents) SELECT doc_id, 'EMAIL_' || substr(sha256(doc_id || ':email:' || value), 1, 12) AS token, value FROM e")
@@ -210,7 +210,7 @@ def h33(spark, d) -> DataFrame:
 
 @query("h35_sentences", "SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x, ' ' || chr(10) || chr(9)) <> '')) AS sentences FROM conversations")
 def h35(spark, d) -> DataFrame:
-    return turns(spark, d).select("conv_id", "turn", F.size(F.filter(F.split("text", "[.!?]+"), lambda x: F.trim(F.translate(x, "\n\t", "  ")) != "")).alias("sentences"))
+    return turns(spark, d).select("conv_id", "turn", F.size(F.filter(F.split("text", "[.!?]+"), lambda x: F.trim(F.translate(x, "\n\t", "  ")) != "")).cast("long").alias("sentences"))
 
 
 @query("h37_duration", f"WITH {PARENTS} SELECT span_id, CAST(epoch_us(end_time) - epoch_us(start_time) AS DOUBLE) / 1000 AS duration_ms FROM parents")

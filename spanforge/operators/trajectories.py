@@ -124,7 +124,7 @@ def l24(spark, d) -> DataFrame:
 def l26(spark, d) -> DataFrame:
     """Required gates that a trace did not pass."""
     seen = F.collect_set(F.when((F.col("status") == "ok") & (F.col("value") > 90) & F.col("k").isNotNull(), F.concat(F.lit("gate"), (F.col("k") % 4).cast("string"))))
-    return spans(spark, d).groupBy("trace_id").agg(seen.alias("seen")).select("trace_id", F.size(F.array_except(F.array(*[F.lit(f"gate{i}") for i in range(4)]), F.col("seen"))).alias("absent"))
+    return spans(spark, d).groupBy("trace_id").agg(seen.alias("seen")).select("trace_id", F.size(F.array_except(F.array(*[F.lit(f"gate{i}") for i in range(4)]), F.col("seen"))).cast("long").alias("absent"))
 
 
 _WS = "list_distinct(list_filter(regexp_split_to_array(lower({c}), '[ \\t\\n\\r\\f]+'), lambda x: length(x) > 4))"
@@ -137,8 +137,8 @@ def l21(spark, d) -> DataFrame:
     terms = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[ \t\n\r\f]+"), lambda x: F.length(x) > 4))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ")
     w = t.groupBy("conv_id").agg(whole.alias("whole"), F.max_by("text", "turn").alias("last")).select("conv_id", terms(F.col("whole")).alias("a"), terms(F.col("last")).alias("b"))
-    lost = F.size(F.array_except("a", "b"))
-    return w.select("conv_id", F.size("a").alias("terms"), lost.alias("lost"), F.round(ratio(lost, F.size("a")), 6).alias("loss"))
+    lost = F.size(F.array_except("a", "b")).cast("long")
+    return w.select("conv_id", F.size("a").cast("long").alias("terms"), lost.alias("lost"), F.round(ratio(lost, F.size("a")), 6).alias("loss"))
 
 
 _K20 = f"""WITH {SPANS}, f AS (SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY start_time, span_id) - 1 AS step, 'owner' || (k % 3) AS entity, CAST(floor(value) AS INTEGER) AS fact, name = 'signup' AS updates FROM spans WHERE k IS NOT NULL)"""
