@@ -48,6 +48,13 @@ class Scratch:
             p.getFileSystem(conf).delete(p, True)
 
 
+def pieces(batches, rows: int = 512):
+    """Arrow batches in pieces, so that a task's Python side holds little at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

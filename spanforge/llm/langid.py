@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import Scratch, columns_once, table
+from ._util import Scratch, columns_once, pieces, table
 
 #: Labelled texts of a language that the model is fitted on at most, on average; all their words are learned.
 LABELLED = 20_000
@@ -129,7 +129,7 @@ def train(docs: DataFrame, labelled: int = LABELLED) -> Model:
 
     def count(batches):
         seen: dict = defaultdict(Counter)
-        for batch in batches:
+        for batch in pieces(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 seen[lang].update(words_of(text.as_py()))
         rows = [(lang, w, k) for lang, c in seen.items() for w, k in c.items()]
@@ -173,7 +173,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             found = [m.predict(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import BROADCAST_ROWS, Scratch, columns_once, numbered, position, table
+from ._util import BROADCAST_ROWS, Scratch, columns_once, numbered, pieces, position, table
 
 MIN_CHARS = 1
 MIN_DOCS = 10
@@ -126,7 +126,7 @@ def reference_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             k1, k2 = _halves(list(seen))
             return pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(list(seen.values()), pa.int64())], ["k1", "k2", "n"])
 
-        for batch in batches:
+        for batch in pieces(batches):
             for text in batch.column(0):
                 keys = {k for k in map(line_key, (text.as_py() or "").encode().split(b"\n")) if long_enough(k, min_chars)}
                 seen.update(map(key_hash, keys))
@@ -277,7 +277,7 @@ class LineDedup:
             def rewrite(batches):
                 filters, wrong = probe.value
                 known = Probe(filters, shards, wrong)
-                for batch in batches:
+                for batch in pieces(batches):
                     lines = [t.as_py().encode().split(b"\n") for t in batch.column(at)]
                     keys = [line_key(x) for doc in lines for x in doc]
                     hashes = [key_hash(k) for k in keys]
@@ -307,7 +307,7 @@ class LineDedup:
         task = "shard long, salt int, kind int, filter binary, t1 long, t2 long, i long, k1 long, k2 long"
 
         def lines(batches):
-            for batch in batches:
+            for batch in pieces(batches):
                 rows = [(t1, t2, i, *np.frombuffer(key_hash(k), "<i8").tolist()) for t, t1, t2 in zip(*[c.to_pylist() for c in batch.columns], strict=True) for i, k in enumerate(map(line_key, t.encode().split(b"\n"))) if long_enough(k, min_chars)]
                 cols = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["t1", "t2", "i", "k1", "k2"])

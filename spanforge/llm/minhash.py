@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import BROADCAST_ROWS, Scratch, columns_once, numbered, position, table
+from ._util import BROADCAST_ROWS, Scratch, columns_once, numbered, pieces, position, table
 from .components import components
 
 WORDS = 5
@@ -99,7 +99,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n_shingles, fp, bands): fp is equal for equal shingle sets, null for empty ones."""
 
     def sign(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             sets = [shingle_set(t.as_py()) for t in batch.column(1)]
             some = [i for i, s in enumerate(sets) if len(s)]
             keys = iter(signatures([sets[i] for i in some]).view(np.int64).tolist())
@@ -140,7 +140,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scrat
     chosen = slim.join(F.broadcast(asked) if few else asked, slim.doc_id.eqNullSafe(asked.pick_id) & (slim.text_hash == asked.pick_hash), "left_semi")
 
     def sets(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             found = [shingle_set(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["fp", "shingles"])
 

@@ -6,8 +6,10 @@ pieces, dealt by a hash, is packed on its own, so that groups run in parallel an
 """
 
 import base64
+import json
 import re
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._util import Scratch, columns_once, table
+from ._util import pieces as in_pieces
 
 SEQUENCE = 1024
 END_ID = 0
@@ -43,10 +46,10 @@ class Encoder:
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
-        added = {t.content: i for i, t in self.slow.get_added_tokens_decoder().items()}
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            added = [t["content"] for t in json.load(f).get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, added))) if added else re.compile(r"(?!)")
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
@@ -55,6 +58,13 @@ class Encoder:
         self.plain = make("plain", public_tokenizers.PATTERN.replace(r"\s+(?!\S)|", ""))
         self.double = re.compile(r"\s\s")
 
+    @cached_property
+    def slow(self):
+        """The tokenizer file itself, read by the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> np.ndarray:
         if self.special.search(text):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
@@ -70,7 +80,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUEN
         from pyspark import TaskContext
 
         encode, task, row = Encoder(path), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in in_pieces(batches):
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.append(encode(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")

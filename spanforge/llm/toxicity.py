@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import BROADCAST_ROWS, Scratch, columns_once, numbered, position, table
+from ._util import BROADCAST_ROWS, Scratch, columns_once, numbered, pieces, position, table
 
 #: Labelled examples of each label that are indexed, on average, where there are as many.
 EXAMPLES = 1500
@@ -229,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Score
 
     def count(batches):
         number, seen, n = shared.value, np.zeros((len(shared.value), 3), np.int64), 0
-        for batch in batches:
+        for batch in pieces(batches):
             n += batch.num_rows
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 ids = known_terms(number, text.as_py())[0]
@@ -258,7 +258,7 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
     def run(batches):
         s = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             scores, ids, cosines = s.score(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], ["doc_id", "score", "evidence", "evidence_cosine"])
 
@@ -290,7 +290,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def clean(batches):
         s = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             yield batch.filter(pa.array(s.score(batch.column(at).to_pylist())[0] < 0.5))
 
     plain = numbered(docs)

@@ -63,3 +63,18 @@ def test_encoder_equals_the_tokenizer_file():
     encode, t = p.Encoder(p.tokenizer_file()), Tokenizer.from_file(p.tokenizer_file())
     for text in ("", " ", "a\n", "a \n b", "x  y", "tab\t\tx   z", "don't  I'LL 've", "ﬁ ² ½ Ⅷ 漢字　 ", "\U0001f600 á \x1c\x85 b", "<|endoftext|> a", "12 345  6", "a b   c", " \n\n\n x"):
         assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_ids_equal_the_tokenizer_file():
+    """Random texts of any characters, white space in all forms and special tokens among them."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from spanforge.llm import packing
+
+    encode, plain = packing.Encoder(packing.tokenizer_file()), Tokenizer.from_file(packing.tokenizer_file())
+    draw = random.Random(1)
+    for _ in range(2000):
+        text = "".join(chr(draw.choice([32, 10, 9, 13, 65, 97, 39, 48, 233, 8364, 0x4E2D, 0x1F600, 0x200B, draw.randrange(1, 0xD7FF)])) for _ in range(draw.randrange(0, 40))) + draw.choice(["", "", "<|endoftext|>", " 's it"])
+        assert encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
