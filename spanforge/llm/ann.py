@@ -33,6 +33,8 @@ PROBES, PROBE_RATIO = 32, 3.0
 PART = 4096
 #: Members of lists that lie together in one task on average; a task answers a query once for all its lists.
 BIN = 16384
+#: Queries that a task answers at a time.
+ASKED = 256
 ROUNDS = 10
 #: Queries that the audit holds against all vectors, and the share of their true neighbours that the lists must give.
 AUDIT, RECALL = 64, 0.93
@@ -96,6 +98,11 @@ def lifted(x: np.ndarray, most: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(0, most - (x**2).sum(1)))[:, None]], 1)
 
 
+def slack(score: np.ndarray) -> np.ndarray:
+    """A little under a score, so that rounding loses no equal."""
+    return score - 1e-9 * np.where(np.isfinite(score), np.abs(score), 0) - 1e-12
+
+
 def exact_top(asking: list, top: int):
     """For mapInArrow over (fp, vec): each batch's best ``top`` classes for each of ``asking``, (fp, vec) pairs."""
 
@@ -202,41 +209,47 @@ def _of_one_length(rows: DataFrame, is_query, top: int, probes: int, scratch: Sc
             return none
         x, q = matrix(members["vec"]), matrix(asked["vec"])
         fps, own = members["fp"].to_numpy(), asked["fp"].to_numpy()
+        same = np.unique(fps, return_inverse=True)[1]  # a replica is the same vector
         here = {s: np.asarray(i) for s, i in members.groupby("slot").indices.items()}
-        counts = asked["slots"].map(len).to_numpy()
-        row, slots = np.repeat(np.arange(len(q)), counts), np.concatenate(asked["slots"].to_numpy())
-        order = np.argsort(slots, kind="stable")
-        cuts = np.flatnonzero(np.diff(slots[order], prepend=-1))
-        ask, found = [], []
-        for rows in np.split(order, cuts[1:]):
-            one = here.get(int(slots[rows[0]]))
-            if one is None:
-                continue
-            for a in range(0, len(rows), 256):
-                some = row[rows[a : a + 256]]
-                s = q[some] @ x[one].T
+        slots = [np.asarray(s) for s in asked["slots"]]
+        out = []
+        for a in range(0, len(q), ASKED):
+            some = slots[a : a + ASKED]
+            row, slot = np.repeat(np.arange(a, a + len(some)), [len(s) for s in some]), np.concatenate(some)
+            order = np.argsort(slot, kind="stable")
+            cuts = np.flatnonzero(np.diff(slot[order], prepend=-1))
+            ask, found, near = [], [], []
+            for rows in np.split(order, cuts[1:]):
+                one = here.get(int(slot[rows[0]]))
+                if one is None:
+                    continue
+                s = q[row[rows]] @ x[one].T
                 take = min(len(one), top + 1)
                 kth = -np.partition(-s, take - 1, axis=1)[:, take - 1]
-                r, c = np.nonzero(s >= (kth - 1e-9 * np.abs(kth) - 1e-12)[:, None])
-                ask.append(some[r])
+                r, c = np.nonzero(s >= slack(kth)[:, None])
+                ask.append(row[rows[r]])
                 found.append(one[c])
-        if not ask:
-            return none
-        ask, found = np.concatenate(ask), np.concatenate(found)
-        exact = dots(q[ask], x[found])
-        same = np.unique(fps[found], return_inverse=True)[1]  # a replica is the same vector
-        order = np.lexsort((same, -exact, ask))
-        ask, found, exact, same = ask[order], found[order], exact[order], same[order]
-        fresh = np.ones(len(ask), bool)
-        fresh[1:] = (np.diff(ask) != 0) | (np.diff(same) != 0) | (np.diff(exact) != 0)
-        ask, found, exact = ask[fresh], found[fresh], exact[fresh]
+                near.append(s[r, c])
+            if not ask:
+                continue
+            ask, found, near = np.concatenate(ask), np.concatenate(found), np.concatenate(near)
+            first = np.unique(ask * np.int64(len(fps)) + same[found], return_index=True)[1]
+            ask, found = best(ask[first], found[first], near[first])
+            exact = dots(q[ask], x[found])
+            out.append(pd.DataFrame({"q": own[ask], "fp": fps[found], "score": exact}))
+        return pd.concat(out) if out else none
+
+    def best(ask: np.ndarray, found: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The candidates of each query that may be among its first; near equals of the last stay, for exact scores and ids to decide."""
+        order = np.lexsort((-near, ask))
+        ask, found, near = ask[order], found[order], near[order]
         first = np.flatnonzero(np.diff(ask, prepend=-1))
-        place = np.arange(len(ask)) - np.repeat(first, np.diff(first, append=len(ask)))
-        # Equal scores beyond the last place stay: smaller ids among them decide later.
-        last = np.full(len(q), -np.inf)
-        last[ask[place == top]] = exact[place == top]
-        keep = exact >= last[ask]
-        return pd.DataFrame({"q": own[ask[keep]], "fp": fps[found[keep]], "score": exact[keep]})
+        group = np.repeat(np.arange(len(first)), np.diff(first, append=len(ask)))
+        last = np.full(len(first), -np.inf)
+        at = np.arange(len(ask)) - first[group] == top
+        last[group[at]] = near[at]
+        keep = near >= slack(last)[group]
+        return ask[keep], found[keep]
 
     def search(asking: DataFrame, limit: int, ratio: float | None) -> DataFrame:
         asked = asking.mapInArrow(probe(limit, ratio), "bin int, slots array<int>, fp binary, vec binary")
