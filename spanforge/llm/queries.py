@@ -1,6 +1,7 @@
 """The queries of this subpackage, and SQL for those that SQL can express on whole tables."""
 
 from .ann import op8_nearest
+from .codes import op11_codes
 from .embdedup import op3_embedding_dedup
 from .langid import op5_langid
 from .linededup import op2_line_dedup
@@ -22,8 +23,31 @@ QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
+    "op11_codes": op11_codes,
 }
 
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds of op11 one after another; vectors of one length."""
+    nearest = """SELECT vec_id, a.part, min(list_sum([(a.x[i] - b.x[i]) * (a.x[i] - b.x[i]) for i in generate_series(1, len(a.x))]) * 256 + b.k) AS best FROM p a JOIN b{r} b ON a.part = b.part GROUP BY ALL"""
+    ctes = f"""v AS (SELECT vec_id, label, [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e FROM embeddings
+WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, e[part * (len(e) // {parts}) + 1:(part + 1) * (len(e) // {parts})] AS x FROM v, range({parts}) r(part)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS k, x FROM p QUALIFY k < {entries})"""
+    for r in range(rounds):
+        ctes += f""",
+a{r} AS MATERIALIZED ({nearest.format(r=r)}),
+s{r} AS (SELECT a.part, best % 256 AS k, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM a{r} a JOIN p ON a.vec_id = p.vec_id AND a.part = p.part),
+m{r} AS (SELECT part, k, i, sum(c) AS s, count(*) AS n FROM s{r} GROUP BY ALL),
+u{r} AS (SELECT part, k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM m{r} GROUP BY ALL),
+b{r + 1} AS MATERIALIZED (SELECT part, k, coalesce(u.x, b.x) AS x FROM b{r} b LEFT JOIN u{r} u USING (part, k))"""
+    return f"""WITH {ctes},
+z AS ({nearest.format(r=rounds)}),
+c AS (SELECT vec_id, string_agg(lpad(lower(to_hex(CAST(best % 256 AS BIGINT))), 2, '0'), '' ORDER BY part) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM z GROUP BY 1)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+(SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, k)) FROM b{rounds}) AS codebooks_sha256 FROM c JOIN v USING (vec_id)"""
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 #: Operators that learn, search by approximation or place rows by a hash have no SQL; tests hold them against plain versions.
@@ -48,4 +72,5 @@ l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM ok a JOIN ok b ON a.label = b.lab
 c AS (SELECT vec_id, vec_id AS root FROM v UNION SELECT c.vec_id, l.v FROM c JOIN l ON c.root = l.u),
 m AS (SELECT vec_id, min(root) AS component_id FROM c GROUP BY 1), n AS (SELECT u, count(*) AS n FROM l GROUP BY 1)
 SELECT m.vec_id, coalesce(n, 0) AS n_links, component_id, m.vec_id = component_id AS kept FROM m LEFT JOIN n ON m.vec_id = u""",
+    "op11_codes": _codes_sql(),
 }
