@@ -9,7 +9,9 @@ from .minhash import op1_minhash
 from .mixing import op9_mixing
 from .packing import op10_packing
 from .pii import op6_pii
+from .resample import op13_resample
 from .secretscan import op7_secrets
+from .substrings import op12_substrings
 from .toxicity import op4_toxicity
 
 QUERIES = {
@@ -24,6 +26,8 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
     "op11_codes": op11_codes,
+    "op12_substrings": op12_substrings,
+    "op13_resample": op13_resample,
 }
 
 
@@ -73,4 +77,28 @@ c AS (SELECT vec_id, vec_id AS root FROM v UNION SELECT c.vec_id, l.v FROM c JOI
 m AS (SELECT vec_id, min(root) AS component_id FROM c GROUP BY 1), n AS (SELECT u, count(*) AS n FROM l GROUP BY 1)
 SELECT m.vec_id, coalesce(n, 0) AS n_links, component_id, m.vec_id = component_id AS kept FROM m LEFT JOIN n ON m.vec_id = u""",
     "op11_codes": _codes_sql(),
+    "op12_substrings": """WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, i, sha256(array_to_string(ws[i:i + 34], ' ')) AS g FROM w, unnest(generate_series(1, len(ws) - 34)) t(i)),
+n AS (SELECT g FROM s GROUP BY 1 HAVING count(*) > 1),
+r AS (SELECT doc_id, list(i ORDER BY i) AS starts FROM s SEMI JOIN n USING (g) GROUP BY 1),
+t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM w),
+h AS (SELECT doc_id, i, true AS hit FROM (SELECT doc_id, unnest(starts) AS i FROM r)),
+m AS (SELECT t.doc_id, t.j, t.word, count(hit) OVER (PARTITION BY t.doc_id ORDER BY j ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) > 0 AS gone FROM t LEFT JOIN h ON t.doc_id = h.doc_id AND t.j = h.i),
+k AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (WHERE NOT gone) AS kept FROM m GROUP BY 1)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON w.doc_id = k.doc_id""",
+    "op13_resample": f"""WITH RECURSIVE g AS (SELECT i, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM g WHERE k < 8),
+tab AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM g WHERE k = 8),
+w AS (SELECT 'd' AS kind, doc_id AS id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+UNION ALL SELECT 'b', item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS MATERIALIZED (SELECT kind, id, unnest([array_to_string(ws[i:i + n - 1], ' ') for i in generate_series(1, len(ws) - n + 1)]) AS f FROM w, (VALUES (1), (2), (3)) v(n)),
+y AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)),
+x AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST('0x' || h[2 * i - 1:2 * i] AS BIGINT) for i in generate_series(1, len(h) // 2)]), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 10000 AS b FROM y, tab),
+n AS (SELECT b, count(*) FILTER (WHERE kind = 'd') AS s, count(*) FILTER (WHERE kind = 'b') AS t FROM f JOIN x USING (f) GROUP BY 1),
+a AS (SELECT sum(s) AS s, sum(t) AS t FROM n),
+gain AS (SELECT b, CAST(floor(1000 * ln(CAST(n.t + 1 AS DOUBLE) * CAST(a.s + 10000 AS DOUBLE) / (CAST(n.s + 1 AS DOUBLE) * CAST(a.t + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM n, a),
+d AS (SELECT id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN x USING (f) JOIN gain USING (b) WHERE kind = 'd' GROUP BY 1),
+e AS (SELECT w.id AS doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(ws) AS words,
+coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('42:' || w.id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM w LEFT JOIN d ON w.id = d.id WHERE kind = 'd'),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM e WHERE words >= 20)
+SELECT e.doc_id, n_features, weight, score, rank FROM e LEFT JOIN r ON e.doc_id = r.doc_id AND rank <= 5 * n // 100""",
 }
