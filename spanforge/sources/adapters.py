@@ -4,6 +4,8 @@ spans: an event is a span of its user's trace; turns: a conversation's rows; pre
 on a labelled document; edges: customers and suppliers that an order links.
 """
 
+from string import Template
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -153,3 +155,53 @@ def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DIALOGUES = SPANS + f""", turns AS (SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY start_time, span_id) - 1 AS turn, CASE WHEN coalesce(k, 0) % 4 = 0 THEN 'user' ELSE 'agent' || (coalesce(k, 0) % 3) END AS participant,
   ([{", ".join("'" + x.replace("'", "''") + "'" for x in SAYINGS)}])[CAST(floor(value) AS INTEGER) % {len(SAYINGS)} + 1] AS text FROM spans)"""
+
+
+#: What states of agents hold, by digits of an event.
+NOTES = ("null", '""', '"ok then"', '"the whole ledger of the first quarter was booked"', '"a completely different sentence about other matters"', "7")
+ITEMS = ("[]", '[{"id":1}]', '[{"id":1},{"id":2},{"id":3}]', '[{"id":1},{"id":1}]', "[1,2,3,4,5,6,7,8,9,10,11,12]")
+PROFILES = (
+    "{}", '{"name":"Ann","first_name":"A","verified":true,"address":{"city":"Rome","zip":100}}', '{"name":"Bob","first_name":"B","verified":false,"address":{"city":"Oslo","zip":900}}', "null",
+)
+#: A member of a state, as text, from k and v; the same expressions in both engines.
+_MEMBERS = (
+    "'{\"user_id\":\"u', CASE WHEN v % 9 = 0 THEN '1' ELSE '0' END, '\",\"version\":', CAST(v % 97 AS STRING)", "CASE WHEN k % 11 = 0 THEN '' ELSE concat(',\"status\":\"', $status, '\"') END",
+    "',\"score\":', CAST(v % 100 - 5 AS STRING), ',\"grade\":\"', $grade, '\",\"ratio\":', CAST(v % 7 AS STRING), CASE WHEN k % 2 = 0 THEN '.5' ELSE '' END", "',\"note\":', $note, ',\"items\":', $item",
+    "CASE WHEN k % 10 = 9 THEN '' ELSE concat(',\"profile\":', $profile) END", "',\"step_count\":', CAST(v % 40 AS STRING), ',\"age\":', CAST(v * 3 - 20 AS STRING), ',\"email\":\"a', CASE WHEN v % 4 = 0 THEN ' ' ELSE '' END, '@b.org\",\"min_value\":', CAST(v % 10 AS STRING), ',\"max_value\":', CAST(k % 10 AS STRING)",
+    "CASE WHEN k % 13 = 0 THEN concat(',\"extra\":1,\"label\":\"reference-', CAST(v AS STRING), '\",\"order_id\":\"reference-', CAST(v AS STRING), '\"') ELSE '' END", "CASE WHEN k % 6 = 1 THEN ',\"name\":\"N\",\"username\":\"n\"' WHEN k % 6 = 2 THEN ',\"name\":\"M\",\"username\":\"m\"' ELSE '' END", "'}'",
+)
+
+
+def _state(pick) -> str:
+    names = dict(status=pick(("pending", "processing", "shipped", "delivered", "completed"), "v"), grade=pick(("A", "B", "C", "D", "F"), "k"), note=pick(NOTES, "k"), item=pick(ITEMS, "v"), profile=pick(PROFILES, "k"))
+    return Template("concat(" + ", ".join(_MEMBERS) + ")").substitute(names)
+
+
+def _case(values, of: str) -> str:
+    return f"CASE {of} % {len(values)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(values)) + " END"
+
+
+def states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(trace_id, step, ts, state): an event as the JSON state of its user's agent; a month's time is pressed into three quarters of an hour, in seconds."""
+    e = read(spark, sf_dir, "events")
+    k = F.coalesce(F.regexp_extract("props", '"k": ([0-9]+)', 1).try_cast("int"), F.lit(0))
+    e = e.select(F.col("user_id").alias("trace_id"), F.col("event_id").alias("step"), k.alias("k"), F.floor("value").cast("int").alias("v"), (F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 1000) / 1e6).alias("ts"))
+    return e.select("trace_id", "step", "ts", F.expr(_state(_case)).alias("state"))
+
+
+STATES = f"""states AS (SELECT trace_id, step, ts, {_state(_case)} AS state FROM (SELECT user_id AS trace_id, event_id AS step, coalesce(TRY_CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS INTEGER), 0) AS k, CAST(floor(value) AS INTEGER) AS v, floor((epoch_us(ts) - 1704067200000000) / 1000) / 1e6 AS ts FROM events))"""
+
+
+#: What failed nodes of a graph say, by the value of an event.
+FAULTS = ("connection refused", "State mismatch after resume", "KeyError: missing key total", "checkpoint could not be read", "division by zero", "malformed JSON")
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(trace_id, node_id, status, superstep, error, outputs): an event as a run of a node."""
+    s = spans(spark, sf_dir)
+    bad = F.col("status") == "error"
+    fault = F.element_at(F.array(*[F.lit(x) for x in FAULTS]), (F.floor("value").cast("int") % len(FAULTS)) + 1)
+    return s.select("trace_id", F.col("span_id").alias("node_id"), F.when(bad, "failed").otherwise("succeeded").alias("status"), F.col("span_id").alias("superstep"), F.when(bad, fault).alias("error"), F.lit("{}").alias("outputs"))
+
+
+NODES = f"""nodes AS (SELECT user_id AS trace_id, event_id AS node_id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'succeeded' END AS status, event_id AS superstep, CASE WHEN event_type = 'error' THEN ({list(FAULTS)!r})[CAST(floor(value) AS INTEGER) % {len(FAULTS)} + 1] END AS error, '{{}}' AS outputs FROM events)"""
