@@ -205,3 +205,18 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NODES = f"""nodes AS (SELECT user_id AS trace_id, event_id AS node_id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'succeeded' END AS status, event_id AS superstep, CASE WHEN event_type = 'error' THEN ({list(FAULTS)!r})[CAST(floor(value) AS INTEGER) % {len(FAULTS)} + 1] END AS error, '{{}}' AS outputs FROM events)"""
+
+
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(trace_id, step, agent, state, content, vector): an event as a step of one of three agents, with a small state and the vector whose id its value names."""
+    s = spans(spark, sf_dir)
+    v = F.floor("value").cast("int")
+    state = F.concat(F.lit('{"tool":"'), "name", F.lit('","n":'), (v % 3).cast("string"), F.when(v % 5 == 0, F.lit(',"last":true')).otherwise(""), F.lit("}"))
+    s = s.select("trace_id", F.col("span_id").alias("step"), F.concat(F.lit("agent"), (F.coalesce("k", F.lit(0)) % 3).cast("string")).alias("agent"), state.alias("state"), F.element_at(F.array(*[F.lit(x) for x in SAYINGS]), v % len(SAYINGS) + 1).alias("content"), v.alias("vec_id"))
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("vec_id"), F.col("embedding").alias("vector"))
+    return s.join(e, "vec_id").drop("vec_id")
+
+
+STEPS = f"""steps AS (SELECT user_id AS trace_id, event_id AS step, 'agent' || (coalesce(TRY_CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS INTEGER), 0) % 3) AS agent,
+  concat('{{"tool":"', event_type, '","n":', CAST(CAST(floor(value) AS INTEGER) % 3 AS VARCHAR), CASE WHEN CAST(floor(value) AS INTEGER) % 5 = 0 THEN ',"last":true' ELSE '' END, '}}') AS state,
+  ([{", ".join("'" + x.replace("'", "''") + "'" for x in SAYINGS)}])[CAST(floor(value) AS INTEGER) % {len(SAYINGS)} + 1] AS content, embedding AS vector FROM events JOIN embeddings ON vec_id = CAST(floor(value) AS INTEGER))"""
