@@ -220,3 +220,20 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 STEPS = f"""steps AS (SELECT user_id AS trace_id, event_id AS step, 'agent' || (coalesce(TRY_CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS INTEGER), 0) % 3) AS agent,
   concat('{{"tool":"', event_type, '","n":', CAST(CAST(floor(value) AS INTEGER) % 3 AS VARCHAR), CASE WHEN CAST(floor(value) AS INTEGER) % 5 = 0 THEN ',"last":true' ELSE '' END, '}}') AS state,
   ([{", ".join("'" + x.replace("'", "''") + "'" for x in SAYINGS)}])[CAST(floor(value) AS INTEGER) % {len(SAYINGS)} + 1] AS content, embedding AS vector FROM events JOIN embeddings ON vec_id = CAST(floor(value) AS INTEGER))"""
+
+
+#: What parallel branches report, by the value of an event.
+REPORTS = (
+    "the north total is 10", "the north total is 12", "the south account was approved", "the south account was rejected", "access is not valid", "access is valid and the count: 7", "nothing to report here",
+    "however the branches disagree", "rate = 5% and the rate = 6%", "",
+)
+
+
+def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(trace_id, span_id, parent_id, name, start_time, end_time, output): spans with a parent and what they report, rarely a word of reconciliation."""
+    v = F.floor("value").cast("int")
+    pick = F.element_at(F.array(*[F.lit(x) for x in REPORTS]), F.when((v % 10 == 7) & (v % 4 != 0), 6).otherwise(v % 10).cast("int") + 1)
+    return parents(spark, sf_dir).select("trace_id", "span_id", "parent_id", "name", "start_time", "end_time", pick.alias("output"))
+
+
+BRANCHES = PARENTS + f""", branches AS (SELECT trace_id, span_id, parent_id, name, start_time, end_time, ({list(REPORTS)!r})[CASE WHEN CAST(floor(value) AS INTEGER) % 10 = 7 AND CAST(floor(value) AS INTEGER) % 4 <> 0 THEN 6 ELSE CAST(floor(value) AS INTEGER) % 10 END + 1] AS output FROM parents)"""
