@@ -237,3 +237,34 @@ def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BRANCHES = PARENTS + f""", branches AS (SELECT trace_id, span_id, parent_id, name, start_time, end_time, ({list(REPORTS)!r})[CASE WHEN CAST(floor(value) AS INTEGER) % 10 = 7 AND CAST(floor(value) AS INTEGER) % 4 <> 0 THEN 6 ELSE CAST(floor(value) AS INTEGER) % 10 END + 1] AS output FROM parents)"""
+
+
+#: Titles, types and routes of graph nodes, and conditions of their edges, by digits of an event.
+TITLES = ("WeatherService", "News agent", "FinalStep", "weather_tool", "DatabaseQuery", "end", "Reviewers")
+NODE_TYPES = ("llm", "tool", "human", "router", "subgraph")
+ROUTES = ("weather_service", "news", "review", "fast")
+CONDITIONS = ("route == \\'weather_service\\'", "route == \\'news\\'", "route_to_tool", "finish", "continue", "mode == \\'fast\\'", "route == \\'review\\'", "go to human")
+_GRAPH_ROWS = f"""SELECT user_id AS graph_id, event_type, ts, CAST(floor(value) AS INT) AS v, coalesce(TRY_CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS INT), 0) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events"""
+
+
+def _graph_sql(quote) -> dict[str, str]:
+    """The same statements in both engines, but for how a quote in a text is written."""
+    case = lambda values, of: f"CASE {of} % {len(values)} " + " ".join(f"WHEN {i} THEN '{quote(x)}'" for i, x in enumerate(values)) + " END"
+    return {
+        "graph_nodes": f"""SELECT graph_id, concat('n', CAST(seq AS STRING)) AS node_id, {case(NODE_TYPES, "k")} AS node_type, {case(TITLES, "v")} AS title, CASE WHEN event_type = 'error' THEN 'failed' WHEN v % 5 = 0 THEN 'skipped' ELSE 'succeeded' END AS status,
+          CAST(sum(CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY graph_id ORDER BY seq) AS BIGINT) AS superstep, concat('{{"key', CAST(v % 5 AS STRING), '":1}}') AS inputs,
+          concat('{{"key', CAST(k % 4 AS STRING), '":', CAST(v % 3 AS STRING), CASE WHEN k % 3 = 1 THEN concat(',"route":"', {case(ROUTES, "v")}, '"') ELSE '' END, '}}') AS outputs FROM graph_rows""",
+        "graph_edges": f"""SELECT graph_id, concat('n', CAST(seq AS STRING)) AS source, CASE WHEN v % 23 = 0 THEN 'ghost' ELSE concat('n', CAST(seq + 1 AS STRING)) END AS target, CASE WHEN k % 4 = 0 THEN 'conditional' ELSE 'direct' END AS edge_type, CASE WHEN k % 4 = 0 THEN {case(CONDITIONS, "v")} ELSE '' END AS condition FROM graph_rows WHERE k % 7 <> 0
+          UNION ALL SELECT graph_id, concat('n', CAST(seq AS STRING)), concat('n', CAST(seq + 2 AS STRING)), 'conditional', {case(CONDITIONS[::-1], "v")} FROM graph_rows WHERE k % 4 = 0 AND k % 7 <> 0""",
+        "graph_states": f"""SELECT graph_id, superstep, max(state) AS state FROM (SELECT graph_id, CAST(sum(CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY graph_id ORDER BY seq) AS BIGINT) AS superstep, concat('{{"route":"', {case(ROUTES, "v")}, '","note":"', CASE WHEN v % 19 = 0 THEN 'sync_failed' ELSE 'fine' END, '"}}') AS state FROM graph_rows) x WHERE superstep % 3 <> 1 GROUP BY graph_id, superstep""",
+        "graph_runs": "SELECT graph_id, CASE WHEN graph_id % 2 = 0 THEN 'completed' ELSE 'running' END AS status FROM graph_rows GROUP BY graph_id",
+    }
+
+
+def graph_runs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Graph executions, one a user: nodes, edges, states and runs, each as a frame; an event is a node that leads to the next ones."""
+    rows = spark.sql(_GRAPH_ROWS.replace("TRY_CAST", "try_cast").replace("FROM events", "FROM {events}"), events=read(spark, sf_dir, "events"))
+    return {name.removeprefix("graph_"): spark.sql(q.replace("{", "{{").replace("}", "}}").replace("graph_rows", "{rows}"), rows=rows) for name, q in _graph_sql(lambda x: x).items()}
+
+
+GRAPHS = f"graph_rows AS ({_GRAPH_ROWS}), " + ", ".join(f"{name} AS ({q})" for name, q in _graph_sql(lambda x: x.replace("\\'", "''")).items())
