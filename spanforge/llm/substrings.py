@@ -6,8 +6,8 @@ document has an anchor for some fourteen words. Anchors that stand in one place
 stretches of words around the others are compared, distinct ones once, and their windows that start in two places
 or more make the confirmed passages. Passages are compiled to Aho-Corasick automata over word numbers, sharded by
 anchor so that one holds a bounded number of them, and the stretches of all documents stream through the
-automaton of their anchor, which marks every occurrence. Stretches hold each window whose anchor recurs, so that
-the text that is not streamed has no repeated window.
+automaton of their anchor, each distinct one once, which marks every occurrence. Stretches hold each window
+whose anchor recurs, so that the text that is not streamed has no repeated window.
 """
 
 import numpy as np
@@ -25,10 +25,10 @@ CHUNK = 1 << 15
 HOT = 1000
 #: Distinct stretches of an anchor that one task compares; the windows of more are counted by a shuffle.
 TOGETHER = 2048
-#: Passages in an automaton, and stretches that one task streams through it.
-PASSAGES, STREAMED = 20_000, 200_000
+#: Passages in an automaton on average, so that it fits a processor's cache while it is built; at most for one anchor; stretches that one task streams through it.
+PASSAGES, CROWD, STREAMED = 500, 20_000, 200_000
 
-_STEP = 0x9E3779B97F4A7C15
+_STEP, _PLACE = 0x9E3779B97F4A7C15, np.uint64((1 << 17) - 1)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -52,8 +52,15 @@ def anchored(words: list[bytes], window: int, gram: int = GRAM) -> tuple[np.ndar
     grams = permute(grams)
     at = np.empty(n, np.int64)
     for a in range(0, n, CHUNK):
-        b = min(n, a + CHUNK)
-        at[a:b] = np.arange(a, b) + np.lib.stride_tricks.sliding_window_view(grams[a : b + span - 1], span).argmin(1)
+        # The place fills the low bits, so that of equal hashes the leftmost is least; doubled spans give the minimum.
+        least = (grams[a : a + CHUNK + span - 1] & ~_PLACE) | np.arange(min(CHUNK + span - 1, size - a), dtype=np.uint64)
+        held = 1
+        while 2 * held <= span:
+            least = np.minimum(least[:-held], least[held:])
+            held *= 2
+        if held < span:
+            least = np.minimum(least[: len(least) - span + held], least[span - held :])
+        at[a : a + CHUNK] = a + (least & _PLACE).astype(np.int64)
     first = np.flatnonzero(np.diff(at, prepend=-1))
     last = np.append(first[1:] - 1, n - 1)
     return first, last, grams[at[first]].view(np.int64)
@@ -80,32 +87,38 @@ def passages_at(stretch: str, starts, window: int) -> list[str]:
     return [" ".join(words[a:b]) for a, b in out]
 
 
-def repeated_starts(stretches: list[tuple[str, int]], window: int) -> list[list[int]]:
+def repeated_starts(stretches: list[tuple[str, int]], window: int) -> list[range | list[int]]:
     """For each (stretch, times it stands in the documents): the starts of its windows that stand in two places or more."""
     if len(stretches) == 1 and stretches[0][1] < 2:
         return [[]]
-    counts: dict[tuple, int] = {}
-    cut = [s.split(" ") for s, _ in stretches]
-    for words, (_, n) in zip(cut, stretches, strict=True):
-        for i in range(len(words) - window + 1):
-            key = tuple(words[i : i + window])
-            counts[key] = counts.get(key, 0) + n
-    return [[i for i in range(len(w) - window + 1) if counts[tuple(w[i : i + window])] > 1] for w in cut]
+    counts: dict[str, int] = {}
+    cut = []
+    for s, n in stretches:
+        ends = [i for i, c in enumerate(s) if c == " "]
+        starts, ends = [0, *[i + 1 for i in ends]], [*ends, len(s)]
+        cut.append([s[a:b] for a, b in zip(starts, ends[window - 1 :], strict=False)])
+        if len(stretches) > 1:
+            for w in cut[-1]:
+                counts[w] = counts.get(w, 0) + n
+    return [range(len(ws)) if n > 1 else [i for i, w in enumerate(ws) if counts[w] > 1] for ws, (_, n) in zip(cut, stretches, strict=True)]
 
 
 def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def recurring(rows: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
-    """Rows of ``rows`` whose key has a total ``n`` of two or more; frequent keys don't gather in one task."""
+def recurring(rows: DataFrame, keys: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``rows`` whose key has a total ``n`` of two or more, and the frequent ones of those keys: they are joined apart, so that none gathers in one task."""
     counts = scratch.keep(rows.groupBy(*keys).agg(F.sum("n").alias("total"), F.count("*").alias("held")).filter("total > 1"), "counts")
-    all_rows = rows.count()
-    hot = counts.filter(F.col("held") > max(all_rows // HOT, 1)).select(*keys)
-    if counts.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(counts.select(*keys)), keys, "left_semi")
-    apart = rows.join(F.broadcast(hot), keys, "left_semi")
-    return apart.unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(counts.select(*keys), keys, "left_semi"))
+    often = (counts.agg(F.sum("held")).first()[0] or 0) // HOT
+    hot = scratch.keep(counts.filter(F.col("held") > max(often, 1)).select(*keys), "hot")
+    return semi(rows, counts.select(*keys), hot), hot
+
+
+def semi(rows: DataFrame, keys: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows whose key is among ``keys``; those of ``hot`` keys, HOT at most, by a broadcast of their own."""
+    names, some = keys.columns, F.broadcast(hot)
+    return rows.join(F.broadcast(hot.join(keys, names, "left_semi")), names, "left_semi").unionByName(rows.join(some, names, "left_anti").join(keys.hint("merge"), names, "left_semi"))
 
 
 def repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
@@ -133,7 +146,8 @@ def repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFram
 
     runs = named.mapInArrow(anchors, "t1 long, t2 long, first long, last long, anchor long")
     runs = scratch.keep(runs.groupBy("t1", "t2", "first", "last", "anchor").agg(F.count("*").alias("n")), "runs")
-    again = scratch.keep(recurring(runs, ["anchor"], scratch), "again")
+    again, hot = recurring(runs, ["anchor"], scratch)
+    again = scratch.keep(again, "again")
     scratch.drop(runs)
     within = again.groupBy("t1", "t2").agg(F.max("n").alias("n"), F.collect_list(F.struct("first", "last", "anchor")).alias("runs"))
     asked = small(scratch.keep(again.select("t1", "t2").distinct(), "asked"))
@@ -151,41 +165,44 @@ def repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFram
                     yield pa.RecordBatch.from_arrays([*cols, pa.array(held, pa.string())], ["t1", "t2", "n", "first", "anchor", "stretch"])
 
     with_runs = within.join(texts, ["t1", "t2"]).select("t1", "t2", "n", "runs", "text")
-    stretches = scratch.keep(with_runs.mapInArrow(cut, "t1 long, t2 long, n long, first long, anchor long, stretch string"), "stretches")
-    confirmed = scratch.keep(passages(stretches.groupBy("anchor", "stretch").agg(F.sum("n").alias("n")), scratch, window, tasks), "passages")
+    cuts = with_runs.mapInArrow(cut, "t1 long, t2 long, n long, first long, anchor long, stretch string")
+    stretches = scratch.keep(cuts.withColumns({"c1": F.xxhash64("stretch"), "c2": F.xxhash64(F.lit("two"), "stretch")}), "stretches")
+    distinct = scratch.keep(stretches.groupBy("anchor", "c1", "c2", "stretch").agg(F.sum("n").alias("n")), "distinct")
+    confirmed = scratch.keep(passages(distinct, scratch, window, tasks), "passages")
 
     shards = confirmed.count() // PASSAGES + 1
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard")
     # An anchor with more passages than an automaton may hold has several; its stretches go to each of them.
-    crowded = scratch.keep(confirmed.groupBy("anchor").agg(F.ceil(F.count("*") / F.lit(PASSAGES)).cast("int").alias("subs")).filter("subs > 1"), "crowded")
+    crowded = scratch.keep(confirmed.groupBy("anchor").agg(F.ceil(F.count("*") / F.lit(CROWD)).cast("int").alias("subs")).filter("subs > 1"), "crowded")
     crowded = small(crowded)
     subs = F.coalesce("subs", F.lit(1))
     known = confirmed.join(crowded, "anchor", "left").select(shard, F.pmod(F.xxhash64("passage"), subs).cast("int").alias("sub"), "passage")
-    asking = stretches.join(confirmed.select("anchor").distinct(), "anchor", "left_semi").join(crowded, "anchor", "left")
-    asking = asking.select("t1", "t2", "first", shard, F.explode(F.sequence(F.lit(0), subs - 1)).alias("sub"), "stretch")
+    asking = semi(distinct, scratch.keep(confirmed.select("anchor").distinct(), "anchors"), hot).join(crowded, "anchor", "left")
+    asking = asking.select("c1", "c2", shard, F.explode(F.sequence(F.lit(0), subs - 1)).alias("sub"), "stretch")
     salts = scratch.keep(asking.groupBy("shard", "sub").agg(F.ceil(F.count("*") / F.lit(STREAMED)).cast("int").alias("salts")), "salts")
-    none = [F.lit(None).cast("long").alias(c) for c in ("t1", "t2", "first")]
+    none = [F.lit(None).cast("long").alias(c) for c in ("c1", "c2")]
     compiled = known.join(salts, ["shard", "sub"]).select("shard", "sub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), *none, F.col("passage").alias("words"))
-    streamed = asking.join(F.broadcast(salts), ["shard", "sub"]).select("shard", "sub", F.pmod(F.xxhash64("t1", "t2", "first"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), "t1", "t2", "first", F.col("stretch").alias("words"))
+    streamed = asking.join(small(salts), ["shard", "sub"]).select("shard", "sub", F.pmod("c1", "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), "c1", "c2", F.col("stretch").alias("words"))
     dealt = compiled.unionByName(streamed).repartition(tasks, "shard", "sub", "salt").sortWithinPartitions("shard", "sub", "salt", "kind")
-    hits = dealt.mapInArrow(located, "t1 long, t2 long, s long, e long")
+    # An anchor's stretches go through one automaton each unless it is crowded: their hits come in as many rows as they have automata.
+    hits = dealt.mapInArrow(located, "c1 long, c2 long, hits array<long>")
+    placed = stretches.select("t1", "t2", "first", "c1", "c2").join(hits.hint("merge"), ["c1", "c2"])
 
     def join_up(batches):
         for batch in batches:
-            spans = [[{"s": s, "e": e} for s, e in merged((x["s"], x["e"]) for x in row)] for row in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, batch.schema.field(2).type)], ["t1", "t2", "spans"])
+            spans = [[{"s": s, "e": e} for s, e in merged((x["first"] + s, x["first"] + e) for x in row for s, e in zip(x["hits"][::2], x["hits"][1::2], strict=True))] for row in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))], ["t1", "t2", "spans"])
 
-    found = hits.groupBy("t1", "t2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    found = placed.groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "hits")).alias("spans"))
     return scratch.keep(found.mapInArrow(join_up, "t1 long, t2 long, spans array<struct<s:long,e:long>>"), "spans")
 
 
 def passages(distinct: DataFrame, scratch: Scratch, window: int, tasks: int) -> DataFrame:
-    """(anchor, passage), distinct: the runs of windows that stand in two places or more, from (anchor, stretch, n).
+    """(anchor, passage), distinct: the runs of windows that stand in two places or more, from (anchor, c1, c2, stretch, n).
 
     Windows with one anchor are compared in one task, unless an anchor has more than TOGETHER stretches:
     theirs are counted by their hashes.
     """
-    distinct = scratch.keep(distinct, "distinct")
     sizes = distinct.groupBy("anchor").agg(F.count("*").alias("held"), F.sum("n").alias("n")).filter("n > 1")
     many = scratch.keep(sizes.filter(F.col("held") > TOGETHER).select("anchor"), "many")
     wide = small(many)
@@ -209,12 +226,12 @@ def passages(distinct: DataFrame, scratch: Scratch, window: int, tasks: int) ->
     narrow = few.mapInArrow(compare, "anchor long, passage string")
     if many.isEmpty():
         return narrow
-    crowded = scratch.keep(distinct.join(wide, "anchor", "left_semi").withColumns({"c1": F.xxhash64("stretch"), "c2": F.xxhash64(F.lit("two"), "stretch")}), "crowded")
+    crowded = scratch.keep(distinct.join(wide, "anchor", "left_semi"), "crowded")
     words = F.split("stretch", " ")
     starts = crowded.select("c1", "c2", "n", words.alias("words"), F.explode(F.sequence(F.lit(0), F.size(words) - window)).alias("start"))
     held = F.array_join(F.slice("words", F.col("start") + 1, window), " ")
     windows = starts.select("c1", "c2", "n", "start", F.xxhash64(held).alias("w1"), F.xxhash64(F.lit("two"), held).alias("w2"))
-    again = recurring(scratch.keep(windows, "windows"), ["w1", "w2"], scratch)
+    again, _ = recurring(scratch.keep(windows, "windows"), ["w1", "w2"], scratch)
     places = again.groupBy("c1", "c2").agg(F.collect_list("start").alias("starts"))
 
     def cut(batches):
@@ -227,13 +244,13 @@ def passages(distinct: DataFrame, scratch: Scratch, window: int, tasks: int) ->
 
 
 def located(batches):
-    """(t1, t2, s, e) of the passages in sorted rows (shard, sub, salt, kind, t1, t2, first, words): an automaton's passages come before its stretches."""
+    """(c1, c2, hits) of sorted rows (shard, sub, salt, kind, c1, c2, words), an automaton's passages before its stretches; hits are starts and ends in turn."""
     import ahocorasick
 
     at, numbers, automaton, ready = None, {}, None, False
     for batch in batches:
         out = []
-        for shard, sub, salt, kind, t1, t2, first, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for shard, sub, salt, kind, c1, c2, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if at != (shard, sub, salt):
                 at, numbers, ready = (shard, sub, salt), {}, False
                 automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
@@ -246,10 +263,11 @@ def located(batches):
             if not ready:
                 automaton.make_automaton()
                 ready = True
-            for s, e in merged((end + 1 - n, end + 1) for end, n in automaton.iter(tuple(numbers.get(w, 0) for w in words))):
-                out.append((t1, t2, first + s, first + e))
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["t1", "t2", "s", "e"])
+            spans = merged((end + 1 - n, end + 1) for end, n in automaton.iter(tuple([numbers.get(w, 0) for w in words])))
+            if spans:
+                out.append((c1, c2, [x for span in spans for x in span]))
+        cols = list(zip(*out, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64()))], ["c1", "c2", "hits"])
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -50,7 +50,7 @@ def planted(seed=3, n=120):
 
 @pytest.mark.parametrize(("window", "together", "passages", "streamed"), [(35, 2048, 20_000, 200_000), (35, 1, 3, 5), (12, 4, 2, 7)])
 def test_equal_to_brute_force(spark, monkeypatch, window, together, passages, streamed):
-    for name, value in (("TOGETHER", together), ("PASSAGES", passages), ("STREAMED", streamed), ("CHUNK", 64)):
+    for name, value in (("TOGETHER", together), ("PASSAGES", passages), ("CROWD", passages), ("STREAMED", streamed), ("CHUNK", 64)):
         monkeypatch.setattr(x, name, value)
     texts = planted()
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
