@@ -144,24 +144,23 @@ def answer_clusters(a: DataFrame, alike: float = ALIKE, block: int = BLOCK) -> D
 
     A question's answers are clustered ``block`` at a time: the first unassigned ones find their leaders in one group,
     all others are then held against those leaders. A round needs the leaders of ``block`` answers, never all answers of
-    a question, and the last answers are assigned as if all had come one after another. Null vectors join nothing and lead nothing.
+    a question, and the last answers are assigned as if all had come one after another. Vectors of another length are never alike; null ones join nothing and lead nothing.
     """
     import numpy as np
 
     def lead(key, pdf):
         pdf = pdf.sort_values("pos")
-        x = np.array(pdf["vector"].tolist(), float)
-        norm = np.linalg.norm(x, axis=1)
-        leaders, of = [], []
-        for i in range(len(x)):
-            some = x[leaders]
-            sims = (some @ x[i]) / np.where(norm[leaders] * norm[i] > 0, norm[leaders] * norm[i], 1.0) if leaders else np.zeros(0)
-            hit = np.flatnonzero(sims >= alike)
-            if len(hit):
-                of.append(leaders[hit[0]])
-            else:
-                of.append(i)
-                leaders.append(i)
+        leaders: dict[int, tuple[list[int], list]] = {}  # by length: their places and their vectors of length one
+        of = []
+        for i, v in enumerate(pdf["vector"]):
+            v = np.array(v, float)
+            v = v / (np.linalg.norm(v) or 1.0)
+            places, held = leaders.setdefault(len(v), ([], []))
+            hit = np.flatnonzero(np.array(held) @ v >= alike) if held else ()
+            of.append(places[hit[0]] if len(hit) else i)
+            if not len(hit):
+                places.append(i)
+                held.append(v)
         pos = pdf["pos"].to_numpy()
         return pdf.assign(leader=pos[of])[["question", "pos", "leader"]]
 

@@ -268,3 +268,16 @@ def graph_runs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 GRAPHS = f"graph_rows AS ({_GRAPH_ROWS}), " + ", ".join(f"{name} AS ({q})" for name, q in _graph_sql(lambda x: x.replace("\\'", "''")).items())
+
+
+_MEMORY = """SELECT label % 2 AS tenant, vec_id AS memory_id, CASE label % 3 WHEN 0 THEN 'loop' WHEN 1 THEN 'corruption' ELSE 'cost' END AS domain, CASE WHEN vec_id % 2 = 0 THEN 'detection_pattern' ELSE 'fix_outcome' END AS memory_type, CASE WHEN vec_id % 5 < 3 THEN 'langgraph' ELSE 'crewai' END AS framework,
+  concat('memory ', CAST(CASE WHEN vec_id % 9 = 0 THEN 0 ELSE vec_id END AS STRING)) AS content, CASE WHEN vec_id % 6 = 0 THEN NULL ELSE concat('{"threshold":', CAST(vec_id % 4 AS STRING), ',"details":"d', CAST(vec_id AS STRING), '"}') END AS facts, embedding AS vector, CAST(vec_id % 10 AS DOUBLE) / 10 AS importance, CAST(vec_id % 4 AS BIGINT) AS access_count,
+  CAST(1706745600 - (vec_id % 400) * 86400 AS DOUBLE) AS created_at, vec_id % 11 <> 0 AS is_active, CAST(NULL AS BIGINT) AS supersedes, CAST(NULL AS BIGINT) AS superseded_by, CAST(NULL AS DOUBLE) AS last_accessed FROM embeddings"""
+
+
+def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row of embeddings as a memory of one of two tenants; see ``operators.memory`` for the columns."""
+    return spark.sql(_MEMORY.replace("{", "{{").replace("}", "}}").replace("FROM embeddings", "FROM {embeddings}"), embeddings=read(spark, sf_dir, "embeddings"))
+
+
+MEMORIES = f"memories AS ({_MEMORY})"
