@@ -281,3 +281,20 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MEMORIES = f"memories AS ({_MEMORY})"
+
+
+#: What retrievals and users say of dates, by the value of an event.
+DATED = (
+    "sales as of March 5, 2019 and updated 2021-06-30", "published 12/01/2023 for the north", "prices since 2020 and from 1980", "the plan of January 2022", "nothing of note", "two years ago it was prior to 2015",
+    "retrieved on 2023-11-11, effective May 1 2018", "recorded 13/40/2020", "in 2023 the rate rose",
+)
+
+
+def retrievals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(trace_id, span_id, kind, start_time, text): events as retrievals, inputs of users and others."""
+    s = spans(spark, sf_dir)
+    kind = F.when(F.col("k") % 4 < 2, "retrieval").when(F.col("k") % 20 == 19, "user_input").otherwise("tool")
+    return s.select("trace_id", "span_id", F.coalesce(kind, F.lit("tool")).alias("kind"), "start_time", F.element_at(F.array(*[F.lit(x) for x in DATED]), F.floor("value").cast("int") % len(DATED) + 1).alias("text"))
+
+
+RETRIEVALS = SPANS + f""", retrievals AS (SELECT trace_id, span_id, CASE WHEN k % 4 < 2 THEN 'retrieval' WHEN k % 20 = 19 THEN 'user_input' ELSE 'tool' END AS kind, start_time, ({list(DATED)!r})[CAST(floor(value) AS INTEGER) % {len(DATED)} + 1] AS text FROM spans)"""
