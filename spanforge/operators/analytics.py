@@ -52,12 +52,12 @@ def counts_attached(spark, d) -> DataFrame:
     return read(spark, d, "customer").join(n, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("orders"), F.coalesce("u", F.lit(0)).alias("urgent"))
 
 
-@query("c7_compare_two_runs", f"""WITH {SPANS}, a AS (SELECT trace_id, max(value) AS v FROM spans WHERE start_time < TIMESTAMP '2024-01-02' GROUP BY 1), b AS (SELECT trace_id, max(value) AS v FROM spans WHERE start_time >= TIMESTAMP '2024-01-02' AND start_time < TIMESTAMP '2024-01-03' GROUP BY 1)
+@query("c7_compare_two_runs", f"""WITH {SPANS}, a AS (SELECT trace_id, max(value) AS v FROM spans WHERE start_time < TIMESTAMP '2024-01-16' GROUP BY 1), b AS (SELECT trace_id, max(value) AS v FROM spans WHERE start_time >= TIMESTAMP '2024-01-16' GROUP BY 1)
 SELECT coalesce(a.trace_id, b.trace_id) AS trace_id, coalesce(a.v, 0) AS before, coalesce(b.v, 0) AS after, CASE WHEN a.v IS NULL THEN 'new' WHEN b.v IS NULL THEN 'resolved' WHEN b.v > a.v THEN 'worse' WHEN b.v < a.v THEN 'better' ELSE 'same' END AS change FROM a FULL JOIN b ON a.trace_id = b.trace_id""")
 def compare_two_runs(spark, d) -> DataFrame:
-    s = spans(spark, d)
-    day = lambda a, b: s.filter((F.col("start_time") >= F.lit(a).cast("timestamp")) & (F.col("start_time") < F.lit(b).cast("timestamp"))).groupBy("trace_id")
-    a, b = day("1970-01-01", "2024-01-02").agg(F.max("value").alias("a")), day("2024-01-02", "2024-01-03").agg(F.max("value").alias("b"))
+    """The two halves of the month as two runs."""
+    s, middle = spans(spark, d), F.lit("2024-01-16").cast("timestamp")
+    a, b = s.filter(F.col("start_time") < middle).groupBy("trace_id").agg(F.max("value").alias("a")), s.filter(F.col("start_time") >= middle).groupBy("trace_id").agg(F.max("value").alias("b"))
     change = F.when(F.col("a").isNull(), "new").when(F.col("b").isNull(), "resolved").when(F.col("b") > F.col("a"), "worse").when(F.col("b") < F.col("a"), "better").otherwise("same")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return a.join(b, "trace_id", "full").select("trace_id", zero("a").alias("before"), zero("b").alias("after"), change.alias("change"))

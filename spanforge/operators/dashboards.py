@@ -117,12 +117,13 @@ def f8(spark, d) -> DataFrame:
     return spans(spark, d).groupBy("trace_id").agg(F.max_by("name", F.struct(rank, "value", "span_id")).alias("primary_issue"))
 
 
-_HALVES = f"WITH {SPANS}, a AS (SELECT DISTINCT trace_id, name FROM spans WHERE start_time < TIMESTAMP '2024-01-02'), b AS (SELECT DISTINCT trace_id, name FROM spans WHERE start_time >= TIMESTAMP '2024-01-29')"
+_HALVES = f"WITH {SPANS}, a AS (SELECT DISTINCT trace_id, name FROM spans WHERE start_time < TIMESTAMP '2024-01-16'), b AS (SELECT DISTINCT trace_id, name FROM spans WHERE start_time >= TIMESTAMP '2024-01-16')"
 
 
 def halves(spark, d) -> tuple[DataFrame, DataFrame]:
-    s, at = spans(spark, d), lambda x: F.lit(x).cast("timestamp")
-    return s.filter(F.col("start_time") < at("2024-01-02")).select("trace_id", "name").distinct(), s.filter(F.col("start_time") >= at("2024-01-29")).select("trace_id", "name").distinct()
+    """The two halves of the month as two runs."""
+    s, middle = spans(spark, d), F.lit("2024-01-16").cast("timestamp")
+    return s.filter(F.col("start_time") < middle).select("trace_id", "name").distinct(), s.filter(F.col("start_time") >= middle).select("trace_id", "name").distinct()
 
 
 @query("g1_union_of_names", f"{_HALVES} SELECT trace_id, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT * FROM a UNION SELECT * FROM b) GROUP BY 1")

@@ -229,6 +229,22 @@ def b14(spark, d, kinds: tuple[str, ...] = ()) -> DataFrame:
     return (s.filter(F.col("kind").isin(*kinds)) if kinds else s).groupBy("name").agg(F.count("*").alias("n"))
 
 
+#: Rules and the kinds of span they apply to; none named means all.
+APPLIES = {"loop": (), "cost": ("llm", "agent"), "mcp_protocol": ("tool",), "model_selection": ("llm",), "routing": ("agent", "tool")}
+
+
+def applicable(s: DataFrame, rules: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(rule, spans, traces): the spans of ``s`` that each rule applies to, in one pass; a rule without kinds applies to all."""
+    names = F.array_compact(F.array(*[F.when(F.col("kind").isin(*kinds), F.lit(r)) if kinds else F.lit(r) for r, kinds in rules.items()]))
+    per = s.groupBy("trace_id", "kind").agg(F.count("*").alias("n")).select("trace_id", "n", F.explode(names).alias("rule"))
+    return per.groupBy("rule").agg(F.sum("n").alias("spans"), F.count_distinct("trace_id").alias("traces"))
+
+
+@query("b14_platform_rules", f"WITH {SPANS} " + " UNION ALL ".join(f"SELECT '{r}' AS rule, count(*) AS spans, count(DISTINCT trace_id) AS traces FROM spans" + (f" WHERE kind IN ({', '.join(repr(k) for k in kinds)}) HAVING count(*) > 0" if kinds else " HAVING count(*) > 0") for r, kinds in APPLIES.items()))
+def b14_rules(spark, d) -> DataFrame:
+    return applicable(spans(spark, d), APPLIES)
+
+
 @query("e17_next_step", f"WITH {SPANS}, q AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY start_time, span_id) - 1 AS step FROM spans) SELECT a.trace_id, a.span_id, b.span_id IS NOT NULL AS retried, coalesce(b.status = 'ok', FALSE) AS recovered FROM q a LEFT JOIN q b ON a.trace_id = b.trace_id AND a.name = b.name AND b.step = a.step + 1 WHERE a.status = 'error'")
 def e17(spark, d) -> DataFrame:
     """Failed steps, whether the next step runs the same node again, and whether that went well."""

@@ -94,11 +94,12 @@ def h13(spark, d) -> DataFrame:
     return dispatches(spark, d).select("msg_id", R.risk(F.col("content")).alias("risk"))
 
 
-@query("h17_personal_data", f"SELECT doc_id, {', '.join(f'len(regexp_extract_all(text, {_quoted(p)})) AS {k}' for k, p in R.PII.items())} FROM documents WHERE text IS NOT NULL AND length(text) = strlen(text)")
+@query("h17_personal_data", f"SELECT doc_id, {', '.join(f'len(regexp_extract_all(text, {_quoted(p)})) AS {k}' for k, p in R.PII.items())} FROM documents WHERE text IS NOT NULL")
 def h17(spark, d) -> DataFrame:
-    """Matches of each kind in texts of ASCII letters, where word borders are the same in every engine."""
-    t = read(spark, d, "documents").filter(F.col("text").isNotNull() & (F.length("text") == F.octet_length("text")))
-    return t.select("doc_id", *[F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).cast("long").alias(k) for k, p in R.PII.items()])
+    """Matches of each kind; a border of a word is one of ASCII letters, digits and _, whatever the engine's own rule."""
+    border = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+    t = read(spark, d, "documents").filter("text is not null")
+    return t.select("doc_id", *[F.size(F.regexp_extract_all("text", F.lit(p.replace(r"\b", border)), F.lit(0))).cast("long").alias(k) for k, p in R.PII.items()])
 
 
 @query("h18_secrets", f"SELECT doc_id, {', '.join(f'len(regexp_extract_all(text, {_quoted(p)})) AS {k}' for k, p in R.SECRETS.items())} FROM documents WHERE text IS NOT NULL")
@@ -194,10 +195,10 @@ def h30(spark, d, days: float = 90.0) -> DataFrame:
 
 @query("h32_common_subsequence")
 def h32(spark, d) -> DataFrame:
-    """How much of the order of each trace's first ten steps its last ten repeat."""
+    """How much of the order of each trace's first half its second half repeats."""
     s = spans(spark, d).withColumn("seq", F.row_number().over(order())).withColumn("n", F.count("*").over(W.partitionBy("trace_id")))
     names = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("seq", "name")))), lambda x: x["name"])
-    per = s.groupBy("trace_id").agg(names(F.col("seq") <= 10).alias("first"), names(F.col("seq") > F.col("n") - 10).alias("last"))
+    per = s.groupBy("trace_id").agg(names(F.col("seq") * 2 <= F.col("n")).alias("first"), names(F.col("seq") * 2 > F.col("n")).alias("last"))
     return per.select("trace_id", R.common_subsequence(F.col("first"), F.col("last")).alias("common"))
 
 
