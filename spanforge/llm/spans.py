@@ -10,7 +10,7 @@ def with_spans(df: DataFrame, text: str, patterns: dict[str, tuple[str, Column]]
     """A column of (s, e, v) for each named pattern: leftmost non-overlapping matches, code points, end exclusive.
 
     Each pattern comes with a cheap condition that every text with a match meets. The text between the
-    matches and the matches themselves are laid end to end, which gives the places. Patterns may have
+    matches and the matches themselves are laid end to end, which gives the places; many matches are laid in pieces. Patterns may have
     no capturing groups and may not match the empty string.
     """
     empty = F.array().cast("array<string>")
@@ -18,19 +18,33 @@ def with_spans(df: DataFrame, text: str, patterns: dict[str, tuple[str, Column]]
     df = df.withColumns({f"_gaps_{k}": F.when(F.size(f"_hits_{k}") > 0, F.split(F.col(text), p, -1)).otherwise(empty) for k, (p, _) in patterns.items()})
 
     def lay(k: str) -> Column:
-        parts = F.zip_with(F.slice(f"_gaps_{k}", F.lit(1), F.size(f"_hits_{k}")), f"_hits_{k}", lambda g, h: F.struct(F.length(g).cast("long").alias("g"), F.length(h).cast("long").alias("n"), h.alias("v")))
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(NONE).alias("out"))
+        hits, gaps = F.col(f"_hits_{k}"), F.col(f"_gaps_{k}")
+        n, size = F.size(hits), F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(hits))).cast("int"))
+        parts = F.zip_with(F.slice(gaps, F.lit(1), n), hits, lambda g, h: F.struct(F.length(g).cast("long").alias("g"), F.length(h).cast("long").alias("n"), h.alias("v")))
+        # A fold copies its array at each step; in pieces of about the root of their number, matches are copied that often at most.
+        last = F.floor(F.greatest(n - 1, F.lit(0)) / size).cast("int")
+        pieces = bound(parts, lambda p: F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(p, i * size + 1, size)))
 
         def step(acc, x):
             s = acc["at"] + x["g"]
             return F.struct((s + x["n"]).alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), (s + x["n"]).alias("e"), x["v"].alias("v"))).alias("out"))
 
-        return F.when(F.size(f"_hits_{k}") > 0, F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(NONE))
+        def joined_up(placed):
+            starts = F.aggregate(placed, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out")), lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+            return F.flatten(F.zip_with(placed, starts, lambda p, at: F.transform(p["out"], lambda x: F.struct((x["s"] + at).alias("s"), (x["e"] + at).alias("e"), x["v"].alias("v")))))
+
+        placed = F.transform(pieces, lambda xs: F.aggregate(xs, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(NONE).alias("out")), step))
+        return F.when(n > 0, bound(placed, joined_up)).otherwise(F.array().cast(NONE))
 
     df = df.withColumns({f"{out}{k}": lay(k) for k in patterns})
     return df.drop(*[f"_hits_{k}" for k in patterns], *[f"_gaps_{k}" for k in patterns])
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def digits(v: Column) -> Column:
     return F.regexp_replace(v, "[^0-9]", "")
 

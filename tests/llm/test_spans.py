@@ -172,3 +172,20 @@ def test_thresholds_are_those_found(spark):
     assert max(limits[k] for k in ("email", "phone")) > 0.0  # as found, not cut to 0
     only = pii.fit(spark.createDataFrame([(i, f"mail a{i}@b.org") for i in range(60)], "doc_id long, t string"))
     assert only is not None and only.limits == [0.0] + [float("inf")] * 3
+
+
+def test_many_matches_in_one_text(spark):
+    """A megabyte of matches; places found one by one would take minutes."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from spanforge.llm.spans import with_spans
+
+    n = 125_000
+    df = spark.createDataFrame([(1, "1.2.3.4 " * n), (2, "é1.2.3.4"), (3, None), (4, "")], "id int, text string")
+    began = time.time()
+    spans = with_spans(df, "text", {"ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", F.lit(True))})
+    got = spans.select("id", F.size("spans_ip").alias("n"), F.expr("forall(transform(spans_ip, (x, i) -> x.s = 8 * i and x.e = 8 * i + 7), y -> y)").alias("right"), F.expr("get(spans_ip, 0)").alias("first")).collect()
+    assert [(r.id, r.n) for r in got] == [(1, n), (2, 1), (3, 0), (4, 0)] and got[0].right and tuple(got[1].first) == (1, 8, "1.2.3.4")
+    assert time.time() - began < 60
