@@ -35,6 +35,8 @@ PART = 4096
 BIN = 16384
 #: Queries that a task answers at a time.
 ASKED = 256
+#: Queries that come to a bin in one task; a bin's members go to as many tasks as its queries need.
+ASKS = 16_384
 ROUNDS = 10
 #: Queries that the audit holds against all vectors, and the share of their true neighbours that the lists must give.
 AUDIT, RECALL = 64, 0.93
@@ -185,7 +187,10 @@ def _of_one_length(rows: DataFrame, is_query, top: int, probes: int, scratch: Sc
             index = shared.value
             for b in batches:
                 x = matrix(b.column(1).to_pylist())
-                ids, d = index.nearest(np.concatenate([x, np.zeros((len(x), 1))], 1), limit)
+                if ratio is None and limit >= k:  # every list, whether the graph leads to it or not
+                    ids, d = np.tile(np.arange(k), (len(x), 1)), np.zeros((len(x), k))
+                else:
+                    ids, d = index.nearest(np.concatenate([x, np.zeros((len(x), 1))], 1), limit)
                 at, col = np.nonzero((ids >= 0) & (ratio is None or d <= d[:, :1] * ratio))
                 lists = ids[at, col]
                 at, lists = np.repeat(at, parts[lists]), np.repeat(lists, parts[lists])
@@ -252,15 +257,18 @@ def _of_one_length(rows: DataFrame, is_query, top: int, probes: int, scratch: Sc
         return ask[keep], found[keep]
 
     def search(asking: DataFrame, limit: int, ratio: float | None) -> DataFrame:
-        asked = asking.mapInArrow(probe(limit, ratio), "bin int, slots array<int>, fp binary, vec binary")
-        hits = posted.select("bin", "slot", "fp", "vec").groupBy("bin").cogroup(asked.groupBy("bin")).applyInPandas(scan, "q binary, fp binary, score double")
+        salts = max(1, -(-asking.count() // ASKS))
+        asked = asking.mapInArrow(probe(limit, ratio), "bin int, slots array<int>, fp binary, vec binary").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int"))
+        held = posted.select("bin", "slot", "fp", "vec", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        hits = held.groupBy("bin", "salt").cogroup(asked.groupBy("bin", "salt")).applyInPandas(scan, "q binary, fp binary, score double")
         best = hits.dropDuplicates(["q", "fp"]).join(ids, "fp")
         return best.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= top + 1).select("q", "vec_id", "score")
 
     order = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     audited = [(bytes(r["fp"]), bytes(r["vec"])) for r in asking.orderBy(F.xxhash64(F.lit("audit"), "fp")).limit(AUDIT).collect()]
     truth = classes.select("fp", "vec").mapInArrow(exact_top(audited, top + 1), "q binary, fp binary, score double")
-    truth = truth.withColumn("nth", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "fp"))).filter(F.col("nth") <= top + 1).select("q", "fp")
+    # A query's own vector is no neighbour of it.
+    truth = truth.filter("q <> fp").withColumn("nth", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "fp"))).filter(F.col("nth") <= top).select("q", "fp")
     # The lists of the audited queries' true neighbours tell the recall of any number of lists and any ratio.
     where = posts.join(F.broadcast(truth), "fp").groupBy("q", "fp").agg(F.collect_set("list").alias("lists")).collect()
     near, d = shared.value.nearest(np.concatenate([matrix(v for _, v in audited), np.zeros((len(audited), 1))], 1), k) if audited else (np.zeros((0, 1)), np.zeros((0, 1)))

@@ -207,3 +207,9 @@ def test_probes_widen_until_the_audit_passes(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     rows = ann.nearest_neighbours(df, F.col("vec_id") % 50 == 0, probes=1).collect()
     assert rows[0].audit_recall >= 0.93
+
+
+def test_queries_of_a_bin_come_to_several_tasks(spark, monkeypatch):
+    want = sorted(map(tuple, ann.op8_nearest(spark, SMALL).collect()))
+    monkeypatch.setattr(ann, "ASKS", 3)
+    assert sorted(map(tuple, ann.op8_nearest(spark, SMALL).collect())) == want
