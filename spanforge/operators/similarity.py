@@ -33,8 +33,8 @@ REVIEWS = (
 UNIT, ROUNDS, COMPARED = 65536, 5, 5
 #: Cosine from which an answer joins a cluster, entropy below which answers are reliable.
 ALIKE, RELIABLE = 0.85, 0.5
-#: Answers of a question that are clustered in one group at a time.
-BLOCK = 512
+#: Answers of a question that are clustered in one group at a time, and those that are held against its leaders in one task.
+BLOCK, STREAM = 4096, 20_000
 
 
 def _confidence(base: float, raw: Column, strength: Column, length: Column) -> Column:
@@ -139,48 +139,101 @@ def cluster_loops(s: DataFrame, framework: str = "default", rounds: int = ROUNDS
     return r.select("trace_id", F.col("k").cast("int").alias("clusters"), kind.alias("kind"), "dominant", "held", "cycle", F.round("similarity", 4).alias("similarity"), F.when(F.expr("array_contains(l, dominant)"), start).cast("long").alias("loop_start"), _confidence(0.75, raw, strength, F.col("held")).alias("confidence"))
 
 
-def answer_clusters(a: DataFrame, alike: float = ALIKE, block: int = BLOCK) -> DataFrame:
+def answer_clusters(a: DataFrame, alike: float = ALIKE, block: int = BLOCK, stream: int = STREAM) -> DataFrame:
     """(question, pos, leader): in order of ``pos``, an answer joins the first leader whose vector is alike, or leads.
 
-    A question's answers are clustered ``block`` at a time: the first unassigned ones find their leaders in one group,
-    all others are then held against those leaders. A round needs the leaders of ``block`` answers, never all answers of
+    A question's answers are clustered at most ``block`` at a time: the first unassigned ones find their leaders in one group,
+    all others then stream past those leaders in tasks of some ``stream``. A round needs the leaders of ``block`` answers, never all answers of
     a question, and the last answers are assigned as if all had come one after another. Vectors of another length are never alike; null ones join nothing and lead nothing.
     """
     import numpy as np
+    import pyarrow as pa
+
+    def unit(vectors):
+        """By length, the places of vectors and the vectors with length one."""
+        size = np.array([len(v) for v in vectors], int)
+        for dim in np.unique(size):
+            at = np.flatnonzero(size == dim)
+            x = np.array([vectors[i] for i in at], float).reshape(len(at), dim)
+            norm = np.linalg.norm(x, axis=1)
+            yield int(dim), at, x / np.where(norm > 0, norm, 1.0)[:, None]
+
+    def first_hit(hits):
+        return np.where(hits.any(axis=1), hits.argmax(axis=1), -1)
 
     def lead(key, pdf):
-        pdf = pdf.sort_values("pos")
-        leaders: dict[int, tuple[list[int], list]] = {}  # by length: their places and their vectors of length one
-        of = []
-        for i, v in enumerate(pdf["vector"]):
-            v = np.array(v, float)
-            v = v / (np.linalg.norm(v) or 1.0)
-            places, held = leaders.setdefault(len(v), ([], []))
-            hit = np.flatnonzero(np.array(held) @ v >= alike) if held else ()
-            of.append(places[hit[0]] if len(hit) else i)
-            if not len(hit):
-                places.append(i)
-                held.append(v)
+        pdf = pdf.sort_values("pos").reset_index(drop=True)
+        of = np.arange(len(pdf))
+        for _, at, x in unit(pdf["vector"].tolist()):
+            led: list[int] = []
+            for lo in range(0, len(at), 256):
+                y = x[lo : lo + 256]
+                before = first_hit(y @ x[led].T >= alike) if led else np.full(len(y), -1)
+                near = y @ y.T >= alike
+                new: list[int] = []
+                for i in range(len(y)):
+                    if before[i] >= 0:
+                        of[at[lo + i]] = at[led[before[i]]]
+                    elif len(hit := np.flatnonzero(near[i, new])):
+                        of[at[lo + i]] = at[lo + new[hit[0]]]
+                    else:
+                        new.append(i)
+                led += [lo + i for i in new]
         pos = pdf["pos"].to_numpy()
-        return pdf.assign(leader=pos[of])[["question", "pos", "leader"]]
-
-    left = cut(a.filter("vector is not null").select("question", "pos", "vector"))
+        return pdf.assign(leader=pos[of])[["question", "pos", "leader", "vector"]]
+
+    def hold(batches):
+        """Leaders of a question and salt come before its answers."""
+        key, leaders, ready = None, [], None
+        for batch in batches:
+            keys = list(zip(*[batch.column(c).to_pylist() for c in ("question", "salt", "kind")], strict=True))
+            bounds = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                if lo == hi:
+                    continue
+                *at, kind = keys[lo]
+                if key != at:
+                    key, leaders, ready = at, [], None
+                run = batch.slice(lo, hi - lo)
+                if kind == 0:
+                    leaders += zip(run.column("pos").to_pylist(), run.column("vector").to_pylist(), strict=True)
+                    continue
+                if ready is None:
+                    leaders.sort(key=lambda r: r[0])
+                    ready = {dim: (np.array([leaders[i][0] for i in places]), x) for dim, places, x in unit([v for _, v in leaders])}
+                of = np.full(hi - lo, None, object)
+                for dim, places, x in unit(run.column("vector").to_pylist()):
+                    if dim in ready:
+                        pos, y = ready[dim]
+                        for c in range(0, len(places), 1024):
+                            hit = first_hit(x[c : c + 1024] @ y.T >= alike)
+                            of[places[c : c + 1024][hit >= 0]] = pos[hit[hit >= 0]]
+                names = ["question", "pos", "vector", "bucket"]
+                yield pa.RecordBatch.from_arrays([*[run.column(c) for c in names], pa.array(of.tolist(), run.column("pos").type)], [*names, "leader"])
+
+    kinds = [a.schema[c].dataType.simpleString() for c in ("question", "pos", "vector")]
+    spark = a.sparkSession
+    nth = F.row_number().over(W.partitionBy("question").orderBy("pos")) - 1
+    small = max(1, block // 8)
+    left = cut(a.filter("vector is not null").select("question", "pos", "vector").withColumn("bucket", F.floor(nth / small)))
     done = None
     while not left.isEmpty():
-        nth = F.row_number().over(W.partitionBy("question").orderBy("pos"))
-        first = left.withColumn("nth", nth).filter(F.col("nth") <= block).drop("nth")
-        schema = "question {}, pos {}, leader {}".format(*[left.schema[c].dataType.simpleString() for c in ("question", "pos", "pos")])
-        found = cut(first.groupBy("question").applyInPandas(lead, schema))
-        done = found if done is None else done.unionByName(found)
-        rest = left.join(found.select("question", "pos"), ["question", "pos"], "left_anti")
-        if rest.isEmpty():
-            break
-        leaders = found.filter("pos = leader").join(left, ["question", "pos"]).groupBy("question").agg(F.array_sort(F.collect_list(F.struct("pos", "vector"))).alias("leaders"))
-        hit = F.expr("filter(sims, x -> x.sim >= {})".format(alike))
-        held = rest.join(leaders, "question").withColumn("sims", F.transform("leaders", lambda l: F.struct(l["pos"].alias("pos"), cosine(l["vector"], F.col("vector")).alias("sim")))).drop("leaders")
-        held = cut(held.select("question", "pos", "vector", F.try_element_at(F.transform(hit, lambda x: x["pos"]), F.lit(1)).alias("leader")))
+        # The next buckets whose unassigned answers fit a group; a bucket alone always does.
+        upto = F.sum("count").over(W.partitionBy("question").orderBy("bucket"))
+        sizes = left.groupBy("question", "bucket").count().withColumn("upto", upto)
+        chosen = cut(sizes.filter(F.col("upto") <= block).groupBy("question").agg(F.max("bucket").alias("last")).unionByName(sizes.groupBy("question").agg(F.min("bucket").alias("last"))).groupBy("question").agg(F.max("last").alias("last")))
+        first = left.join(chosen, left["question"].eqNullSafe(chosen["question"]) & (left["bucket"] <= chosen["last"]), "left_semi")
+        found = cut(first.select("question", "pos", "vector").groupBy("question").applyInPandas(lead, "question {}, pos {}, leader {}, vector {}".format(kinds[0], kinds[1], kinds[1], kinds[2])))
+        part = found.select("question", "pos", "leader")
+        done = part if done is None else done.unionByName(part)
+        rest = left.join(chosen, left["question"].eqNullSafe(chosen["question"]) & (left["bucket"] <= chosen["last"]), "left_anti")
+        salts = rest.groupBy(F.col("question").alias("q_")).agg(F.ceil(F.count("*") / F.lit(stream)).alias("salts"))
+        heads = found.filter("pos = leader").join(salts, F.col("question").eqNullSafe(F.col("q_"))).select("question", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "pos", "vector", F.lit(0).cast("long").alias("bucket"))
+        others = rest.join(salts, F.col("question").eqNullSafe(F.col("q_"))).select("question", F.pmod(F.xxhash64("pos"), "salts").alias("salt"), F.lit(1).alias("kind"), "pos", "vector", "bucket")
+        dealt = heads.unionByName(others).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "question", "salt").sortWithinPartitions("question", "salt", "kind")
+        held = cut(dealt.mapInArrow(hold, "question {}, pos {}, vector {}, bucket long, leader {}".format(*kinds, kinds[1])))
         done = done.unionByName(held.filter("leader is not null").select("question", "pos", "leader"))
-        left = cut(held.filter("leader is null").drop("leader"))
+        left = held.filter("leader is null").drop("leader")
     return a.select("question", "pos", F.lit(None).cast(a.schema["pos"].dataType).alias("leader")).limit(0) if done is None else done
 
 

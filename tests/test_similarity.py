@@ -39,6 +39,15 @@ def test_leaders_in_order(spark, block):
     assert x.answer_clusters(df.limit(0)).count() == 0
 
 
+def test_leaders_past_several_tasks(spark):
+    rng = random.Random(5)
+    rows = [(1, i, [rng.choice((0.0, 1.0, 2.0)) for _ in range(4)]) for i in range(150)] + [(1, 150, [1.0, 2.0]), (1, 151, [1.0, 2.0]), (2, 0, [0.0] * 4)]
+    df = spark.createDataFrame(rows, "question long, pos long, vector array<double>")
+    got = {(r.question, r.pos): r.leader for r in x.answer_clusters(df, 0.97, block=16, stream=9).collect()}
+    assert [got[1, i] for i in range(150)] == leaders([v for q, _, v in rows if q == 1 and len(v) == 4], 0.97)
+    assert (got[1, 150], got[1, 151], got[2, 0]) == (150, 150, 0) and len(got) == len(rows)
+
+
 def test_entropy(spark):
     rows = [("q", 0, [1.0, 0.0]), ("q", 1, [1.0, 0.01]), ("q", 2, [0.0, 1.0]), ("q", 3, [0.01, 1.0]), ("one", 0, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "question string, pos long, vector array<double>")
