@@ -6,8 +6,6 @@ dealt in blocks, and a tenant's memories stream past them in several tasks, so t
 is kept but those found.
 """
 
-import heapq
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,69 +19,134 @@ from .similarity import answer_clusters
 WEIGHTS, FADES, BONUS, MOST_BONUS, FIRST, SECOND = (0.4, 0.2, 0.4), 90, 0.02, 0.05, 50, 100
 #: Likeness over which a memory is a duplicate, and may contradict; those looked at; names of facts that don't.
 DUPLICATE, RELATED, LOOKED_AT, FREE_TEXT = 0.95, 0.8, 5, ("details", "content", "method")
-#: Vectors asked for in a block, memories of a tenant that stream past it in one task.
-BLOCK, STREAM = 2048, 200_000
+#: Vectors asked for in a block, memories of a tenant that stream past it in one task, likenesses worked out at once.
+BLOCK, STREAM, AT_ONCE = 16_384, 200_000, 1 << 24
 FILTERS = ("domain", "memory_type", "framework")
-_DEALT = "tenant string, dim int, block long, salt long, kind int, id long, domain string, memory_type string, framework string, vector array<double>"
+_DEALT = ("tenant", "dim", "block", "salt", "kind", "id", *FILTERS, "after", "vector")
 
 
 def neighbours(asked: DataFrame, store: DataFrame, top: int | None = None, over: float = -2.0, block: int = BLOCK, stream: int = STREAM) -> DataFrame:
     """(tenant, ask_id, memory_id, similarity): memories of the same tenant by cosine over ``over``, the ``top`` nearest of each ask or all.
 
-    Domain, memory_type and framework of an ask that are not null must be those of the memory. Equal likeness goes to the lesser id; vectors of another length
-    are no neighbours, nor is a memory without one; a zero vector has likeness 0.
+    Domain, memory_type and framework of an ask that are not null must be those of the memory; a memory with an ``after`` (the store may
+    lack the column) is for asks with a greater id only. Equal likeness goes to the lesser id; vectors of another length
+    are no neighbours, nor is a memory without one; a zero vector has likeness 0. Single-precision products pass over what lies
+    surely below an ask's last place; the rest is worked out in double precision.
     """
     nth = F.row_number().over(W.partitionBy("tenant", F.size("vector")).orderBy("ask_id")) - 1
     tenant = F.col("tenant").cast("string")
-    some = lambda i: [tenant.alias("tenant"), F.size("vector").alias("dim"), F.col(i).cast("long").alias("id"), *[F.col(c).cast("string").alias(c) for c in FILTERS], F.col("vector").cast("array<double>").alias("vector")]
-    a = asked.filter("vector is not null").withColumn("block", F.floor(nth / block)).select("block", *some("ask_id"))
-    s = store.filter("vector is not null").select(*some("memory_id"))
+    single = all(df.schema["vector"].dataType.simpleString() == "array<float>" for df in (asked, store))
+    vector = F.col("vector").cast("array<float>" if single else "array<double>").alias("vector")
+    some = lambda i, after: [tenant.alias("tenant"), F.size("vector").alias("dim"), F.col(i).cast("long").alias("id"), *[F.col(c).cast("string").alias(c) for c in FILTERS], after.cast("long").alias("after"), vector]
+    a = asked.filter("vector is not null").withColumn("block", F.floor(nth / block)).select("block", *some("ask_id", F.lit(None)))
+    s = store.filter("vector is not null").select(*some("memory_id", F.col("after") if "after" in store.columns else F.lit(None)))
     salts = s.groupBy("tenant", "dim").agg(F.ceil(F.count("*") / F.lit(stream)).alias("salts"))
     blocks = a.groupBy("tenant", "dim").agg((F.max("block") + 1).alias("blocks"))
     asks = a.join(salts, ["tenant", "dim"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).withColumn("kind", F.lit(0))
     held = s.join(salts, ["tenant", "dim"]).join(blocks, ["tenant", "dim"]).withColumn("salt", F.pmod(F.xxhash64("id"), "salts")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("kind", F.lit(1))
-    cols = [c.split()[0] for c in _DEALT.split(", ")]
     tasks = int(store.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = asks.select(*cols).unionByName(held.select(*cols)).repartition(tasks, "tenant", "dim", "block", "salt").sortWithinPartitions("tenant", "dim", "block", "salt", "kind")
+    dealt = asks.select(*_DEALT).unionByName(held.select(*_DEALT)).repartition(tasks, "tenant", "dim", "block", "salt").sortWithinPartitions("tenant", "dim", "block", "salt", "kind")
 
     def search(batches):
         import numpy as np
         import pyarrow as pa
 
-        at, wanted, ready, best = None, [], None, []
-
-        def flush():
-            rows = [(at[0], wanted[i][0], -m, s) for i, heap in enumerate(best) for s, m in sorted(heap, reverse=True)] if at else []
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["tenant", "ask_id", "memory_id", "similarity"])
-
+        codes: dict[str, int] = {}
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+        def numbers(column):
+            return np.array([-1 if v is None else codes.setdefault(v, len(codes)) for v in column.to_pylist()], np.int64)
+
+        def part(run):
+            """Ids, filters, afters and vectors of rows of one kind, with lengths that are not 0."""
+            dim = run.column(1)[0].as_py()
+            x = run.column(10).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(run.num_rows, dim)
+            norm = np.linalg.norm(x, axis=1)
+            norm = np.where(norm > 0, norm, 1.0)
+            after = run.column(9).fill_null(np.iinfo(np.int64).min).to_numpy()
+            return run.column(5).to_numpy(), [numbers(run.column(6 + k)) for k in range(3)], after, x, norm, (x / norm[:, None]).astype(np.float32)
+
+        def joined(parts):
+            ids, filters, after, *more = zip(*parts, strict=True)
+            cat = np.concatenate
+            return cat(ids), [cat(f) for f in zip(*filters, strict=True)], cat(after), *map(cat, more)
+
+        def placed(found, n):
+            """The ``top`` best of each ask, and what their last one has."""
+            at, mid, sim = found
+            order = np.lexsort((mid, -sim, at))
+            at, mid, sim = at[order], mid[order], sim[order]
+            first = np.searchsorted(at, np.arange(n))
+            keep = np.arange(len(at)) - first[at] < top
+            at, mid, sim = at[keep], mid[keep], sim[keep]
+            last = np.full(n, over)
+            count = np.bincount(at, minlength=n)
+            full = count == top
+            last[full] = sim[(np.cumsum(count) - 1)[full]]
+            return (at, mid, sim), last
+
+        def rows(key, ids, found):
+            at, mid, sim = found
+            for i in range(0, len(at), 100_000):
+                n = len(at[i : i + 100_000])
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * n, pa.string()), pa.array(ids[at[i : i + n]], pa.int64()), pa.array(mid[i : i + n], pa.int64()), pa.array(sim[i : i + n], pa.float64())], ["tenant", "ask_id", "memory_id", "similarity"])
+
+        key, wanted, asks_, kept, pending, last = None, [], None, none, [], None
         for batch in batches:
-            for tenant, dim, blk, salt, kind, i, *filters, vector in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if at != (tenant, dim, blk, salt):
-                    yield flush()
-                    at, wanted, ready, best = (tenant, dim, blk, salt), [], None, []
+            keys = list(zip(*[batch.column(c).to_pylist() for c in range(5)], strict=True))
+            bounds = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                if lo == hi:
+                    continue
+                *at_, kind = keys[lo]
+                if key != at_:
+                    if pending:
+                        kept, _ = placed([np.concatenate(c) for c in zip(kept, *pending, strict=True)], len(last))
+                    if asks_:
+                        yield from rows(key, asks_[0], kept)
+                    key, wanted, asks_, kept, pending, last = at_, [], None, none, [], None
+                run = part(batch.slice(lo, hi - lo))
                 if kind == 0:
-                    wanted.append((i, filters, vector))
-                    best.append([])
+                    wanted.append(run)
+                    continue
+                if not wanted:
                     continue
-                if ready is None:
-                    x = np.array([v for _, _, v in wanted]).reshape(len(wanted), dim)
-                    norm = np.linalg.norm(x, axis=1)
-                    masks = [np.array([f[k] is None for _, f, _ in wanted]) for k in range(3)], [np.array([f[k] for _, f, _ in wanted], object) for k in range(3)]
-                    ready = x, np.where(norm > 0, norm, 1.0), masks
-                x, norm, (free, names) = ready
-                v = np.array(vector, float)
-                sims = np.round((x @ v) / (norm * (np.linalg.norm(v) or 1.0)), 12)
-                hit = sims > over
-                for k in range(3):
-                    hit &= free[k] | (names[k] == filters[k])
-                for j in np.flatnonzero(hit).tolist():
-                    entry = (float(sims[j]), -i)
-                    if top is None or len(best[j]) < top:
-                        heapq.heappush(best[j], entry)
-                    elif entry > best[j][0]:
-                        heapq.heapreplace(best[j], entry)
-        yield flush()
+                if asks_ is None:
+                    asks_ = joined(wanted)
+                    last = np.full(len(asks_[0]), float(over))
+                ids, filters, _, x, norm, unit = asks_
+                margin = np.float32((x.shape[1] + 4) * 2.0**-23)
+                wide = max(1, AT_ONCE // len(ids))
+                for c in range(0, hi - lo, wide):
+                    mids, m_filters, after, m_x, m_norm, m_unit = [f[c : c + wide] if not isinstance(f, list) else [g[c : c + wide] for g in f] for f in run]
+                    sims = unit @ m_unit.T
+                    for f, g in zip(filters, m_filters, strict=True):
+                        some_ = np.flatnonzero(f >= 0)
+                        if len(some_):
+                            sims[some_] = np.where(f[some_, None] == g, sims[some_], np.float32(-9))
+                    if (late := np.flatnonzero(after > np.iinfo(np.int64).min)).size:
+                        sims[:, late] = np.where(ids[:, None] > after[late], sims[:, late], np.float32(-9))
+                    least = np.where(last > -2, last - margin, -2).astype(np.float32)
+                    if top is not None and len(mids) > top and not (last > over).any():
+                        least = np.maximum(least, np.partition(sims, len(mids) - top, axis=1)[:, len(mids) - top] - 2 * margin)
+                    i, j = np.nonzero(sims >= least[:, None])
+                    del sims
+                    for b in range(0, len(i), 100_000):
+                        p, q = i[b : b + 100_000], j[b : b + 100_000]
+                        sim = np.round(np.einsum("ij,ij->i", x[p], m_x[q]) / (norm[p] * m_norm[q]), 12)
+                        hit = (sim > over) & (sim >= last[p])
+                        found = p[hit], mids[q[hit]], sim[hit]
+                        if top is None:
+                            yield from rows(key, ids, found)
+                        else:
+                            pending.append(found)
+                    if pending and sum(len(f[0]) for f in pending) >= max(len(kept[0]), len(ids)):
+                        kept, last = placed([np.concatenate(f) for f in zip(kept, *pending, strict=True)], len(ids))
+                        pending = []
+        if pending:
+            kept, _ = placed([np.concatenate(c) for c in zip(kept, *pending, strict=True)], len(last))
+        if asks_:
+            yield from rows(key, asks_[0], kept)
 
     found = dealt.mapInArrow(search, "tenant string, ask_id long, memory_id long, similarity double")
     if top is None:

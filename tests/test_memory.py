@@ -41,6 +41,28 @@ def test_neighbours_equal_brute_force(spark, top, over, block, stream):
     assert got == want and want
 
 
+@pytest.mark.parametrize("top", [3, None])
+def test_neighbours_stream_in_batches(spark, top):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    v = np.concatenate([rng.normal(size=(300, 5)), np.repeat(rng.normal(size=(3, 5)), 60, axis=0)]).round(2)
+    after = [None if i % 3 else i for i in range(len(v))]
+    store = spark.createDataFrame([(1, i, "ab"[i % 2], "p", None, a, x_) for i, (a, x_) in enumerate(zip(after, v.tolist(), strict=True))], "tenant long, memory_id long, domain string, memory_type string, framework string, after long, vector array<double>")
+    asks = [(1, i, None if i % 4 else "a", None, None, v[i].tolist()) for i in range(0, len(v), 5)]
+    want = set()
+    for _, i, domain, _, _, y in asks:
+        hits = sorted((-c, j) for j in range(len(v)) if (after[j] is None or i > j) and domain in (None, "ab"[j % 2]) and (c := cos(y, v[j].tolist())) > 0.3)
+        want |= {(i, j) for _, j in hits[:top]}
+    asked_ = spark.createDataFrame(asks, "tenant long, ask_id long, domain string, memory_type string, framework string, vector array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {(r.ask_id, r.memory_id) for r in x.neighbours(asked_, store, top, 0.3, block=50, stream=150).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+
+
 def asked(spark, vector, tenant=1):
     return spark.createDataFrame([(tenant, 1, None, None, None, vector)], "tenant long, ask_id long, domain string, memory_type string, framework string, vector array<double>")
 
