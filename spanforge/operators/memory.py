@@ -214,11 +214,11 @@ def remember(store: DataFrame, batch: DataFrame) -> DataFrame:
     led = answer_clusters(fresh.select(F.col("tenant").alias("question"), F.col("memory_id").alias("pos"), "vector"), DUPLICATE + 1e-12).filter("pos <> leader").select(F.col("question").alias("t_"), F.col("pos").alias("p_"))
     fresh = cut(fresh.join(led, (fresh["tenant"] == led["t_"]) & (fresh["memory_id"] == led["p_"]), "left_anti"))
     # Earlier new memories are candidates like stored ones.
-    pool = active.select("tenant", "memory_id", *FILTERS, "facts", "vector", F.lit(0).alias("new_")).unionByName(fresh.select("tenant", "memory_id", *FILTERS, "facts", "vector", F.lit(1).alias("new_")))
-    alike = neighbours(ask(fresh.filter("facts is not null"), F.col("domain")), pool, over=RELATED)
+    pool = active.select("tenant", "memory_id", *FILTERS, "facts", "vector", F.lit(None).cast("long").alias("after")).unionByName(fresh.select("tenant", "memory_id", *FILTERS, "facts", "vector", F.col("memory_id").cast("long").alias("after")))
+    alike = neighbours(ask(fresh.filter("facts is not null"), F.col("domain")), pool, top=LOOKED_AT, over=RELATED)
     text = lambda c: F.col(c).cast("string").alias(c)
-    alike = alike.join(pool.select(text("tenant"), "memory_id", F.col("facts").alias("old_facts"), "new_"), ["tenant", "memory_id"]).filter("new_ = 0 or memory_id < ask_id")
-    alike = alike.withColumn("r_", F.row_number().over(W.partitionBy("tenant", "ask_id").orderBy(F.col("similarity").desc(), "memory_id"))).filter(F.col("r_") <= LOOKED_AT)
+    alike = alike.withColumn("r_", F.row_number().over(W.partitionBy("tenant", "ask_id").orderBy(F.col("similarity").desc(), "memory_id")))
+    alike = alike.join(pool.select(text("tenant"), "memory_id", F.col("facts").alias("old_facts")), ["tenant", "memory_id"])
     alike = alike.join(fresh.select(text("tenant"), F.col("memory_id").alias("ask_id"), F.col("facts").alias("new_facts")), ["tenant", "ask_id"])
     hit = cut(alike.filter(opposing("old_facts", "new_facts")).groupBy("tenant", "ask_id").agg(F.min_by("memory_id", "r_").alias("old_id")))
     by = hit.groupBy(F.col("tenant").alias("t_"), F.col("old_id").alias("o_")).agg(F.min("ask_id").alias("by_"))
