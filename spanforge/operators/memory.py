@@ -235,9 +235,13 @@ def contrastive(asked: DataFrame, examples: DataFrame, positives: int = 3, negat
     blank = [F.lit(None).cast("string").alias(c) for c in FILTERS]
     store = examples.select(role(F.col("is_failure").cast("int")).alias("tenant"), F.col("example_id").alias("memory_id"), *blank, "vector")
     ask = lambda flag: asked.select(role(F.lit(flag)).alias("tenant"), "ask_id", *blank, "vector")
-    found = lambda flag, top, name, least: neighbours(ask(flag), store, top=top, over=least).withColumn("role", F.lit(name))
-    r = found(1, positives, "positive", -2.0).unionByName(found(0, negatives, "negative", -2.0)).unionByName(found(0, hard, "hard_negative", over - 1e-9))
-    r = r.withColumn("rank", F.row_number().over(W.partitionBy("tenant", "ask_id", "role").orderBy(F.col("similarity").desc(), "memory_id")))
+    # One search gives all roles: the hard ones are those of the others that are alike enough.
+    found = neighbours(ask(1).unionByName(ask(0)), store, top=max(positives, negatives, hard))
+    found = found.withColumn("rank", F.row_number().over(W.partitionBy("tenant", "ask_id").orderBy(F.col("similarity").desc(), "memory_id")))
+    failed, rank = F.col("tenant").endswith("/1"), F.col("rank")
+    named = lambda name, cond: F.when(cond, F.lit(name))
+    roles = F.array_compact(F.array(named("positive", failed & (rank <= positives)), named("negative", ~failed & (rank <= negatives)), named("hard_negative", ~failed & (rank <= hard) & (F.col("similarity") > over - 1e-9))))
+    r = found.withColumn("role", F.explode(roles))
     return r.select(F.split_part("tenant", F.lit("/"), F.lit(1)).alias("mode"), "ask_id", "role", "rank", F.col("memory_id").alias("example_id"), F.round("similarity", 6).alias("similarity"))
 
 

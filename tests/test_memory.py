@@ -146,3 +146,10 @@ def test_contrast(spark):
     q = spark.createDataFrame([(1, 9, [1.0, 0.0])], "mode long, ask_id long, vector array<double>")
     got = sorted((r.role, r.rank, r.example_id) for r in x.contrastive(q, e).collect())
     assert got == [("hard_negative", 1, 2), ("negative", 1, 2), ("negative", 2, 3), ("positive", 1, 1), ("positive", 2, 5)]
+
+
+def test_more_hard_examples_than_negatives(spark):
+    e = spark.createDataFrame([(1, i, False, [1.0, 0.1 * i]) for i in range(6)], "mode long, example_id long, is_failure boolean, vector array<double>")
+    q = spark.createDataFrame([(1, 9, [1.0, 0.0])], "mode long, ask_id long, vector array<double>")
+    got = sorted((r.role, r.rank, r.example_id) for r in x.contrastive(q, e, negatives=1, hard=3).collect())
+    assert got == [("hard_negative", 1, 0), ("hard_negative", 2, 1), ("hard_negative", 3, 2), ("negative", 1, 0)]
