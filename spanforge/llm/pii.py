@@ -1,7 +1,7 @@
 """PII (6): candidate gradient boosting, by DataFrame functions and MLlib.
 
 High-recall generators propose overlapping spans. Boosted trees judge a span by its format and its context.
-They learn on a bounded sample of texts: a base candidate is real if it passes its check (a check digit, a
+They learn on the candidates of all texts: a base candidate is real if it passes its check (a check digit, a
 number's range or length, an address's last part), a generated one if it overlaps such a span of its own kind,
 and not if it overlaps one of another kind; the rest teach nothing. The trees never see what the checks look
 at, so that they must tell real spans by shape and neighbourhood. For
@@ -21,8 +21,8 @@ from ._util import Scratch, columns_once, table
 from .spans import digits, joined, luhn, with_spans
 
 KINDS = ("email", "ip", "card", "phone")
-#: Texts that the trees are fitted on at most, on average; trees, depth, and the precision a threshold aims at.
-SAMPLE_TEXTS, TREES, DEPTH, PRECISION = 20_000, 8, 3, 0.98
+#: Trees, depth, and the precision a threshold aims at.
+TREES, DEPTH, PRECISION = 8, 3, 0.98
 CONTEXT = 24
 
 _NO_LOCAL = r"(?:\G|(?<![A-Za-z0-9._%+-]))"
@@ -94,7 +94,7 @@ def bucket(doc_id: str, seed: str) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(features, label, held): candidates of a sample of texts that the base checks tell something about."""
+    """(features, label, held): candidates that the base checks tell something about."""
     each = found(docs)
     short = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"))
     # An address has no failing form in the base rule; it is real if its last part is a word.
@@ -145,13 +145,9 @@ class Judge:
 
 
 def fit(docs: DataFrame) -> Judge | None:
-    """None if the sample has no good candidates; no spans are added then. Without bad ones all have the same margin."""
+    """None if the texts have no good candidates; no spans are added then. Without bad ones all have the same margin."""
     scratch = Scratch(docs.sparkSession, "pii")
-    n = docs.select("doc_id").count()
-    share = min(1.0, SAMPLE_TEXTS / max(1, n))
-    # The text decides as well, so that repeated ids are dealt apart.
-    sample = docs.filter((F.pmod(F.xxhash64(F.lit("pii"), "doc_id", "t"), F.lit(1 << 20)) / F.lit(float(1 << 20))) < F.lit(share))
-    rows = scratch.keep(candidates(sample), "candidates")
+    rows = scratch.keep(candidates(docs), "candidates")
     labels = {r["label"] for r in rows.filter("not held").select("label").distinct().collect()}
     if 1.0 not in labels:
         return None

@@ -189,3 +189,11 @@ def test_many_matches_in_one_text(spark):
     got = spans.select("id", F.size("spans_ip").alias("n"), F.expr("forall(transform(spans_ip, (x, i) -> x.s = 8 * i and x.e = 8 * i + 7), y -> y)").alias("right"), F.expr("get(spans_ip, 0)").alias("first")).collect()
     assert [(r.id, r.n) for r in got] == [(1, n), (2, 1), (3, 0), (4, 0)] and got[0].right and tuple(got[1].first) == (1, 8, "1.2.3.4")
     assert time.time() - began < 60
+
+
+def test_trees_learn_from_all_texts(spark, monkeypatch):
+    seen, real = [], pii.candidates
+    monkeypatch.setattr(pii, "candidates", lambda docs: seen.append(docs.count()) or real(docs))
+    docs = spark.range(20_500).selectExpr("id AS doc_id", "concat('mail ', id, '@b.org') AS t")
+    assert pii.fit(docs) is not None
+    assert seen == [20_500]
