@@ -115,7 +115,7 @@ def field_rules(matches: str) -> str:
 
 
 def fields(s: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """A row for each path of each state: lvl 0 has top-level names with their values, lvl 1 the leaves of opened objects."""
+    """A row for each path of each state: lvl 0 has top-level names with their values, lvl 1 the leaves of opened objects (none with a depth of 0)."""
     seq = W.partitionBy("trace_id").orderBy("step")
     as_map = "try_variant_get(v, '$', 'map<string,variant>')"
     s = s.select("trace_id", "step", "ts", F.try_parse_json("state").alias("v"))
@@ -125,7 +125,8 @@ def fields(s: DataFrame, depth: int = DEPTH) -> DataFrame:
     s = s.withColumn("p_keys", F.coalesce(F.lag("n_keys").over(seq), F.lit(0)))
     spark = s.sparkSession
     f = s.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).filter("key is not null").drop("pos", "v").withColumnsRenamed({"key": "path", "value": "val"})
-    f = f.withColumn("lvl", F.explode(F.expr("if(nested or p_nested or next_nested, array(0, 1), array(0))")))
+    # Without opened objects the leaves are the top level once more.
+    f = f.withColumn("lvl", F.explode(F.expr("if(nested or p_nested or next_nested, array(0, 1), array(0))")) if depth else F.lit(0))
     for _ in range(depth):
         f = f.withColumn("inner", F.expr("case when lvl = 1 and schema_of_variant(val) like 'OBJECT<_%>' then val end"))
         f = f.lateralJoin(spark.tvf.variant_explode_outer(F.col("inner").outer()))
@@ -166,7 +167,7 @@ def compared(s: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 def graph_signals(s: DataFrame, n: DataFrame | None = None) -> DataFrame:
     """(trace_id, step, key, kind) of graph states, and of failed nodes (trace_id, node_id, status, superstep, error, outputs) whose error speaks of a broken state."""
-    rows = compared(s.drop("ts").withColumn("ts", F.lit(0.0)), 0).filter("lvl = 0")
+    rows = compared(s.drop("ts").withColumn("ts", F.lit(0.0)), 0)
     harmless = reduce(lambda a, b: a | b, [F.col("path").startswith(p) for p in HARMLESS])
     added = F.col("p_kind").isNull() & (F.col("n_before") >= 3) & ~harmless
     fault = F.struct(F.col("path").alias("key"), F.expr(GRAPH_FAULT).alias("kind"))

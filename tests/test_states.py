@@ -103,3 +103,8 @@ def test_fast_fields_fall_silent(spark):
 def test_findings(spark):
     found = x.corruption(x.issues(frame(spark, {"x": 5}, {"x": -5})))
     assert [tuple(r) for r in found.collect()] == [(1, 1, 1, 0, 0, 1, 70, round(0.8 * 0.4 + 0.4 * 0.3 + 0.25 * 0.15 + 0.05, 4))]
+
+
+def test_closed_objects_have_one_level(spark):
+    rows = x.fields(frame(spark, {"a": {"b": 1}, "c": 1}, {"a": {"b": 2}}), 0).select("path", "lvl", "kind").collect()
+    assert sorted(tuple(r) for r in rows) == [("a", 0, "dict"), ("a", 0, "dict"), ("c", 0, "int")]
