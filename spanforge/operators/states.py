@@ -108,31 +108,51 @@ def _listed(issues, matches: str, extra: str) -> list[str]:
     return [f"CASE WHEN {extra} AND ({c.format(matches=matches) if '{matches}' in c else c}) THEN '{name}:{severity}' END" for name, severity, c in issues]
 
 
+def both_rules(matches: str) -> str:
+    """Issues of a path that both states have, as a list of texts (issue:severity), with nulls for those that don't hold."""
+    return ", ".join(_listed(FIELD_ISSUES, matches, "kind IS NOT NULL AND p_kind IS NOT NULL AND NOT same"))
+
+
+def top_rules(matches: str) -> str:
+    """Issues of a top-level path of the later state, as such a list."""
+    return ", ".join(_listed(TOP_ISSUES, matches, "lvl = 0 AND kind IS NOT NULL"))
+
+
 def field_rules(matches: str) -> str:
-    """All issues of a row as a list of texts (issue:severity), with nulls for those that don't hold."""
-    common = "kind IS NOT NULL AND p_kind IS NOT NULL"
-    return ", ".join(_listed(FIELD_ISSUES, matches, f"{common} AND NOT same") + _listed(TOP_ISSUES, matches, "lvl = 0 AND kind IS NOT NULL"))
+    """All issues of a row as such a list."""
+    return f"{both_rules(matches)}, {top_rules(matches)}"
+
+
+def _leaves(path: str, value: str, depth: int, level: int = 1) -> str:
+    """The leaves inside an object, by path: objects inside objects are opened ``depth`` levels deep."""
+    key, inner = f"concat_ws('.', {path}, e{level}.key)", f"e{level}.value"
+    leaf = f"array(struct(1 as lvl, {key} as path, {inner} as val, true as leaf))"
+    each = leaf if level == depth else f"if(coalesce(schema_of_variant({inner}) like 'OBJECT<_%', false), {_leaves(key, inner, depth, level + 1)}, {leaf})"
+    return f"flatten(transform(map_entries(try_variant_get({value}, '$', 'map<string,variant>')), e{level} -> {each}))"
 
 
 def fields(s: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """A row for each path of each state: lvl 0 has top-level names with their values, lvl 1 the leaves of opened objects (none with a depth of 0)."""
+    """A row for each path of each state: lvl 0 has top-level names with their values, lvl 1 the leaves inside opened objects (none with a depth of 0).
+
+    A top-level value that is no object to open is a ``leaf``, and stands for both levels in one row; one whose name
+    holds a dot has two, since leaves inside an object may have the same path.
+    """
     seq = W.partitionBy("trace_id").orderBy("step")
-    as_map = "try_variant_get(v, '$', 'map<string,variant>')"
-    s = s.select("trace_id", "step", "ts", F.try_parse_json("state").alias("v"))
-    s = s.withColumn("nested", F.expr(f"coalesce(exists(map_values({as_map}), x -> schema_of_variant(x) LIKE 'OBJECT<_%>'), false)"))
-    s = s.withColumns({"ord": F.row_number().over(seq), "n_states": F.count("*").over(W.partitionBy("trace_id")), "p_ts": F.lag("ts").over(seq), "next_step": F.lead("step").over(seq), "next_ts": F.lead("ts").over(seq)})
-    s = s.withColumns({"n_keys": F.expr(f"coalesce(size(map_keys({as_map})), 0)"), "p_nested": F.coalesce(F.lag("nested").over(seq), F.lit(False)), "next_nested": F.coalesce(F.lead("nested").over(seq), F.lit(False))})
-    s = s.withColumn("p_keys", F.coalesce(F.lag("n_keys").over(seq), F.lit(0)))
+    s = s.select("trace_id", "step", "ts", F.try_parse_json("state").alias("v")).withColumn("m", F.expr("try_variant_get(v, '$', 'map<string,variant>')"))
+    opened = "coalesce(exists(map_values(m), x -> schema_of_variant(x) LIKE 'OBJECT<_%>'), false)" if depth else "false"
+    s = s.withColumns({"nested": F.expr(opened), "n_keys": F.coalesce(F.size("m"), F.lit(0))}).withColumn("n_keys", F.greatest("n_keys", F.lit(0))).drop("m")
+    s = s.withColumns({"ord": F.row_number().over(seq), "more": F.coalesce(F.lead(F.lit(True)).over(seq), F.lit(False)), "p_ts": F.lag("ts").over(seq), "next_step": F.lead("step").over(seq), "next_ts": F.lead("ts").over(seq)})
+    s = s.withColumns({"p_nested": F.coalesce(F.lag("nested").over(seq), F.lit(False)), "next_nested": F.coalesce(F.lead("nested").over(seq), F.lit(False)), "p_keys": F.coalesce(F.lag("n_keys").over(seq), F.lit(0))})
     spark = s.sparkSession
     f = s.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).filter("key is not null").drop("pos", "v").withColumnsRenamed({"key": "path", "value": "val"})
-    # Without opened objects the leaves are the top level once more.
-    f = f.withColumn("lvl", F.explode(F.expr("if(nested or p_nested or next_nested, array(0, 1), array(0))")) if depth else F.lit(0))
-    for _ in range(depth):
-        f = f.withColumn("inner", F.expr("case when lvl = 1 and schema_of_variant(val) like 'OBJECT<_%>' then val end"))
-        f = f.lateralJoin(spark.tvf.variant_explode_outer(F.col("inner").outer()))
-        f = f.withColumns({"path": F.expr("if(key is null, path, concat(path, '.', key))"), "val": F.expr("if(key is null, val, value)")}).drop("inner", "pos", "key", "value")
-    kind = F.expr("""case when t = 'VOID' then 'null' when t = 'BIGINT' then 'int' when t rlike '^DECIMAL[(](19|[23][0-9]),0[)]$' then 'int' when t like 'DECIMAL%' or t = 'DOUBLE' then 'float'
-        when t = 'STRING' then 'str' when t = 'BOOLEAN' then 'bool' when t like 'ARRAY%' then 'list' else 'dict' end""")
+    if depth:
+        row = "struct({0} as lvl, path, val, {1} as leaf)".format
+        f = f.withColumn("x", F.expr(f"case when nested and schema_of_variant(val) like 'OBJECT<_%' then concat(array({row(0, 'false')}), {_leaves('path', 'val', depth)}) when contains(path, '.') then array({row(0, 'true')}, {row(1, 'true')}) else array({row(0, 'true')}) end"))
+        f = f.withColumn("x", F.explode("x")).withColumns({"lvl": F.col("x.lvl"), "path": F.col("x.path"), "val": F.col("x.val"), "leaf": F.col("x.leaf")}).drop("x")
+    else:
+        f = f.withColumns({"lvl": F.lit(0), "leaf": F.lit(True)})
+    kind = F.expr("""case when t = 'STRING' then 'str' when t = 'BIGINT' then 'int' when t = 'BOOLEAN' then 'bool' when t = 'VOID' then 'null' when t = 'DOUBLE' then 'float' when startswith(t, 'ARRAY') then 'list'
+        when startswith(t, 'DECIMAL') then if(t rlike '^DECIMAL[(](19|[23][0-9]),0[)]$', 'int', 'float') else 'dict' end""")
     f = f.withColumn("t", F.expr("schema_of_variant(val)")).withColumn("kind", kind).drop("t")
     of = lambda kind_, e: F.expr(f"case when kind = '{kind_}' then {e} end")
     f = f.withColumns({"txt": F.expr("if(kind = 'str', try_variant_get(val, '$', 'string'), to_json(val))"), "num": F.expr(f"case when kind in {_ANY} then try_variant_get(val, '$', 'double') end"), "keys": of("dict", "map_keys(try_variant_get(val, '$', 'map<string,variant>'))"), "items": of("list", "try_variant_get(val, '$', 'array<variant>')")})
@@ -146,23 +166,24 @@ def fields(s: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 def compared(s: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """A row for each path of two successive states: kind is null where it is gone, p_kind where it is new."""
+    """A row for each path of two successive states: kind is null where it is gone, p_kind where it is new; ``either``: one of them has opened objects."""
     f = fields(s, depth)
     w = W.partitionBy("trace_id", "lvl", "path").orderBy("ord")
-    f = f.withColumns({"p": F.lag(F.struct("ord", "kind", "size", "num", "txt", "keys")).over(w), "n": F.lead("ord").over(w)})
+    f = f.withColumns({"p": F.lag(F.struct("ord", "kind", "size", "num", "txt", "keys", "leaf")).over(w), "n": F.lead("ord").over(w)})
     had = F.when(F.col("p.ord") == F.col("ord") - 1, F.col("p"))
-    cols = ["kind", "size", "num", "txt", "keys", "repeats"]
+    cols = ["kind", "size", "num", "txt", "keys", "leaf", "repeats"]
     nothing = [F.lit(None).cast(f.schema[c].dataType).alias(c) for c in cols]
-    of = lambda p: [p[c].alias(f"p_{c}") for c in cols[:5]]
-    here = F.struct("ord", "step", "ts", "p_ts", F.col("p_keys").alias("n_before"), *cols, *of(had))
-    gone = F.struct((F.col("ord") + 1).alias("ord"), F.col("next_step").alias("step"), F.col("next_ts").alias("ts"), F.col("ts").alias("p_ts"), F.col("n_keys").alias("n_before"), *nothing, *[F.col(c).alias(f"p_{c}") for c in cols[:5]])
-    is_gone = (F.col("ord") < F.col("n_states")) & (F.col("n").isNull() | (F.col("n") > F.col("ord") + 1)) & ((F.col("lvl") == 0) | F.col("nested") | F.col("next_nested"))
+    of = lambda p: [p[c].alias(f"p_{c}") for c in cols[:6]]
+    here = F.struct("ord", "step", "ts", "p_ts", F.col("p_keys").alias("n_before"), (F.col("nested") | F.col("p_nested")).alias("either"), *cols, *of(had))
+    gone = F.struct((F.col("ord") + 1).alias("ord"), F.col("next_step").alias("step"), F.col("next_ts").alias("ts"), F.col("ts").alias("p_ts"), F.col("n_keys").alias("n_before"), (F.col("nested") | F.col("next_nested")).alias("either"), *nothing, *[F.col(c).alias(f"p_{c}") for c in cols[:6]])
+    is_gone = F.col("more") & (F.col("n").isNull() | (F.col("n") > F.col("ord") + 1)) & ((F.col("lvl") == 0) | F.col("nested") | F.col("next_nested"))
     is_here = (F.col("ord") > 1) & ((F.col("lvl") == 0) | F.col("nested") | F.col("p_nested"))
-    rows = f.select("trace_id", "lvl", "path", F.explode(F.array_compact(F.array(F.when(is_here, here), F.when(is_gone, gone)))).alias("x")).select("trace_id", "lvl", "path", "x.*")
-    words = lambda c: F.expr(f"array_distinct(filter(split(lower({c}), '[ \\\\t-\\\\r]+'), x -> x <> ''))")
-    both = F.expr("kind = 'str' and p_kind = 'str'")
-    rows = rows.withColumns({"w": F.when(both, words("txt")), "p_w": F.when(both, words("p_txt"))})
-    return rows.withColumns({"shared_words": F.size(F.array_intersect("w", "p_w")), "all_words": F.size(F.array_union("w", "p_w")), "lost_keys": F.size(F.array_except("p_keys", "keys")), "same": F.expr(SAME)}).drop("w", "p_w", "keys", "p_keys")
+    rows = f.select("trace_id", "lvl", "path", F.explode(F.array(F.when(is_here, here), F.when(is_gone, gone))).alias("x")).filter("x is not null").select("trace_id", "lvl", "path", "x.*")
+    rows = rows.withColumn("same", F.expr(SAME))
+    words = lambda c: f"array_distinct(filter(split(lower({c}), '[ \\\\t-\\\\r]+'), x -> x <> ''))"
+    both = F.expr("kind = 'str' and p_kind = 'str' and not same and size > 5 and p_size > 5")  # what the rules on words ask for
+    rows = rows.withColumns({"w": F.when(both, F.expr(words("txt"))), "p_w": F.when(both, F.expr(words("p_txt")))})
+    return rows.withColumns({"shared_words": F.size(F.array_intersect("w", "p_w")), "all_words": F.size(F.array_union("w", "p_w")), "lost_keys": F.size(F.array_except("p_keys", "keys"))}).drop("w", "p_w", "keys", "p_keys")
 
 
 def graph_signals(s: DataFrame, n: DataFrame | None = None) -> DataFrame:
@@ -199,8 +220,20 @@ def issues(s: DataFrame, depth: int = DEPTH) -> DataFrame:
     judged more than FAST_CHANGES times within WINDOW_S seconds; top-level truth values are never too fast.
     """
     rows = compared(s, depth)
-    told = rows.withColumn("found", F.expr(f"filter(array({field_rules('regexp_like')}), x -> x is not null)"))
-    told = told.withColumns({"same": F.expr("coalesce(same, false)"), "fast": F.expr(_holds("lower(path)", FAST)), "regressed": F.array_contains("found", "status_regression:high")})
+    # Rows that no rule below asks for are left out before the rules are read; issues are one text, empty if there are none.
+    read_ = ("score", "grade", "start_date", "end_date", "min_value", "max_value", "age", "price", "percentage", "email", "url", "phone", "uuid")
+    rows = rows.filter(f"not coalesce(same, false) or not kind <=> p_kind or {_in('path', read_)} or {_in('lower(path)', STABLE)} or (lvl = 0 and kind = 'str' and size > 10)")
+    told = rows.withColumns({"found": F.expr(f"concat_ws(';', {both_rules('regexp_like')})"), "of_top": F.expr(f"concat_ws(';', {top_rules('regexp_like')})"), "same": F.expr("coalesce(same, false)"), "fast": F.expr(_holds("lower(path)", FAST))})
+    told = told.withColumns({"leaf": F.coalesce("leaf", F.lit(False)), "p_leaf": F.coalesce("p_leaf", F.lit(False))})
+    # A top-level row stands for the leaves too, with what of its two values is a leaf.
+    told = told.withColumn("at", F.explode(F.expr("if(lvl = 1, array(1), if(either and (leaf or p_leaf) and not contains(path, '.'), array(0, 1), array(0)))"))) if depth else told.withColumn("at", F.lit(0))
+    below = (F.col("at") == 1) & (F.col("lvl") == 0)
+    kept_ = ~below | (F.col("leaf") & F.col("p_leaf"))
+    told = told.withColumns({
+        "kind": F.when(~below | F.col("leaf"), F.col("kind")), "p_kind": F.when(~below | F.col("p_leaf"), F.col("p_kind")), "same": F.col("same") & kept_,
+        "found": F.concat_ws(";", F.when(kept_, F.nullif("found", F.lit(""))), F.when(F.col("at") == 0, F.nullif("of_top", F.lit("")))), "lvl": F.col("at"),
+    })
+    told = told.withColumn("regressed", F.col("found").contains("status_regression:high"))
     names = lambda c: F.array_sort(F.collect_list(F.when(F.expr(c), F.col("path"))))
     last = lambda c, v: F.max(F.when(F.expr(c), F.col(v)))
     common = "kind is not null and p_kind is not null"
@@ -211,8 +244,8 @@ def issues(s: DataFrame, depth: int = DEPTH) -> DataFrame:
         names("not fast and not same and (coalesce(kind, 'null') <> 'null' or coalesce(p_kind, 'null') <> 'null')").alias("changed"),
         last(f"path = 'score' and {number}", "num").alias("score"), last("path = 'grade' and kind = 'str'", "txt").alias("grade"),
         *[last(f"path = '{p}' and {number}", "num").alias(f"n_{p}") for p in ("start_date", "end_date", "min_value", "max_value")], *[last(f"path = '{p}' and kind = 'str'", "txt").alias(f"t_{p}") for p in ("start_date", "end_date", "min_value", "max_value")],
-        F.array_sort(F.collect_list(F.when(F.expr("kind = 'str' and size > 10"), F.struct("path", "txt")))).alias("long"),
-        F.flatten(F.collect_list(F.expr("case when size(found) > 0 then transform(found, x -> struct(x as x, array(path) as names, kind = 'bool' and not contains(path, '.') as truth)) end"))).alias("single"),
+        F.array_sort(F.collect_list(F.when(F.expr("lvl = 0 and kind = 'str' and size > 10"), F.struct("path", "txt")))).alias("long"),
+        F.collect_list(F.expr("case when found <> '' then struct(found, path, kind = 'bool' and not contains(path, '.') as truth) end")).alias("single"),
     )
     expected = F.expr("case upper(trim(grade)) " + " ".join(f"when '{g}' then not (score between {lo} and {hi})" for g, (lo, hi) in GRADES.items()) + " else false end")
     one = lambda name, severity, cond, list_: F.when(cond, F.array(F.struct(F.lit(f"{name}:{severity}").alias("x"), list_.alias("names")))).otherwise(F.array().cast("array<struct<x:string,names:array<string>>>"))
@@ -228,7 +261,7 @@ def issues(s: DataFrame, depth: int = DEPTH) -> DataFrame:
         one("cross_field_inconsistency", "high", top & after("start_date", "end_date"), fixed("start_date", "end_date")), one("cross_field_inconsistency", "high", top & after("min_value", "max_value"), fixed("min_value", "max_value")),
         one("suspicious_rapid_changes", "medium", top & (rate > RATE) & (F.size("changed") > RAPID), F.slice("changed", 1, 5)), F.when(top, copies).otherwise(F.array().cast("array<struct<x:string,names:array<string>>>")),
     )
-    all_ = F.concat("single", F.transform(more, lambda y: F.struct(y["x"].alias("x"), y["names"].alias("names"), F.lit(False).alias("truth"))))
+    all_ = F.concat(F.expr("flatten(transform(single, s -> transform(split(s.found, ';'), x -> struct(x as x, array(s.path) as names, s.truth as truth))))"), F.transform(more, lambda y: F.struct(y["x"].alias("x"), y["names"].alias("names"), F.lit(False).alias("truth"))))
     found = pair.select("trace_id", "ord", "step", "ts", "lvl", F.posexplode(all_).alias("pos", "y")).select("trace_id", "ord", "step", "ts", "lvl", "pos", "y.*")
     found = found.withColumns({"issue": F.split_part("x", F.lit(":"), F.lit(1)), "severity": F.split_part("x", F.lit(":"), F.lit(2)), "field": F.array_join("names", ",")}).withColumn("immune", F.expr(_in("issue", IMMUNE)))
     # How often a field was judged in the seconds before: those at one time count one after another.

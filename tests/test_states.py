@@ -108,3 +108,15 @@ def test_findings(spark):
 def test_closed_objects_have_one_level(spark):
     rows = x.fields(frame(spark, {"a": {"b": 1}, "c": 1}, {"a": {"b": 2}}), 0).select("path", "lvl", "kind").collect()
     assert sorted(tuple(r) for r in rows) == [("a", 0, "dict"), ("a", 0, "dict"), ("c", 0, "int")]
+
+
+def test_a_leaf_stands_for_both_levels_in_one_row(spark):
+    rows = x.fields(frame(spark, {"a": {"b": {"c": 1}}, "d": 1, "e.f": 2})).select("path", "lvl", "leaf").collect()
+    assert sorted(tuple(r) for r in rows) == [("a", 0, False), ("a.b.c", 1, True), ("d", 0, True), ("e.f", 0, True), ("e.f", 1, True)]
+
+
+def test_issues_of_both_levels_come_twice(spark):
+    """A leaf beside an opened object has its issue on both levels, also where its name holds a dot; one that was an object before has not."""
+    a, b = {"x": 5, "e.f": 5, "o": {"y": 5}, "z": {"q": 1}}, {"x": -5, "e.f": -5, "o": {"y": -5}, "z": -1}
+    found = sorted((r.issue, r.field) for r in x.issues(frame(spark, a, b)).collect())
+    assert found == sorted([("sign_flip", "x")] * 2 + [("sign_flip", "e.f")] * 2 + [("sign_flip", "o.y"), ("type_drift", "z"), ("type_drift", "z")])
