@@ -39,17 +39,15 @@ def compare_objects(df: DataFrame, *keys: str, original: str = "original", repla
     Members that are objects on both sides are opened, ``depth`` levels deep; others are compared as text: strings as they are, the rest
     as JSON. An object that is none on the other side is compared whole. Texts that are no JSON objects have no members.
     """
-    spark = df.sparkSession
-    base = df.select(*keys, F.try_parse_json(original).alias("a"), F.try_parse_json(replay).alias("b"), F.lit("").alias("path"))
     is_object = lambda c: F.coalesce(F.schema_of_variant(c).startswith("OBJECT"), F.lit(False))
-    left, done = base.filter(is_object("a") | is_object("b")), None
+    as_map = lambda c: F.expr(f"try_variant_get({c}, '$', 'map<string,variant>')")
+    done = df.select(*keys, F.lit(None).cast("string").alias("path"), F.try_parse_json(original).alias("a"), F.try_parse_json(replay).alias("b")).filter(is_object("a") | is_object("b"))
+    # All levels in one pass: a row becomes its members where both sides are objects (at first, where one is), else it stays.
+    members = "transform(array_distinct(concat(coalesce(map_keys(m), array()), coalesce(map_keys(n), array()))), k -> struct(concat_ws('.', path, k) as path, m[k] as a, n[k] as b))"
     for level in range(depth):
-        both = F.expr("array_distinct(concat(coalesce(map_keys(try_variant_get(a, '$', 'map<string,variant>')), array()), coalesce(map_keys(try_variant_get(b, '$', 'map<string,variant>')), array())))")
-        member = lambda c: F.expr(f"try_variant_get({c}, '$', 'map<string,variant>')[name]")
-        each = left.withColumn("name", F.explode(both)).select(*keys, member("a").alias("a"), member("b").alias("b"), (F.col("name") if level == 0 else F.concat("path", F.lit("."), "name")).alias("path"))
-        open_ = is_object("a") & is_object("b") if level < depth - 1 else F.lit(False)
-        done = each.filter(~open_) if done is None else done.unionByName(each.filter(~open_))
-        left = each.filter(open_)
+        done = done.withColumn("open", F.lit(level == 0) | (is_object("a") & is_object("b")))
+        done = done.withColumns({"m": F.when(F.col("open"), as_map("a")), "n": F.when(F.col("open"), as_map("b"))})
+        done = done.select(*keys, F.explode(F.expr(f"if(open, {members}, array(struct(path, a, b)))")).alias("x")).select(*keys, "x.path", "x.a", "x.b")
     empty = F.array(*[F.lit(x) for x in ("null", "false", "0", "0.0", "[]", "{}", '""')])
     text = lambda c: F.when(F.coalesce(F.array_contains(empty, F.to_json(c)), F.lit(True)), "").when(F.schema_of_variant(c) == "STRING", F.expr(f"try_variant_get({c}, '$', 'string')")).otherwise(F.to_json(c))
     return compare_texts(done.select(*keys, "path", text("a").alias("original"), text("b").alias("replay")))

@@ -103,3 +103,22 @@ def test_whole_tables_equal_a_plain_version(spark):
     got = {(r.conv_id, r.turn): r for r in x.r5(spark, D).collect()}
     assert {k: r.similarity for k, r in got.items()} == want
     assert {(r.conv_id, r.turn) for r in x.h25(spark, D).collect()} == {k for k, s in want.items() if s > 0.9 and last[k] is not None}
+
+
+def test_pairs_that_need_no_blocks_stay_out_of_python():
+    """Equal texts, and a text against none, are answered before: only the third pair reaches Python, and parts of a batch keep its order."""
+    import pyarrow as pa
+
+    a, b = [None, None, "abcd"] * 300, [None, None, "abxd"] * 300
+    parts = [r for part in q._compared(iter([(pa.array(a), pa.array(b))])) for r in part.to_pylist()]
+    assert len(parts) == 900 and parts[0]["likeness"] is None and parts[899]["likeness"] == 0.75
+    assert [(s["kind"], s["position"]) for s in parts[899]["segments"]] == [("replace", 2)]
+
+
+def test_segments_of_easy_pairs(spark):
+    rows = spark.createDataFrame([("", "xy"), ("xy", ""), ("xy", "xy"), (None, None), (None, "z")], "original string, replay string")
+    got = [(r.similarity, r.difference, [tuple(s) for s in r.segments], r.inserted, r.deleted) for r in x.compare_texts(rows).collect()]
+    assert got == [
+        (0.0, "completely_different", [("insert", "", "xy", 0, 2)], 2, 0), (0.0, "completely_different", [("delete", "xy", "", 0, 2)], 0, 2), (1.0, "identical", [], 0, 0), (1.0, "identical", [], 0, 0),
+        (0.0, "completely_different", [("insert", "", "z", 0, 1)], 1, 0),
+    ]
