@@ -9,7 +9,7 @@ from ..functions.text import ratio
 from ..plans.registry import query
 from ..sources.adapters import AGENT_SPANS, MODELS, PARENTS, SPANS, agent_spans, order, parents, read, spans
 from .detectors import ALL_SQL, detect_all
-from .graph import HANDOFFS, connected, handoffs
+from .graph import HANDOFFS, connected, cut, handoffs
 
 #: Weights of a trajectory's five scores.
 PARTS = {"tool_selection": 0.25, "path_efficiency": 0.20, "completeness": 0.25, "step_ordering": 0.15, "recovery": 0.15}
@@ -65,7 +65,7 @@ def entangled(findings: DataFrame) -> DataFrame:
     How often one detector is found with another is counted over all traces; a trace's few findings are
     paired in its own row, and the short table of pairs is looked up.
     """
-    f = findings.withColumn("confidence", F.col("severity") / 100.0)
+    f = cut(findings.withColumn("confidence", F.col("severity") / 100.0))  # read three times
     per = f.groupBy("trace_id").agg(F.collect_list(F.struct("detector", "detected", "confidence")).alias("v"))
     pairs = F.flatten(F.transform("v", lambda a: F.transform(F.filter("v", lambda b: b["detector"] != a["detector"]), lambda b: F.struct(a["detector"].alias("i"), b["detector"].alias("j"), a["detected"].alias("a"), b["detected"].alias("b"), a["confidence"].alias("trigger")))))
     each = per.select("trace_id", F.explode(pairs).alias("p")).select("trace_id", "p.*")

@@ -60,3 +60,9 @@ def test_entry(spark):
 def test_every_trace_has_a_finding_of_each_detector(spark):
     n = QUERIES["k33_orchestrate"](spark, D)
     assert {r["count"] for r in n.groupBy("trace_id").count().collect()} == {12}
+
+
+def test_findings_that_are_read_three_times_are_found_once(spark):
+    """The pairs of detectors and the raised confidences read findings that are written, not the windows over spans again."""
+    plan = QUERIES["l45_entangled"](spark, D)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "RDD" in plan
