@@ -2,8 +2,8 @@
 
 Steps are (trace_id, step, agent, state, content, vector), answers (question, pos, vector). Clusters of a trace come from
 k-means over all traces at once: components are whole numbers, so that sums are exact and rows may be added
-up in any order; a round is a join with at most five centres a trace and a sum by trace and cluster, never a
-trace in one group.
+up in any order. Traces are dealt to tasks once, which cluster many traces together; for a trace too long for a task, a round
+is a join with at most five centres and a sum by cluster.
 """
 
 from functools import reduce
@@ -31,6 +31,8 @@ REVIEWS = (
 )
 #: Parts of a unit that components are rounded to; rounds of k-means; members of a cluster that are compared.
 UNIT, ROUNDS, COMPARED = 65536, 5, 5
+#: Components of a trace that one task clusters by itself.
+LONGEST = 1 << 21
 #: Cosine from which an answer joins a cluster, entropy below which answers are reliable.
 ALIKE, RELIABLE = 0.85, 0.5
 #: Answers of a question that are clustered in one group at a time, and those that are held against its leaders in one task.
@@ -85,17 +87,119 @@ def loops(s: DataFrame, framework: str = "default") -> DataFrame:
     return g.select("trace_id", "method", "loop_start", "loop_length", F.round("raw", 4).alias("raw_score"), confidence.alias("confidence"))
 
 
-def clustered(s: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(trace_id, step, pos, n, k, label, q) of traces of six steps or more: k-means of each trace, min(max(2, n / 4), 5) clusters, seeds evenly spaced.
+def clustered(s: DataFrame, rounds: int = ROUNDS, keep: int | None = None, longest: int = LONGEST) -> DataFrame:
+    """(trace_id, step, pos, n, k, label, late, q) of traces of six steps or more: k-means of each trace, min(max(2, n / 4), 5) clusters, seeds evenly spaced.
 
     Vectors are rounded to whole numbers of 1 / UNIT and centres down to whole numbers; ties go to the lower cluster, and
-    a cluster without members keeps its centre. Steps without a vector are left out; all vectors have one length.
+    a cluster without members keeps its centre. Steps without a vector are left out; all vectors have one length. ``late`` is
+    1 for the last step of its cluster; with ``keep``, q is null where late is greater. Traces are dealt to tasks once, and a task holds those of
+    a batch; a trace of over ``longest`` components goes by rounds over all tasks.
     """
+    s = s.filter("vector is not null and trace_id is not null").select("trace_id", "step", "vector")
+    width = s.agg(F.max(F.size("vector"))).first()[0] or 0
+    # Vectors that hold null or NaN, for which this is not false, are left to the rounds too.
+    odd = ~F.coalesce(~F.array_contains("vector", F.lit(float("nan")).cast(s.schema["vector"].dataType.elementType)), F.lit(False)) | (F.size("vector") != width)
+    apart = cut(s.groupBy("trace_id").agg(F.count("*").alias("n"), F.bool_or(odd).alias("odd")).filter((F.col("n") >= 6) & (F.col("odd") | (F.col("n") * width > longest))).select("trace_id"))
+    if apart.isEmpty():
+        return _in_tasks(s, width, rounds, keep)
+    rest = _by_rounds(s.join(apart, "trace_id", "left_semi"), width, rounds)
+    if keep is not None:
+        rest = rest.withColumn("q", F.when(F.col("late") <= keep, F.col("q")))
+    return _in_tasks(s.join(apart, "trace_id", "left_anti"), width, rounds, keep).unionByName(rest)
+
+
+def _in_tasks(s: DataFrame, width: int, rounds: int, keep: int | None) -> DataFrame:
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    kind = {c: s.schema[c].dataType.simpleString() for c in ("trace_id", "step")}
+    names = ["trace_id", "step", "pos", "n", "k", "label", "late", "q"]
+
+    def whole(v) -> np.ndarray:
+        y = v.astype(float) * UNIT
+        t = np.trunc(y)
+        y = t + np.where(np.abs(y - t) >= 0.5, np.sign(y), 0.0)
+        if not (np.abs(y) < 2.0**63).all():
+            raise OverflowError("a component is too large")
+        return y.astype(np.int64)
+
+    def label(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        """Rows of whole traces, which begin at ``starts``."""
+        size = np.diff([*starts, table.num_rows])
+        many = np.repeat(size >= 6, size)
+        table, size = table.filter(pa.array(many)), size[size >= 6]
+        rows, traces = table.num_rows, len(size)
+        starts, g, k = np.cumsum(size) - size, np.repeat(np.arange(traces), size), np.clip(size // 4, 2, 5)
+        v = table.column("vector").combine_chunks()
+        exact = q = whole(v.flatten().to_numpy(zero_copy_only=False)).reshape(rows, width)
+        if rows and width and 4 * width * int(np.abs(q).max()) ** 2 >= 2**63:
+            exact = q.astype(object)
+        dot = (lambda a, b: (a * b).sum(axis=1)) if exact.dtype == object else (lambda a, b: np.einsum("ij,ij->i", a, b))
+        most = int(k.max()) if traces else 0
+        centres = [exact[starts + np.minimum(j * size // k, size - 1)] for j in range(most)]
+
+        def near() -> np.ndarray:
+            best, of = None, np.zeros(rows, np.int64)
+            for j, c in enumerate(centres):
+                d = dot(c, c)[g] - 2 * dot(exact, c[g])
+                if best is None:
+                    best = d
+                else:
+                    closer = (d < best) & (j < k)[g]
+                    best, of = np.where(closer, d, best), np.where(closer, j, of)
+            return of
+
+        def by_cluster(of):
+            key = g * 8 + of
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.diff(key[order], prepend=-1))
+            return order, first, key[order][first], np.diff([*first, rows])
+
+        for _ in range(rounds if rows else 0):
+            order, first, key, held = by_cluster(near())
+            means = np.add.reduceat(exact[order], first, axis=0) // held[:, None] if width else exact[order][first]
+            for j, c in enumerate(centres):
+                c[key[key % 8 == j] // 8] = means[key % 8 == j]
+        of, late = near(), np.zeros(rows, np.int64)
+        order, first, _, held = by_cluster(of)
+        late[order] = np.repeat(first + held, held) - np.arange(rows)
+        kept = np.ones(rows, bool) if keep is None else late <= keep
+        # A list whose offset is null is null.
+        ends = np.concatenate([[0], np.cumsum(kept * width)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(~kept, False)), pa.array(q[kept].reshape(-1)))
+        ints = lambda x, t: pa.array(x.astype(t))
+        columns = [table.column("trace_id").combine_chunks(), table.column("step").combine_chunks(), ints(np.arange(rows) - starts[g], np.int32), ints(size[g], np.int64), ints(k[g], np.int64), ints(of, np.int32), ints(late, np.int32), lists]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    def run(batches):
+        """Rows come by trace and step; the last trace of a batch waits for the next."""
+        waiting: list = []
+        for batch in batches:
+            ids = batch.column("trace_id")
+            new = np.flatnonzero(pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)) + 1
+            if waiting and batch.num_rows and waiting[-1].column("trace_id")[-1] != ids[0]:
+                new = np.append(0, new)
+            if not len(new):
+                waiting += [batch] if batch.num_rows else []
+                continue
+            waiting.append(batch.slice(0, new[-1]))
+            before = sum(b.num_rows for b in waiting[:-1])
+            yield label(pa.Table.from_batches(waiting), np.append(0, new[:-1] + before) if before + new[0] else np.array([0]))
+            waiting = [batch.slice(new[-1])]
+        if waiting:
+            yield label(pa.Table.from_batches(waiting), np.array([0]))
+
+    dealt = s.repartition("trace_id").sortWithinPartitions("trace_id", "step")
+    return dealt.mapInArrow(run, f"trace_id {kind['trace_id']}, step {kind['step']}, pos int, n long, k long, label int, late int, q array<long>")
+
+
+def _by_rounds(s: DataFrame, width: int, rounds: int) -> DataFrame:
+    """The same for any length of a trace: a round is a join with at most five centres a trace and a sum by trace and cluster."""
     w = W.partitionBy("trace_id").orderBy("step")
-    q = s.filter("vector is not null").select("trace_id", "step", F.transform("vector", lambda x: F.round(x.cast("double") * UNIT).cast("long")).alias("q"))
+    q = s.select("trace_id", "step", F.transform("vector", lambda x: F.round(x.cast("double") * UNIT).cast("long")).alias("q"))
     q = q.withColumns({"pos": F.row_number().over(w) - 1, "n": F.count("*").over(W.partitionBy("trace_id"))}).filter("n >= 6")
     q = cut(q.withColumn("k", F.expr("least(greatest(2, n div 4), 5)")))
-    width = q.agg(F.max(F.size("q"))).first()[0] or 0
     seed = F.expr("array_position(transform(sequence(0, k - 1), i -> i * n div k), pos) - 1")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("long"), lambda t, x: t + x)
     packed = lambda c: c.withColumn("norm", dot(F.col("q"), F.col("q"))).groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("label", "norm", "q"))).alias("centres"))
@@ -105,7 +209,8 @@ def clustered(s: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         sums = near.groupBy("trace_id", "label").agg(F.count("*").alias("held"), *[F.sum(F.col("q")[i]).alias(f"s{i}") for i in range(width)])
         means = sums.select("trace_id", "label", F.array(*[F.expr(f"cast((s{i} - pmod(s{i}, held)) / held as bigint)") for i in range(width)]).alias("mean"))
         centres = cut(centres.join(means, ["trace_id", "label"], "left").select("trace_id", "label", F.coalesce("mean", "q").alias("q")))
-    return nearest(q, packed(centres), dot)
+    late = F.row_number().over(W.partitionBy("trace_id", "label").orderBy(F.col("pos").desc()))
+    return nearest(q, packed(centres), dot).withColumn("late", late)
 
 
 def nearest(q: DataFrame, centres: DataFrame, dot) -> DataFrame:
@@ -113,25 +218,22 @@ def nearest(q: DataFrame, centres: DataFrame, dot) -> DataFrame:
     return q.join(centres, "trace_id").withColumn("label", best["label"]).drop("centres")
 
 
-
-
-def cluster_loops(s: DataFrame, framework: str = "default", rounds: int = ROUNDS) -> DataFrame:
+def cluster_loops(s: DataFrame, framework: str = "default", rounds: int = ROUNDS, longest: int = LONGEST) -> DataFrame:
     """(trace_id, clusters, kind, dominant, held, cycle, similarity, loop_start, confidence) of traces whose last steps stay in one cluster (six in ten or more) or go round in clusters."""
     window = THRESHOLDS[framework][2]
-    c = cut(clustered(s, rounds))
-    last = last_steps(c, window).groupBy("trace_id", "n", "k").agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("x"))
-    last = last.select("trace_id", "n", "k", F.expr("transform(x, y -> y.label)").alias("l")).withColumn("m", F.size("l"))
+    c = clustered(s, rounds, COMPARED, longest).filter((F.col("late") <= COMPARED) | (F.col("pos") >= F.col("n") - window))
+    # A trace's last steps, and the last of each cluster: some forty rows at most.
+    last = c.groupBy("trace_id", "n", "k").agg(F.array_sort(F.collect_list(F.struct("pos", "label", "late", "q"))).alias("x"))
+    last = last.withColumn("l", F.expr(f"transform(filter(x, y -> y.pos >= n - {window}), y -> y.label)")).withColumn("m", F.size("l"))
     last = last.withColumn("most", F.expr("array_max(transform(l, a -> size(filter(l, b -> b = a))))"))
     cycles = [F.when((F.col("m") >= 2 * p) & F.expr(f"slice(l, -{p}, {p}) = slice(l, greatest(m - {2 * p} + 1, 1), {p})"), p) for p in range(2, window // 2 + 1)]
     last = last.withColumns({"dominant": F.expr("filter(l, a -> size(filter(l, b -> b = a)) = most)[0]"), "rules": (F.col("most") * 10 >= F.col("m") * 6) & (F.col("most") >= MATCHES), "cycle": F.coalesce(*cycles, F.lit(0))})
     last = last.filter("rules or cycle >= 2").withColumns({"dominant": F.expr("if(rules, dominant, 0)"), "held": F.expr("if(rules, most, 0)")})
-    per = W.partitionBy("trace_id", "label").orderBy(F.col("pos").desc())
-    members = c.join(last.select("trace_id", F.col("dominant").alias("label")), ["trace_id", "label"]).withColumn("r", F.row_number().over(per)).filter(F.col("r") <= COMPARED)
-    v = members.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("pos", "q"))).alias("v"))
+    last = last.withColumn("v", F.expr(f"transform(filter(x, y -> y.label = dominant and y.late <= {COMPARED}), y -> struct(y.pos as pos, y.q as q))")).drop("x")
     both = F.flatten(F.transform("v", lambda a, i: F.transform(F.expr("slice(v, 1, size(v))"), lambda b, j: F.when(j > i, F.round(cosine(a["q"], b["q"]), 9)))))
-    sims = v.select("trace_id", F.array_compact(both).alias("sims"))
+    r = last.withColumn("sims", F.array_compact(both)).drop("v")
     average = F.when(F.size("sims") > 0, F.aggregate("sims", F.lit(0.0), lambda t, x: t + x) / F.size("sims")).otherwise(0.0)
-    r = last.join(sims, "trace_id", "left").withColumn("similarity", F.coalesce(average, F.lit(0.0)))
+    r = r.withColumn("similarity", F.coalesce(average, F.lit(0.0)))
     raw = F.when(F.col("rules"), F.col("held") / F.col("m")).otherwise(0.0) * 0.5 + F.col("similarity") * 0.5
     start = F.expr("n - m + array_position(l, dominant) - 1")
     kind = F.when(F.col("rules") & (F.col("cycle") >= 2), "cluster_dominance_cycle").when(F.col("rules"), "cluster_dominance").otherwise("cluster_cycle")

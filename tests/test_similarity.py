@@ -87,6 +87,32 @@ def test_clusters_equal_plain_kmeans(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("longest", [x.LONGEST, 100, 0])
+def test_clusters_of_long_and_short_traces(spark, longest):
+    """Traces are clustered in tasks without a join, or by rounds, with the same labels, over batches that cut traces."""
+    rng = np.random.default_rng(7)
+    rows, want = [], {}
+    for t, n in enumerate((6, 7, 3, 40, 8, 21)):
+        vectors = np.where(rng.random((n, 4)) < 0.5, rng.integers(-2, 3, (n, 4)) * 0.5, 4e4 * (t == 3 and longest == x.LONGEST)).tolist()  # in tasks, sums beyond a long are exact too
+        rows += [(f"t{t}", i, v) for i, v in enumerate(vectors)]
+        if n >= 6:
+            want[f"t{t}"] = kmeans([[int(c * x.UNIT) for c in v] for v in vectors], x.ROUNDS)
+    df = spark.createDataFrame([*rows, (None, 1, [0.0] * 4)], "trace_id string, step long, vector array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        c = x.clustered(df, keep=2, longest=longest)
+        assert longest < x.LONGEST or "Join" not in c._jdf.queryExecution().executedPlan().toString()
+        got = {}
+        for r in c.orderBy("trace_id", "pos").collect():
+            got.setdefault(r.trace_id, []).append(r)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {t: [r.label for r in rs] for t, rs in got.items()} == want
+    for t, rs in got.items():
+        assert [r.late for r in rs] == [[b.label for b in rs[i:]].count(r.label) for i, r in enumerate(rs)]
+        assert [r.q for r in rs] == [[int(c * x.UNIT) for c in v] if r.late <= 2 else None for r, v in zip(rs, [v for k, _, v in rows if k == t], strict=True)]
+
+
 def steps(spark, *rows):
     return spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "trace_id long, step long, agent string, state string, content string, vector array<double>")
 
