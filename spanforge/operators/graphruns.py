@@ -9,10 +9,12 @@ once and compared by key, so that no pair of nodes is made.
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
 from ..sources.adapters import GRAPHS, graph_runs
+from .graph import cut
 
 #: Statuses of success; names of ends; words of conditions that end or go on; types that process; words of node types.
 DONE, ENDS, PROCESSING = ("succeeded", "completed"), ("human", "end", "__end__"), ("llm", "tool", "subgraph", "map_reduce")
@@ -35,14 +37,23 @@ def _or(conditions) -> Column:
     return reduce(Column.__or__, conditions)
 
 
+def _those(kinds: dict[str, Column]) -> Column:
+    """The kinds whose condition holds."""
+    return F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in kinds.items()]))
+
+
 def ok(status: Column) -> Column:
     return F.coalesce(status.isin(*DONE), F.lit(False))
 
 
-def members(df: DataFrame, column: str, *keys: str) -> DataFrame:
-    """(keys, key, value) of a column's JSON objects: strings as they are, True and False, other values as JSON; null values are left out."""
+def members(df: DataFrame, column: str, *keys: str, all_rows: bool = False) -> DataFrame:
+    """(keys, key, value) of a column's JSON objects: strings as they are, True and False, other values as JSON; null values are left out.
+
+    With ``all_rows``, a row without members stays, with a null key."""
     spark = df.sparkSession
-    e = df.select(*keys, F.try_parse_json(column).alias("v")).lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).filter("key is not null")
+    explode = spark.tvf.variant_explode_outer if all_rows else spark.tvf.variant_explode
+    e = df.select(*keys, F.try_parse_json(column).alias("v")).lateralJoin(explode(F.col("v").outer()))
+    e = e if all_rows else e.filter("key is not null")
     kind = F.schema_of_variant("value")
     text = F.when(kind == "VOID", None).when(kind == "STRING", F.expr("try_variant_get(value, '$', 'string')")).when(kind == "BOOLEAN", F.initcap(F.to_json("value"))).otherwise(F.to_json("value"))
     return e.select(*keys, "key", text.alias("text"))
@@ -89,37 +100,26 @@ def route_issues(nodes: DataFrame, edges: DataFrame, states: DataFrame, runs: Da
     out is that of the first node, at its superstep or before, that does.
     """
     n = nodes.withColumns({"superstep": F.coalesce("superstep", F.lit(-1)), "title": F.coalesce("title", F.lit("")), "node_type": F.coalesce("node_type", F.lit(""))})
+    # Nodes, states, edges that may have an issue and tests with what they are held against are written once, and read by all checks.
+    n = cut(n.select("graph_id", "node_id", "node_type", "title", "status", "superstep", "outputs"))
     src = n.select("graph_id", F.col("node_id").alias("source"), F.col("superstep").alias("step"), ok(F.col("status")).alias("source_ok"))
     dst = n.select("graph_id", F.col("node_id").alias("target"), "node_type", "title", F.col("status").alias("target_status"), F.lit(True).alias("known"))
-    e = edges.join(src, ["graph_id", "source"], "left").join(dst, ["graph_id", "target"], "left")
-    e = e.withColumns({"known": F.coalesce("known", F.lit(False)), "target_ok": ok(F.col("target_status")), "conditional": F.coalesce(F.col("edge_type") == "conditional", F.lit(False)), "condition": F.coalesce("condition", F.lit("")), "step": F.coalesce("step", F.lit(-1))})
+    e = edges.join(dst, ["graph_id", "target"], "left")
+    e = e.withColumns({"known": F.coalesce("known", F.lit(False)), "target_ok": ok(F.col("target_status")), "conditional": F.coalesce(F.col("edge_type") == "conditional", F.lit(False)), "condition": F.coalesce("condition", F.lit(""))})
+    # An edge without a condition can only miss its target.
+    missing = (F.col("target") != "") & ~F.col("known") & ~F.col("target").isin(*ENDS)
+    e = e.filter(F.col("conditional") | missing).join(src, ["graph_id", "source"], "left").withColumn("step", F.coalesce("step", F.lit(-1)))
     e = e.withColumns({"test_key": F.nullif(F.regexp_extract("condition", _TEST, 1), F.lit("")), "test_value": F.nullif(F.regexp_extract("condition", _TEST, 2), F.lit(""))})
-    # What a router's conditional edges have in common.
-    r = e.filter("conditional").groupBy("graph_id", "source").agg(
-        F.count("*").alias("ways"), F.bool_and("target_ok").alias("all_ok"), F.count_distinct(F.when(F.col("target_ok"), F.col("target"))).alias("ok_targets"), F.min(F.when(F.col("target_ok"), F.col("target"))).alias("ok_target"),
-        F.collect_set(F.when(F.col("test_key").isNotNull(), F.struct("test_key", "test_value"))).alias("tests"), F.min_by(F.struct("test_key", "test_value"), F.when(F.col("target_ok"), F.col("target"))).alias("taken"),
-    )
-    e = e.join(r, ["graph_id", "source"], "left")
-    put = members(n, "outputs", "graph_id", "node_id", "superstep").filter("text is not null")
-    own = put.select("graph_id", F.col("node_id").alias("source"), F.col("key").alias("test_key"), F.col("text").alias("own"))
-    first = put.groupBy("graph_id", F.col("key").alias("test_key")).agg(F.min(F.struct("superstep", "node_id", "text")).alias("first"))
-    at = lambda shift, name: members(states, "state", "graph_id", "superstep").select("graph_id", (F.col("superstep") - shift).alias("step"), F.col("key").alias("test_key"), F.col("text").alias(name))
-    here = states.filter("coalesce(state, '{}') <> '{}'").select("graph_id", F.col("superstep").alias("step"), F.lit(True).alias("has_state")).distinct()
-    by = ["graph_id", "step", "test_key"]
-    tested = e.filter("conditional and test_key is not null").join(own, ["graph_id", "source", "test_key"], "left").join(first, ["graph_id", "test_key"], "left").join(here, ["graph_id", "step"], "left").join(at(0, "now"), by, "left").join(at(1, "then"), by, "left")
-    tested = tested.withColumns({"put_value": F.coalesce("own", F.when(F.col("first.superstep") <= F.col("step"), F.col("first.text"))), "state_value": F.when(F.col("has_state"), F.col("now")).otherwise(F.col("then"))})
-
-    def contradicts(value: str, kind: str) -> DataFrame:
-        sibling = (F.col("ways") > 1) & F.col("all_ok") & F.array_contains("tests", F.struct("test_key", F.col(value).alias("test_value")))
-        return tested.filter(F.col("target_ok") & F.col(value).isNotNull() & (F.col(value) != F.col("test_value")) & ~sibling).select("graph_id", F.lit(kind).alias("kind"), "source", "target")
-
-    # The way that was taken (of several, that of the least target) is confirmed by the router's state, its own output, or that of a node before it.
-    met = put.groupBy("graph_id", F.col("key").alias("test_key"), F.col("text").alias("test_value")).agg(F.min("superstep").alias("met"))
-    taken = tested.filter("target_ok and target = ok_target").join(met, ["graph_id", "test_key", "test_value"], "left")
-    sure = taken.filter((F.col("state_value") == F.col("test_value")) | (F.col("own") == F.col("test_value")) | (F.col("met") <= F.col("step"))).select("graph_id", "source").distinct()
-    skipped = e.filter("conditional and ways >= 2 and target_status = 'skipped' and ok_target is not null").join(sure, ["graph_id", "source"], "left_anti")
+    # What a router's conditional edges have in common; an edge without a source is alone.
+    router = W.partitionBy("graph_id", "source")
+    named, ok_way = F.col("graph_id").isNotNull() & F.col("source").isNotNull(), F.when(F.col("conditional") & F.col("target_ok"), F.col("target"))
+    common = {
+        "ways": F.count_if(F.col("conditional")), "all_ok": F.bool_and(F.when(F.col("conditional"), F.col("target_ok"))), "ok_target": F.min(ok_way), "ok_last": F.max(ok_way),
+        "tests": F.collect_set(F.when(F.col("conditional") & F.col("test_key").isNotNull(), F.struct("test_key", "test_value"))),
+    }
+    e = e.withColumns({k: F.when(named, c.over(router)) for k, c in common.items()}).withColumn("ways", F.coalesce("ways", F.lit(0)))
 
-    other_ok = F.col("conditional") & ((F.col("ok_targets") > 1) | (F.col("ok_target") != F.col("target")))
+    other_ok = F.col("conditional") & ((F.col("ok_target") != F.col("target")) | (F.col("ok_last") != F.col("target")))
     cond = F.translate(F.lower("condition"), "_", " ")
     name = F.lower(F.when(F.col("title") == "", F.col("target")).otherwise(F.col("title")))
     says = lambda words, c: _or(c.contains(w) for w in words)
@@ -136,21 +136,49 @@ def route_issues(nodes: DataFrame, edges: DataFrame, states: DataFrame, runs: Da
     strange = F.col("target_ok") & (F.col("title") != "") & (F.length(value) >= 3) & ~F.lower(value).isin(*ANY_VALUE) & unlike
     is_known = F.col("conditional") & F.col("known") & (F.col("condition") != "")
     kinds = {
-        "missing_target": (F.col("target") != "") & ~F.col("known") & ~F.col("target").isin(*ENDS) & F.coalesce("source_ok", F.lit(False)) & ~F.coalesce(other_ok, F.lit(False)),
+        "missing_target": missing & F.coalesce("source_ok", F.lit(False)) & ~F.coalesce(other_ok, F.lit(False)),
         "condition_mismatch": is_known & mismatch, "condition_title_mismatch": is_known & typed, "condition_value_target_mismatch": F.col("conditional") & strange,
     }
-    of_edges = e.select("graph_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in kinds.items()]))).alias("kind"), "source", "target")
+    e = e.withColumn("kinds", _those(kinds)).withColumn("left_out", F.expr("coalesce(conditional and ways >= 2 and target_status = 'skipped' and ok_target is not null, false)")).filter("size(kinds) > 0 or left_out or conditional and test_key is not null")
+    e = cut(e.select("graph_id", "source", "target", "kinds", "left_out", "conditional", "step", "test_key", "test_value", "target_ok", "ways", "all_ok", "ok_target", "tests"))
+    of_edges = e.select("graph_id", F.explode("kinds").alias("kind"), "source", "target")
+
+    # Tests and what nodes put out meet by key, so that neither is joined with the other three times.
+    put = members(n, "outputs", "graph_id", "node_id", "superstep").filter("text is not null and graph_id is not null")
+    put = put.select("graph_id", F.col("node_id").alias("source"), F.col("superstep").alias("step"), F.col("key").alias("test_key"), F.col("text").alias("test_value"), F.lit(True).alias("put"))
+    t = e.filter("conditional and test_key is not null").drop("kinds", "left_out", "conditional").withColumn("put", F.lit(False)).unionByName(put, allowMissingColumns=True)
+    t = t.withColumn("first", F.min(F.when(F.col("put"), F.struct("step", "source", "test_value"))).over(W.partitionBy("graph_id", "test_key")))
+    t = t.withColumn("own", F.max(F.when(F.col("put") & F.col("source").isNotNull(), F.col("test_value"))).over(W.partitionBy("graph_id", "test_key", "source")))
+    t = t.withColumn("met", F.min(F.when(F.col("put"), F.col("step"))).over(W.partitionBy("graph_id", "test_key", "test_value"))).filter("not put")
+    t = t.withColumn("put_value", F.coalesce("own", F.when(F.col("first.step") <= F.col("step"), F.col("first.test_value")))).drop("first", "put")
+    s = cut(members(states.withColumn("full", F.expr("coalesce(state, '{}') <> '{}'")), "state", "graph_id", "superstep", "full", all_rows=True))
+    at = lambda shift, name: s.filter("key is not null").select("graph_id", (F.col("superstep") - shift).alias("step"), F.col("key").alias("test_key"), F.col("text").alias(name))
+    here = s.filter("full").select("graph_id", F.col("superstep").alias("step"), F.lit(True).alias("has_state")).distinct()
+    by = ["graph_id", "step", "test_key"]
+    tested = t.join(here, ["graph_id", "step"], "left").join(at(0, "now"), by, "left").join(at(1, "then"), by, "left").withColumn("state_value", F.when(F.col("has_state"), F.col("now")).otherwise(F.col("then")))
+
+    def contradicts(value: str) -> Column:
+        sibling = (F.col("ways") > 1) & F.col("all_ok") & F.array_contains("tests", F.struct("test_key", F.col(value).alias("test_value")))
+        return F.col("target_ok") & F.col(value).isNotNull() & (F.col(value) != F.col("test_value")) & ~sibling
 
-    leads, led = edges.select("graph_id", F.col("source").alias("node_id")).distinct(), edges.select("graph_id", F.col("target").alias("node_id")).distinct()
-    span = n.groupBy("graph_id").agg(F.max("superstep").alias("last"), F.min(F.struct("superstep", "node_id")).alias("entry")).join(runs, "graph_id", "left")
-    m = n.drop("status").join(span, "graph_id")
+    # The way that was taken (of several, that of the least target) is confirmed by the router's state, its own output, or that of a node before it.
+    confirmed = F.col("target_ok") & (F.col("target") == F.col("ok_target")) & ((F.col("state_value") == F.col("test_value")) | (F.col("own") == F.col("test_value")) | (F.col("met") <= F.col("step")))
+    against = _those({"state_condition_contradiction": contradicts("state_value"), "output_condition_contradiction": contradicts("put_value")})
+    tested = tested.withColumns({"kinds": against, "sure": F.coalesce(confirmed, F.lit(False))}).filter("size(kinds) > 0 or sure")
+    tested = cut(tested.select("graph_id", "source", "target", "kinds", "sure"))
+    of_tests = tested.select("graph_id", F.explode("kinds").alias("kind"), "source", "target")
+    skipped = e.filter("left_out").join(tested.filter("sure").select("graph_id", "source").distinct(), ["graph_id", "source"], "left_anti").select("graph_id", F.lit("skipped_conditional").alias("kind"), "source", "target")
+
+    ways = edges.select("graph_id", F.explode(F.array(F.struct(F.col("source").alias("node_id"), F.lit(True).alias("leads")), F.struct(F.col("target").alias("node_id"), F.lit(False).alias("leads")))).alias("x")).select("graph_id", "x.*")
+    ways = ways.groupBy("graph_id", "node_id").agg(F.bool_or("leads").alias("leads"), F.bool_or(~F.col("leads")).alias("led"))
+    graph = W.partitionBy("graph_id")
+    m = n.filter("graph_id is not null").select("graph_id", "node_id", "node_type", "title", "superstep").withColumns({"last": F.max("superstep").over(graph), "entry": F.min(F.struct("superstep", "node_id")).over(graph)})
+    m = m.join(runs, "graph_id", "left").join(ways, ["graph_id", "node_id"], "left")
     over = F.coalesce((F.col("status") == "completed") & (F.col("superstep") >= F.col("last")), F.lit(False))
     ends = F.col("node_type").isin(*ENDS) | F.lower("title").isin(*ENDS) | F.col("node_id").isin(*ENDS)
-    dead = m.filter(~over & ~ends).join(leads, ["graph_id", "node_id"], "left_anti").select("graph_id", F.lit("dead_end").alias("kind"), F.col("node_id").alias("source"))
-    lost = m.filter(F.col("node_id") != F.col("entry.node_id")).join(led, ["graph_id", "node_id"], "left_anti").select("graph_id", F.lit("unreachable").alias("kind"), F.col("node_id").alias("source"))
-    of_nodes = dead.unionByName(lost).withColumn("target", F.lit(None).cast("string"))
-    parts = [of_nodes, contradicts("state_value", "state_condition_contradiction"), contradicts("put_value", "output_condition_contradiction"), skipped.select("graph_id", F.lit("skipped_conditional").alias("kind"), "source", "target")]
-    return reduce(DataFrame.unionByName, parts, of_edges)
+    of_nodes = _those({"dead_end": ~over & ~ends & ~F.coalesce("leads", F.lit(False)), "unreachable": (F.col("node_id") != F.col("entry.node_id")) & ~F.coalesce("led", F.lit(False))})
+    of_nodes = m.select("graph_id", F.explode(of_nodes).alias("kind"), F.col("node_id").alias("source"), F.lit(None).cast("string").alias("target"))
+    return reduce(DataFrame.unionByName, [of_nodes, of_tests, skipped], of_edges)
 
 
 def route_findings(issues: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -228,11 +256,11 @@ _ROUTE = _ROUTE.replace(f"NOT {ENDS!r}.list_contains(target)", f"target NOT IN {
 
 @query("m9_route_issues", f"{_ROUTE} SELECT * FROM i")
 def m9_issues(spark, d) -> DataFrame:
-    g = graph_runs(spark, d)
+    g = graph_runs(spark, d, cut)
     return route_issues(g["nodes"], g["edges"], g["states"], g["runs"])
 
 
 @query("m9_edge_misroute", _finding_sql(_ROUTE, f"WHEN {_has('missing_target', 'state_condition_contradiction', 'output_condition_contradiction')} THEN least(0.95e0, 0.8e0 + issues * 0.05e0) WHEN {_has('condition_value_target_mismatch')} THEN least(0.92e0, 0.7e0 + issues * 0.08e0) WHEN {_has('condition_title_mismatch', 'skipped_conditional')} THEN least(0.9e0, 0.65e0 + issues * 0.08e0) ELSE least(0.9e0, 0.6e0 + issues * 0.1e0)", f"WHEN {_has('missing_target', 'state_condition_contradiction', 'output_condition_contradiction')} THEN 'severe' WHEN {_has('dead_end', 'condition_title_mismatch', 'condition_value_target_mismatch')} THEN 'moderate' ELSE 'minor'"))
 def m9(spark, d) -> DataFrame:
-    g = graph_runs(spark, d)
+    g = graph_runs(spark, d, cut)
     return route_findings(route_issues(g["nodes"], g["edges"], g["states"], g["runs"]), g["nodes"])

@@ -261,9 +261,13 @@ def _graph_sql(quote) -> dict[str, str]:
     }
 
 
-def graph_runs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Graph executions, one a user: nodes, edges, states and runs, each as a frame; an event is a node that leads to the next ones."""
+def graph_runs(spark: SparkSession, sf_dir: str, written=lambda df: df) -> dict[str, DataFrame]:
+    """Graph executions, one a user: nodes, edges, states and runs, each as a frame; an event is a node that leads to the next ones.
+
+    ``written`` may store the rows in order that all of them are made from.
+    """
     rows = spark.sql(_GRAPH_ROWS.replace("TRY_CAST", "try_cast").replace("FROM events", "FROM {events}"), events=read(spark, sf_dir, "events"))
+    rows = written(rows)
     return {name.removeprefix("graph_"): spark.sql(q.replace("{", "{{").replace("}", "}}").replace("graph_rows", "{rows}"), rows=rows) for name, q in _graph_sql(lambda x: x).items()}
 
 

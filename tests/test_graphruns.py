@@ -74,6 +74,22 @@ def test_contradictions_and_skipped_ways(spark):
     assert routes(spark, [node("z", 0, writes='{"r":"yes"}'), *made("{}")], [("z", "a", "direct", ""), *edges]) == []
 
 
+def test_routes_are_read_from_few_passes(spark):
+    """Nodes, edges, tests and states are written once; the issues read them without the windows of the adapter."""
+    from spanforge.plans.catalog import QUERIES
+
+    plan = QUERIES["m9_route_issues"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and plan.count("Window [") <= 1 and plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") <= 3
+
+
+def test_edges_without_source_and_states_without_members(spark):
+    edges = [(None, "b", "conditional", "r == 'yes'"), ("a", "b", "conditional", "r == 'yes'"), ("a", "end", "direct", ""), ("b", "end", "direct", "")]
+    nodes = [node("a", 1, kind="router"), node("b", 2, kind="router"), END]
+    assert routes(spark, nodes, edges, [(2, '{"r":"no"}')]) == [("state_condition_contradiction", "a", "b")]
+    assert routes(spark, nodes, edges, [(1, "[1]"), (2, '{"r":"no"}')]) == []
+    assert routes(spark, nodes, edges, [(0, '{"r":"no"}'), (1, "{}")]) == [("state_condition_contradiction", None, "b")]
+
+
 def test_findings(spark):
     n = spark.createDataFrame([node("a", 1), node("b", 1, "failed")], NODE)
     assert [tuple(r) for r in x.sync_findings(x.sync_issues(n), n).collect()] == [(1, 2, "failed_parallel,missing_join", "severe", 0.8)]
