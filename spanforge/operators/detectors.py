@@ -25,53 +25,67 @@ BOUNCES, ROUND_TRIPS, HANDLERS, STALE = 2, 2, 3, 0.7
 #: Weights of failure categories; input tokens of small calls and of complex tasks, and tools of these.
 WEIGHTS = {"discovery": 20, "schema": 30, "auth": 40, "connection": 25}
 SMALL_CALL, COMPLEX_TOKENS, COMPLEX_TOOLS, COMPLEX_TURNS = 200, 5000, 5, 3
+#: Spans that a task sorts at a time.
+ROWS = 100_000
 
 _ORDER = ("us", "span_id")
 
 
+def dealt(a: DataFrame) -> DataFrame:
+    """Spans dealt by trace to as many tasks as their number asks for, with what the windows need of names, errors and texts in their place."""
+    parts = max(a.sparkSession.sparkContext.defaultParallelism, -(-a.count() // ROWS))
+    a = a.repartition(parts, "trace_id")
+    bad, tool, llm, tier = F.col("status") == "error", F.col("kind") == "tool", F.col("kind") == "llm", R.model_tier(F.col("model"))
+    weight = reduce(Column.__add__, [F.when(F.col("error").rlike(R.FAILURES[c]), w).otherwise(0) for c, w in WEIGHTS.items()])
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return a.select(
+        "trace_id", "span_id", "us", "name", "kind", "value", "tokens", "source", "target", F.when(F.col("kind") == "handoff", F.col("content")).alias("content"), yes(bad).alias("is_bad"), yes(bad & F.col("name").isin("Read", "Glob", "Grep") & F.lower("error").rlike("not found|no such file")).alias("is_file"),
+        F.when(tool & bad, weight).otherwise(0).alias("weight"), F.when(llm, R.context_window(F.coalesce("model", F.lit("")))).alias("window"), yes(llm & (tier == "expensive")).alias("is_dear"), yes(llm & (tier == "cheap")).alias("is_cheap"),
+        yes((F.col("kind") == "user_input") | F.lower("name").rlike("approval|confirm|authorize|consent")).alias("approves"), yes(tool & R.risk(F.concat_ws(" ", "name", "content")).isNotNull()).alias("is_risk"),
+    )
+
+
 def marked(a: DataFrame) -> DataFrame:
-    """Spans with what their neighbours tell."""
+    """Spans with what their neighbours tell. Windows in one order follow each other, so that a task sorts its spans three times."""
     whole, t, tk = W.partitionBy("trace_id"), W.partitionBy("trace_id").orderBy(*_ORDER), W.partitionBy("trace_id", "kind").orderBy(*_ORDER)
     so_far = lambda w: w.rowsBetween(W.unboundedPreceding, 0)
     tool = F.col("kind") == "tool"
-    a = a.repartition("trace_id").withColumns({"seq": F.row_number().over(t), "n_all": F.count("*").over(whole), "tseq": F.row_number().over(tk), "before": F.lag("value").over(t), "before2": F.lag("value", 2).over(t), "pname": F.lag("name").over(tk)})
+    approved = F.coalesce(F.max(F.col("approves").cast("int")).over(t.rowsBetween(-LOOKBACK, -1)), F.lit(0)) == 1
+    a = dealt(a).withColumns({"seq": F.row_number().over(t), "before": F.lag("value").over(t), "before2": F.lag("value", 2).over(t), "risky": (F.col("is_risk") & ~approved).cast("int")}).drop("approves", "is_risk")
+    a = a.withColumns({"rk": F.sum("risky").over(so_far(t)), "apart": F.coalesce(F.col("us") - F.last(F.when(F.col("risky") == 1, F.col("us")), ignorenulls=True).over(t.rowsBetween(W.unboundedPreceding, -1)) > BATCH_US, F.lit(True))})
+    a = a.withColumn("batch", F.when(F.col("risky") == 1, F.col("rk") - F.max(F.when((F.col("risky") == 1) & F.col("apart"), F.col("rk"))).over(so_far(t)) + 1)).drop("rk", "apart")
+    a = a.withColumns({"n_all": F.count("*").over(whole), "best_seq": F.when(F.col("value") == F.min("value").over(whole), F.col("seq"))})
+    late = F.col("seq") > F.col("n_all") - LAST
+    a = a.withColumn("late", late).withColumn("scale", F.max(F.when(late, F.abs("value"))).over(whole))
+    a = a.withColumns({"tseq": F.row_number().over(tk), "pname": F.lag("name").over(tk)})
     a = a.withColumns({f"c{p}": (tool & (F.col("tseq") > p) & (F.col("tseq") <= p * REPEATS) & (F.lag("name", p).over(tk) == F.col("name"))).cast("int") for p in CYCLES})
     # A run, and a stretch of changes, is as long as the way back to where it began.
     a = a.withColumn("run", F.col("tseq") - F.max(F.when(F.coalesce(F.col("pname") != F.col("name"), F.lit(True)), F.col("tseq"))).over(so_far(tk)) + 1)
     a = a.withColumn("route", F.when(F.col("kind") == "handoff", F.col("target")).when(F.col("kind") == "agent", F.col("name")))
     a = a.withColumn("proute", F.lag("route").over(tk))
     a = a.withColumn("streak", F.when(F.col("route").isNotNull(), F.col("tseq") - F.max(F.when(F.coalesce(F.col("proute") == F.col("route"), F.lit(True)), F.col("tseq"))).over(so_far(tk))))
-    approves = (F.col("kind") == "user_input") | F.lower("name").rlike("approval|confirm|authorize|consent")
-    approved = F.coalesce(F.max(approves.cast("int")).over(t.rowsBetween(-LOOKBACK, -1)), F.lit(0)) == 1
-    a = a.withColumn("risky", (tool & R.risk(F.concat_ws(" ", "name", "content")).isNotNull() & ~approved).cast("int"))
-    tr = W.partitionBy("trace_id", "risky").orderBy(*_ORDER)
-    a = a.withColumns({"rk": F.row_number().over(tr), "apart": F.coalesce(F.col("us") - F.lag("us").over(tr) > BATCH_US, F.lit(True))})
-    a = a.withColumn("batch", F.when(F.col("risky") == 1, F.col("rk") - F.max(F.when(F.col("apart"), F.col("rk"))).over(so_far(tr)) + 1))
     pair = W.partitionBy("trace_id", "kind", F.least("source", "target"), F.greatest("source", "target")).orderBy(*_ORDER)
-    a = a.withColumn("pcontent", F.when(F.col("kind") == "handoff", F.lag("content").over(pair)))
-    late = F.col("seq") > F.col("n_all") - LAST
-    return a.withColumn("late", late).withColumn("scale", F.max(F.when(late, F.abs("value"))).over(whole))
+    return a.withColumn("pcontent", F.when(F.col("kind") == "handoff", F.lag("content").over(pair)))
 
 
 def features(a: DataFrame) -> DataFrame:
     """One row a trace."""
     m = marked(a)
-    bad, tool, llm = F.col("status") == "error", F.col("kind") == "tool", F.col("kind") == "llm"
-    error = F.lower("error")
-    weight = reduce(Column.__add__, [F.when(F.col("error").rlike(R.FAILURES[c]), w).otherwise(0) for c, w in WEIGHTS.items()])
-    tier = R.model_tier(F.col("model"))
+    tool, llm = F.col("kind") == "tool", F.col("kind") == "llm"
     gain = (F.col("before") - F.col("value")) / F.when(F.col("scale") == 0, 1.0).otherwise(F.col("scale"))
     step = F.col("late") & (F.col("seq") > F.col("n_all") - LAST + 1) & F.col("before").isNotNull()
     turn = (F.col("value") - F.col("before")) * (F.col("before") - F.col("before2")) < 0
     late_turn = F.col("late") & (F.col("seq") > F.col("n_all") - LAST + 2) & turn
     n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int"))
+    at = lambda seq: F.max(F.when(F.col("seq") == seq, F.col("value")))
+    # No structs or texts among the values, so that they are added up in a hash table without a sort.
     g = m.groupBy("trace_id", "kind", "name", "source", "target", "proute", "route").agg(
-        F.count("*").alias("n"), n(bad).alias("bad"), n(bad & F.col("name").isin("Read", "Glob", "Grep") & error.rlike("not found|no such file")).alias("files"), F.max("run").alias("run"), *[F.sum(f"c{p}").alias(f"c{p}") for p in CYCLES],
-        F.sum("tokens").alias("tokens"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.sum("risky").alias("risky"), F.max("batch").alias("batch"), F.sum(F.when(tool & bad, weight).otherwise(0)).alias("mcp"),
-        n(llm & (tier == "expensive")).alias("dear"), n(llm & (tier == "expensive") & (F.col("tokens") > 0) & (F.col("tokens") < SMALL_CALL)).alias("dear_small"), n(llm & (tier == "cheap")).alias("cheap"),
-        F.max("streak").alias("streak"), n(jaccard(words(F.col("content")), words(F.col("pcontent"))) >= STALE).alias("stale"), F.min(F.struct("value", "seq")).alias("best"), F.min(F.struct("seq", "value")).alias("first"), F.max(F.struct("seq", "value")).alias("last"),
-        F.min(F.when(F.col("late"), F.struct("seq", "value"))).alias("late_first"), n(turn).alias("turns"), n(late_turn).alias("late_turns"), n(step & (F.col("value") > F.col("before"))).alias("worse"), F.sum(F.when(step, gain)).alias("gain"), n(step & (gain < GAIN)).alias("stalled"), F.max("scale").alias("scale"),
-        F.min(F.when(llm, F.struct("seq", "model"))).alias("model"),
+        F.count("*").alias("n"), n(F.col("is_bad")).alias("bad"), n(F.col("is_file")).alias("files"), F.max("run").alias("run"), *[F.sum(f"c{p}").alias(f"c{p}") for p in CYCLES],
+        F.sum("tokens").alias("tokens"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.sum("risky").alias("risky"), F.max("batch").alias("batch"), F.sum("weight").alias("mcp"),
+        n(F.col("is_dear")).alias("dear"), n(F.col("is_dear") & (F.col("tokens") > 0) & (F.col("tokens") < SMALL_CALL)).alias("dear_small"), n(F.col("is_cheap")).alias("cheap"),
+        F.max("streak").alias("streak"), n(jaccard(words(F.col("content")), words(F.col("pcontent"))) >= STALE).alias("stale"), F.min("value").alias("best"), F.min("best_seq").alias("best_seq"), at(F.lit(1)).alias("first_value"), at(F.col("n_all")).alias("last_value"),
+        at(F.greatest(F.col("n_all") - LAST + 1, F.lit(1))).alias("late_value"), n(turn).alias("turns"), n(late_turn).alias("late_turns"), n(step & (F.col("value") > F.col("before"))).alias("worse"), F.sum(F.when(step, gain)).alias("gain"), n(step & (gain < GAIN)).alias("stalled"), F.max("scale").alias("scale"),
+        F.max(F.when(llm & (F.col("tseq") == 1), F.col("window"))).alias("window"),
     )
     ways = lambda a, b: W.partitionBy("trace_id", "kind", F.least(a, b), F.greatest(a, b))
     both = lambda a, b: F.least(F.sum(F.when(F.col(a) < F.col(b), F.col("n")).otherwise(0)).over(ways(a, b)), F.sum(F.when(F.col(a) > F.col(b), F.col("n")).otherwise(0)).over(ways(a, b)))
@@ -89,9 +103,9 @@ def features(a: DataFrame) -> DataFrame:
         F.sum("n").alias("n"), *[kind(k).alias(k) for k in ("tool", "llm", "agent", "message", "handoff", "user_input")], F.count_if(tool).alias("tool_names"), F.max(F.when(tool, F.col("run"))).alias("run"), *[F.sum(f"c{p}").alias(f"c{p}") for p in CYCLES],
         F.sum(F.when(tool & (F.col("n") >= 5), F.when(share > 0.5, 25).when(share > 0.3, 15).otherwise(0)).otherwise(0)).alias("repeats"), ((F.max("last_us") - F.min("first_us")) / 60e6).alias("minutes"),
         F.max(F.when(F.col("kind") == "agent", F.col("name_n"))).alias("most_turns"), F.min(F.when(F.col("kind") == "agent", F.col("name_n"))).alias("least_turns"), F.sum("files").alias("files"), F.sum(F.when(tool, F.col("bad")).otherwise(0)).alias("failed"),
-        F.sum("risky").alias("risky"), F.max("batch").alias("batch"), F.sum("tokens").alias("tokens"), F.min("model").getField("model").alias("model"), F.sum("mcp").alias("mcp"), F.sum("dear").alias("dear"), F.sum("dear_small").alias("dear_small"), F.sum("cheap").alias("cheap"),
+        F.sum("risky").alias("risky"), F.max("batch").alias("batch"), F.sum("tokens").alias("tokens"), F.max("window").alias("window"), F.sum("mcp").alias("mcp"), F.sum("dear").alias("dear"), F.sum("dear_small").alias("dear_small"), F.sum("cheap").alias("cheap"),
         F.sum(F.when(llm, F.col("tokens")).otherwise(0)).alias("llm_tokens"), *[f.alias(f"{k}_{c}") for k in ("handoff", "agent") for c, f in (("streak", routes(k, "streak")), ("bounced", routes(k, "bounced")))], F.max(F.when(stuck, F.col("trips"))).alias("stuck"), F.max("handlers").alias("handlers"),
-        F.min("best").alias("best"), F.min("first").getField("value").alias("first_value"), F.max("last").getField("value").alias("last_value"), F.min("late_first").getField("value").alias("late_value"), *[F.sum(c).alias(c) for c in ("turns", "late_turns", "worse", "gain", "stalled")], F.max("scale").alias("scale"),
+        F.min("best").alias("best"), F.min("best_seq").alias("best_seq"), *[F.max(c).alias(c) for c in ("first_value", "last_value", "late_value")], *[F.sum(c).alias(c) for c in ("turns", "late_turns", "worse", "gain", "stalled")], F.max("scale").alias("scale"),
     )
 
 
@@ -130,18 +144,18 @@ def approval_bypass() -> Column:
 
 def overflow() -> Column:
     """Tokens against the context window of the trace's first model. Shares of the system and of tools, and growth, are not judged."""
-    use = c("tokens") / R.context_window(F.coalesce("model", F.lit("")))
+    use = c("tokens") / F.coalesce("window", F.lit(R.WINDOWS["default"]))
     return F.when(use >= 0.95, 80).when(use >= 0.85, 60).when(use >= 0.5, 30).otherwise(0)
 
 
 def convergence() -> Column:
     """A metric to be made small: divergence before thrashing before plateau before regression; a trace that improves on the whole is spared."""
     n, steps = c("n"), F.greatest(F.least(c("n"), F.lit(LAST)) - 1, F.lit(1))
-    best, last, first, scale = c("best.value"), c("last_value"), c("first_value"), F.when(c("scale") == 0, 1.0).otherwise(c("scale"))
+    best, last, first, scale = c("best"), c("last_value"), c("first_value"), F.when(c("scale") == 0, 1.0).otherwise(c("scale"))
     improved = (first - last) / F.greatest(F.abs(first), F.abs(last), F.lit(1e-10))
     smooth = c("turns") / F.greatest(n - 2, F.lit(1)) < 0.6
     fell = F.abs(last - best) / F.when(best == 0, 1.0).otherwise(F.abs(best))
-    regression = F.when((n - c("best.seq") > 0) & (last > best * (1 + TOLERANCE)), F.when(fell > 0.1, 85).when(fell > 0.05, 65).when(fell > TOLERANCE, 45).otherwise(25))
+    regression = F.when((n - c("best_seq") > 0) & (last > best * (1 + TOLERANCE)), F.when(fell > 0.1, 85).when(fell > 0.05, 65).when(fell > TOLERANCE, 45).otherwise(25))
     stall = c("stalled") / steps
     plateau = F.when(c("gain") / steps < GAIN, F.when(stall >= 0.9, 65).when(stall >= 0.7, 45).otherwise(25))
     turned = c("late_turns") / F.greatest(steps - 1, F.lit(1))

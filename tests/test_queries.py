@@ -66,3 +66,14 @@ def test_findings_that_are_read_three_times_are_found_once(spark):
     """The pairs of detectors and the raised confidences read findings that are written, not the windows over spans again."""
     plan = QUERIES["l45_entangled"](spark, D)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "RDD" in plan
+
+
+def test_spans_are_dealt_by_their_number(spark, monkeypatch):
+    """A task of the detectors sorts a bounded number of spans however many there are, and adds them up without a sort."""
+    from spanforge.operators import detectors
+    from spanforge.sources.adapters import agent_spans
+
+    a = agent_spans(spark, D)
+    monkeypatch.setattr(detectors, "ROWS", 500)
+    assert detectors.dealt(a).rdd.getNumPartitions() == -(-a.count() // 500)
+    assert "SortAggregate" not in detectors.detect_all(a)._jdf.queryExecution().executedPlan().toString()
