@@ -122,3 +122,21 @@ def test_segments_of_easy_pairs(spark):
         (0.0, "completely_different", [("insert", "", "xy", 0, 2)], 2, 0), (0.0, "completely_different", [("delete", "xy", "", 0, 2)], 0, 2), (1.0, "identical", [], 0, 0), (1.0, "identical", [], 0, 0),
         (0.0, "completely_different", [("insert", "", "z", 0, 1)], 1, 0),
     ]
+
+
+def test_objects_become_rows_once(spark):
+    """Eight levels are opened within a row: members are exploded once, not at each level; deeper objects are compared whole."""
+    deep = lambda v, n: {"k": deep(v, n - 1)} if n else v
+    df = spark.createDataFrame([(1, json.dumps(deep(1, 7) | {"e": {}}), json.dumps(deep(2, 7) | {"e": {}})), (2, json.dumps(deep(1, 10)), json.dumps(deep(2, 10))), (3, "{}", "no json"), (4, "[1]", '{"a":1}')], "k int, original string, replay string")
+    c = x.compare_objects(df, "k")
+    assert c._jdf.queryExecution().executedPlan().toString().count("Generate explode") == 1
+    got = sorted((r.k, r.path, r.original, r.replay) for r in c.collect())
+    assert got == [(1, ".".join("k" * 7), "1", "2"), (2, ".".join("k" * 8), '{"k":{"k":1}}', '{"k":{"k":2}}'), (4, "a", "", "1")]
+
+
+def test_counted_segments_equal_segments(spark):
+    rng = random.Random(11)
+    pairs = [("".join(rng.choice("abc ") for _ in range(rng.randrange(0, 60))), "".join(rng.choice("abc ") for _ in range(rng.randrange(0, 60)))) for _ in range(200)]
+    df = spark.createDataFrame([*pairs, *pairs, (None, "a"), ("a", None), (None, None)], "original string, replay string")
+    whole, counts = x.compare_texts(df).collect(), x.compare_texts(df, counts=True).collect()
+    assert [(r.similarity, r.difference, len(r.segments)) for r in whole] == [(r.similarity, r.difference, r.n_segments) for r in counts]
