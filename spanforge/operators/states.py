@@ -1,11 +1,12 @@
 """Faults between successive states of a trace (trace_id, step, ts, state): JSON texts compared by path with the state before.
 
-A state is parsed once and exploded to a row for each path, with kind, size, number and text; windows by path hold
-each row against the same path of the state before, so that no states are joined. All of it rests on one exchange by
-trace. A state that is no JSON object counts as an empty one. Objects inside objects are opened DEPTH levels deep;
-deeper ones are compared whole.
+A state is parsed once into a map of its paths, with kind, size, number and text; a window brings it the map of the
+state before, and both meet by path within a row, so that no paths are sorted, joined or grouped. All of it rests on
+one exchange by trace. A state that is no JSON object counts as an empty one. Objects inside objects are opened DEPTH
+levels deep; deeper ones are compared whole.
 """
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,8 @@ from ..plans.registry import query
 from ..sources.adapters import NODES, STATES, nodes, states
 
 DEPTH = 4
+#: States that a task sorts at a time.
+ROWS = 50_000
 #: Graph states. Names of identities and counters, prefixes of harmless new names, words of errors, factors.
 GRAPH_IDENTITY = ("user_id", "session_id", "thread_id", "graph_id", "run_id", "conversation_id", "agent_id", "workflow_id", "trace_id")
 GRAPH_COUNTERS = ("step_count", "iteration_count", "turn_count", "message_count", "retry_count", "attempt_count", "total_steps", "superstep")
@@ -123,12 +126,80 @@ def field_rules(matches: str) -> str:
     return f"{both_rules(matches)}, {top_rules(matches)}"
 
 
-def _leaves(path: str, value: str, depth: int, level: int = 1) -> str:
-    """The leaves inside an object, by path: objects inside objects are opened ``depth`` levels deep."""
-    key, inner = f"concat_ws('.', {path}, e{level}.key)", f"e{level}.value"
-    leaf = f"array(struct(1 as lvl, {key} as path, {inner} as val, true as leaf))"
-    each = leaf if level == depth else f"if(coalesce(schema_of_variant({inner}) like 'OBJECT<_%', false), {_leaves(key, inner, depth, level + 1)}, {leaf})"
-    return f"flatten(transform(map_entries(try_variant_get({value}, '$', 'map<string,variant>')), e{level} -> {each}))"
+#: Columns of a path in two successive states, which the rules speak of.
+PATH = ("lvl", "path", "low", "kind", "p_kind", "size", "p_size", "num", "p_num", "txt", "p_txt", "leaf", "p_leaf", "repeats", "lost_keys", "same")
+_FIELD = re.compile(rf"'[^']*'|\b({'|'.join((*PATH, 'shared_words', 'all_words', 'fast'))})\b(?!\()")
+
+
+def _of(row: str, rule: str) -> str:
+    """A rule on columns as one on the fields of a struct; words in quotes stay."""
+    return _FIELD.sub(lambda m: f"{row}.{m[1]}" if m[1] else m[0], rule.replace("lower(path)", "low"))
+
+
+def _struct(row: str, names, **more: str) -> str:
+    """A struct of some fields of another, and of more."""
+    return "struct(" + ", ".join([f"{row}.{n} AS {n}" for n in names] + [f"{e} AS {n}" for n, e in more.items()]) + ")"
+
+
+def _found(issues) -> str:
+    return f"concat_ws(';', {', '.join(_listed(issues, 'regexp_like', 'TRUE'))})"
+
+
+def _both_found() -> str:
+    """What ``both_rules`` finds, as one text; of rules on a kind only those of the row's kind are read."""
+    kinds = (_N, _S, _L, _D, "kind = 'bool' AND p_kind = 'bool'")
+    by_kind = " ".join(f"WHEN {k} THEN {_found([x for x in FIELD_ISSUES if x[2].startswith(k)])}" for k in kinds)
+    return f"CASE WHEN kind IS NULL OR p_kind IS NULL OR coalesce(same, TRUE) THEN '' {by_kind} ELSE {_found([x for x in FIELD_ISSUES if not x[2].startswith(kinds)])} END"
+
+
+def _top_found() -> str:
+    """What ``top_rules`` finds, as one text; rules on one name are read where a path has such a name."""
+    named = [x for x in TOP_ISSUES if x[2].startswith("path = ")]
+    has_name = _in("path", [x[2].split("'")[1] for x in named])
+    return f"CASE WHEN lvl <> 0 OR kind IS NULL THEN '' ELSE concat_ws(';', nullif({_found([x for x in TOP_ISSUES if x not in named])}, ''), CASE WHEN {has_name} THEN nullif({_found(named)}, '') END) END"
+
+
+def _members(value: str) -> str:
+    """The members of an object; null for another value."""
+    return f"try_variant_get({value}, '$', 'map<string,variant>')"
+
+
+def _leaves(path: str, at: str, value: str, depth: int, level: int = 1) -> str:
+    """The leaves inside an object, by path: objects inside objects are opened ``depth`` levels deep. ``at`` tells paths apart whose names hold dots."""
+    e = f"e{level}"
+    key, place, inner = f"concat_ws('.', {path}, {e}.key)", f"concat({at}, length({e}.key), ':', {e}.key)", f"{e}.value"
+    leaf = f"array(struct(1 as lvl, {place} as at, {key} as path, true as leaf, {inner} as val))"
+    each = leaf if level == depth else f"if(coalesce(size({_members(inner)}) > 0, false), {_leaves(key, place, inner, depth, level + 1)}, {leaf})"
+    return f"flatten(transform(map_entries({_members(value)}), {e} -> {each}))"
+
+
+def _paths(depth: int) -> str:
+    """The places of a state ``v``, each with what is compared of its value."""
+    one = "struct({0} as lvl, {1} as at, e.key as path, {2} as leaf, e.value as val)".format
+    top, inside = "concat('0', e.key)", "concat('1', length(e.key), ':', e.key)"
+    closed = f"array({one(0, top, 'true')})"
+    each = f"if(coalesce(size({_members('e.value')}) > 0, false), concat(array({one(0, top, 'false')}), {_leaves('e.key', inside, 'e.value', depth)}), if(contains(e.key, '.'), array({one(0, top, 'true')}, {one(1, inside, 'true')}), {closed}))" if depth else closed
+    place = ("lvl", "at", "path", "leaf")
+    kind = """case when x.t = 'STRING' then 'str' when x.t = 'BIGINT' then 'int' when x.t = 'BOOLEAN' then 'bool' when x.t = 'VOID' then 'null' when x.t = 'DOUBLE' then 'float' when startswith(x.t, 'ARRAY') then 'list'
+        when startswith(x.t, 'DECIMAL') then if(x.t rlike '^DECIMAL[(](19|[23][0-9]),0[)]$', 'int', 'float') else 'dict' end"""
+    rows = f"flatten(transform(map_entries({_members('v')}), e -> {each}))"
+    rows = f"transform({rows}, x -> {_struct('x', (*place, 'val'), t='schema_of_variant(x.val)')})"
+    rows = f"transform({rows}, x -> {_struct('x', (*place, 'val', 't'), kind=kind)})"
+    txt = "case x.kind when 'str' then try_variant_get(x.val, '$', 'string') when 'null' then 'null' when 'list' then to_json(x.val) when 'dict' then to_json(x.val) end"
+    num, keys, items = f"case when x.kind in {_ANY} then try_variant_get(x.val, '$', 'double') end", f"case when x.kind = 'dict' then map_keys({_members('x.val')}) end", "case when x.kind = 'list' then try_variant_get(x.val, '$', 'array<variant>') end"
+    rows = f"transform({rows}, x -> {_struct('x', (*place, 't', 'kind'), txt=txt, num=num, keys=keys, items=items)})"
+    # Items of a list that begins with an object: the first name that all its objects have tells them apart.
+    ids = lambda c: f"transform(o, i -> to_json(try_variant_get(i, '$.{c}', 'variant')))"
+    told = " ".join(f"when forall({ids(c)}, i -> i is not null) then size(array_distinct({ids(c)})) < size(o)" for c in ("id", "item_id", "key", "name"))
+    repeats = f"coalesce(x.kind = 'list' and schema_of_variant(get(x.items, 0)) like 'OBJECT%' and exists(array(filter(x.items, i -> schema_of_variant(i) like 'OBJECT%')), o -> case {told} else false end), false)"
+    size = "case x.kind when 'str' then length(x.txt) when 'list' then size(x.items) when 'dict' then size(x.keys) else 0 end"
+    return f"transform({rows}, x -> struct(x.at, {_struct('x', ('lvl', 'path', 'leaf', 'kind', 'txt', 'num', 'keys'), low='lower(x.path)', size=size, repeats=repeats)} as x))"
+
+
+def _mapped(s: DataFrame, depth: int) -> DataFrame:
+    """States with ``f``, the map of their paths by place, and ``nested``: whether an object in them is opened."""
+    f = F.map_from_entries(F.coalesce(F.expr(_paths(depth)), F.array()))
+    return s.withColumn("v", F.try_parse_json("state")).withColumn("f", f).drop("state", "v").withColumn("nested", F.exists(F.map_values("f"), lambda x: ~x["leaf"]))
 
 
 def fields(s: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -137,64 +208,34 @@ def fields(s: DataFrame, depth: int = DEPTH) -> DataFrame:
     A top-level value that is no object to open is a ``leaf``, and stands for both levels in one row; one whose name
     holds a dot has two, since leaves inside an object may have the same path.
     """
-    seq = W.partitionBy("trace_id").orderBy("step")
-    s = s.select("trace_id", "step", "ts", F.try_parse_json("state").alias("v")).withColumn("m", F.expr("try_variant_get(v, '$', 'map<string,variant>')"))
-    opened = "coalesce(exists(map_values(m), x -> schema_of_variant(x) LIKE 'OBJECT<_%>'), false)" if depth else "false"
-    s = s.withColumns({"nested": F.expr(opened), "n_keys": F.coalesce(F.size("m"), F.lit(0))}).withColumn("n_keys", F.greatest("n_keys", F.lit(0))).drop("m")
-    s = s.withColumns({"ord": F.row_number().over(seq), "more": F.coalesce(F.lead(F.lit(True)).over(seq), F.lit(False)), "p_ts": F.lag("ts").over(seq), "next_step": F.lead("step").over(seq), "next_ts": F.lead("ts").over(seq)})
-    s = s.withColumns({"p_nested": F.coalesce(F.lag("nested").over(seq), F.lit(False)), "next_nested": F.coalesce(F.lead("nested").over(seq), F.lit(False)), "p_keys": F.coalesce(F.lag("n_keys").over(seq), F.lit(0))})
-    spark = s.sparkSession
-    f = s.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).filter("key is not null").drop("pos", "v").withColumnsRenamed({"key": "path", "value": "val"})
-    if depth:
-        row = "struct({0} as lvl, path, val, {1} as leaf)".format
-        f = f.withColumn("x", F.expr(f"case when nested and schema_of_variant(val) like 'OBJECT<_%' then concat(array({row(0, 'false')}), {_leaves('path', 'val', depth)}) when contains(path, '.') then array({row(0, 'true')}, {row(1, 'true')}) else array({row(0, 'true')}) end"))
-        f = f.withColumn("x", F.explode("x")).withColumns({"lvl": F.col("x.lvl"), "path": F.col("x.path"), "val": F.col("x.val"), "leaf": F.col("x.leaf")}).drop("x")
-    else:
-        f = f.withColumns({"lvl": F.lit(0), "leaf": F.lit(True)})
-    kind = F.expr("""case when t = 'STRING' then 'str' when t = 'BIGINT' then 'int' when t = 'BOOLEAN' then 'bool' when t = 'VOID' then 'null' when t = 'DOUBLE' then 'float' when startswith(t, 'ARRAY') then 'list'
-        when startswith(t, 'DECIMAL') then if(t rlike '^DECIMAL[(](19|[23][0-9]),0[)]$', 'int', 'float') else 'dict' end""")
-    f = f.withColumn("t", F.expr("schema_of_variant(val)")).withColumn("kind", kind).drop("t")
-    of = lambda kind_, e: F.expr(f"case when kind = '{kind_}' then {e} end")
-    f = f.withColumns({"txt": F.expr("if(kind = 'str', try_variant_get(val, '$', 'string'), to_json(val))"), "num": F.expr(f"case when kind in {_ANY} then try_variant_get(val, '$', 'double') end"), "keys": of("dict", "map_keys(try_variant_get(val, '$', 'map<string,variant>'))"), "items": of("list", "try_variant_get(val, '$', 'array<variant>')")})
-    f = f.withColumn("size", F.expr("case kind when 'str' then length(txt) when 'list' then size(items) when 'dict' then size(keys) else 0 end"))
-    # Items of a list that begins with an object: the first name that all its objects have tells them apart.
-    f = f.withColumn("objects", F.expr("case when schema_of_variant(get(items, 0)) like 'OBJECT%' then filter(items, x -> schema_of_variant(x) like 'OBJECT%') end"))
-    ids = lambda c: f"transform(objects, x -> to_json(try_variant_get(x, '$.{c}', 'variant')))"
-    told = " ".join(f"when forall({ids(c)}, x -> x is not null) then size(array_distinct({ids(c)})) < size(objects)" for c in ("id", "item_id", "key", "name"))
-    f = f.withColumn("repeats", F.expr(f"coalesce(case when objects is null then false {told} else false end, false)"))
-    return f.drop("objects", "items", "val")
+    return _mapped(s, depth).select("trace_id", "step", "ts", "nested", F.explode(F.map_values("f")).alias("x")).select("trace_id", "step", "ts", "nested", "x.*")
 
 
 def compared(s: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """A row for each path of two successive states: kind is null where it is gone, p_kind where it is new; ``either``: one of them has opened objects."""
-    f = fields(s, depth)
-    w = W.partitionBy("trace_id", "lvl", "path").orderBy("ord")
-    f = f.withColumns({"p": F.lag(F.struct("ord", "kind", "size", "num", "txt", "keys", "leaf")).over(w), "n": F.lead("ord").over(w)})
-    had = F.when(F.col("p.ord") == F.col("ord") - 1, F.col("p"))
-    cols = ["kind", "size", "num", "txt", "keys", "leaf", "repeats"]
-    nothing = [F.lit(None).cast(f.schema[c].dataType).alias(c) for c in cols]
-    of = lambda p: [p[c].alias(f"p_{c}") for c in cols[:6]]
-    here = F.struct("ord", "step", "ts", "p_ts", F.col("p_keys").alias("n_before"), (F.col("nested") | F.col("p_nested")).alias("either"), *cols, *of(had))
-    gone = F.struct((F.col("ord") + 1).alias("ord"), F.col("next_step").alias("step"), F.col("next_ts").alias("ts"), F.col("ts").alias("p_ts"), F.col("n_keys").alias("n_before"), (F.col("nested") | F.col("next_nested")).alias("either"), *nothing, *[F.col(c).alias(f"p_{c}") for c in cols[:6]])
-    is_gone = F.col("more") & (F.col("n").isNull() | (F.col("n") > F.col("ord") + 1)) & ((F.col("lvl") == 0) | F.col("nested") | F.col("next_nested"))
-    is_here = (F.col("ord") > 1) & ((F.col("lvl") == 0) | F.col("nested") | F.col("p_nested"))
-    rows = f.select("trace_id", "lvl", "path", F.explode(F.array(F.when(is_here, here), F.when(is_gone, gone))).alias("x")).filter("x is not null").select("trace_id", "lvl", "path", "x.*")
-    rows = rows.withColumn("same", F.expr(SAME))
-    words = lambda c: f"array_distinct(filter(split(lower({c}), '[ \\\\t-\\\\r]+'), x -> x <> ''))"
-    both = F.expr("kind = 'str' and p_kind = 'str' and not same and size > 5 and p_size > 5")  # what the rules on words ask for
-    rows = rows.withColumns({"w": F.when(both, F.expr(words("txt"))), "p_w": F.when(both, F.expr(words("p_txt")))})
-    return rows.withColumns({"shared_words": F.size(F.array_intersect("w", "p_w")), "all_words": F.size(F.array_union("w", "p_w")), "lost_keys": F.size(F.array_except("p_keys", "keys"))}).drop("w", "p_w", "keys", "p_keys")
+    """(trace_id, ord, step, ts, p_ts, n_before, either, rows) of each state that follows another: ``rows`` has a struct of PATH for each path of the two.
+
+    Its kind is null where the path is gone, p_kind where it is new. ``either``: one of them has opened objects; without such there are no rows
+    of lvl 1. States are dealt by trace to as many tasks as their number asks for, so that what a task sorts stays as it is.
+    """
+    seq = W.partitionBy("trace_id").orderBy("step")
+    s = s.repartition(max(s.sparkSession.sparkContext.defaultParallelism, -(-s.count() // ROWS)), "trace_id")
+    s = s.withColumns({"ord": F.row_number().over(seq), "p_ts": F.lag("ts").over(seq)})
+    s = _mapped(s, depth).withColumn("p", F.lag(F.struct("f", "nested")).over(seq)).filter("ord > 1").withColumn("either", F.expr("nested or p.nested"))
+    met = "filter(map_values(map_zip_with(p.f, f, (k, a, b) -> struct(a as a, b as b))), z -> coalesce(z.b.lvl, z.a.lvl) = 0 or either)"
+    sides = {n: f"z.b.{n}" for n in ("kind", "size", "num", "txt", "leaf")}
+    cols = {n: f"coalesce(z.b.{n}, z.a.{n})" for n in ("lvl", "path", "low")} | sides | {f"p_{n}": f"z.a.{n}" for n in sides} | {"repeats": "z.b.repeats", "lost_keys": "size(array_except(z.a.keys, z.b.keys))"}
+    rows = f"transform(transform({met}, z -> {_struct('z', (), **cols)}), r -> {_struct('r', PATH[:-1], same=_of('r', SAME))})"
+    return s.select("trace_id", "ord", "step", "ts", "p_ts", F.expr("size(filter(map_values(p.f), x -> x.lvl = 0))").alias("n_before"), "either", F.expr(rows).alias("rows"))
 
 
 def graph_signals(s: DataFrame, n: DataFrame | None = None) -> DataFrame:
     """(trace_id, step, key, kind) of graph states, and of failed nodes (trace_id, node_id, status, superstep, error, outputs) whose error speaks of a broken state."""
     rows = compared(s.drop("ts").withColumn("ts", F.lit(0.0)), 0)
-    harmless = reduce(lambda a, b: a | b, [F.col("path").startswith(p) for p in HARMLESS])
-    added = F.col("p_kind").isNull() & (F.col("n_before") >= 3) & ~harmless
-    fault = F.struct(F.col("path").alias("key"), F.expr(GRAPH_FAULT).alias("kind"))
-    g = rows.groupBy("trace_id", "step").agg(F.collect_list(F.when(fault["kind"].isNotNull(), fault)).alias("faults"), F.array_sort(F.collect_list(F.when(added, F.col("path")))).alias("new"))
+    faults = f"filter(transform(rows, r -> struct(r.path as key, {_of('r', GRAPH_FAULT)} as kind)), x -> x.kind is not null)"
+    harmless = " or ".join(f"startswith(r.path, '{p}')" for p in HARMLESS)
+    rows = rows.withColumns({"faults": F.expr(faults), "new": F.expr(f"case when n_before >= 3 then array_sort(transform(filter(rows, r -> r.p_kind is null and not ({harmless})), r -> r.path)) end")})
     more = F.when(F.size("new") >= 2, F.array(F.struct(F.array_join("new", ",").alias("key"), F.lit("field_injection").alias("kind"))))
-    out = g.select("trace_id", "step", F.explode(F.concat("faults", F.coalesce(more, F.array().cast("array<struct<key:string,kind:string>>")))).alias("x")).select("trace_id", "step", "x.key", "x.kind")
+    out = rows.select("trace_id", "step", F.explode(F.concat("faults", F.coalesce(more, F.array().cast("array<struct<key:string,kind:string>>")))).alias("x")).select("trace_id", "step", "x.key", "x.kind")
     if n is None:
         return out
     told = F.lower(F.concat(F.coalesce("error", F.lit("")), F.lit(" "), F.coalesce("outputs", F.lit(""))))
@@ -219,33 +260,43 @@ def issues(s: DataFrame, depth: int = DEPTH) -> DataFrame:
     ``field`` are in order. An issue that is not IMMUNE is left out if one of its fields is FAST by name, or was
     judged more than FAST_CHANGES times within WINDOW_S seconds; top-level truth values are never too fast.
     """
-    rows = compared(s, depth)
-    # Rows that no rule below asks for are left out before the rules are read; issues are one text, empty if there are none.
-    read_ = ("score", "grade", "start_date", "end_date", "min_value", "max_value", "age", "price", "percentage", "email", "url", "phone", "uuid")
-    rows = rows.filter(f"not coalesce(same, false) or not kind <=> p_kind or {_in('path', read_)} or {_in('lower(path)', STABLE)} or (lvl = 0 and kind = 'str' and size > 10)")
-    told = rows.withColumns({"found": F.expr(f"concat_ws(';', {both_rules('regexp_like')})"), "of_top": F.expr(f"concat_ws(';', {top_rules('regexp_like')})"), "same": F.expr("coalesce(same, false)"), "fast": F.expr(_holds("lower(path)", FAST))})
-    told = told.withColumns({"leaf": F.coalesce("leaf", F.lit(False)), "p_leaf": F.coalesce("p_leaf", F.lit(False))})
+    s = compared(s, depth)
+    # Paths that no rule below asks for are left out before the rules are read; issues are one text, empty if there are none.
+    ends = ("start_date", "end_date", "min_value", "max_value")
+    read_ = ("score", "grade", *ends, "age", "price", "percentage", "email", "url", "phone", "uuid")
+    asked = _of("r", f"not coalesce(same, false) or not kind <=> p_kind or {_in('path', read_)} or {_in('lower(path)', STABLE)} or (lvl = 0 and kind = 'str' and size > 10)")
+    words = "array_distinct(filter(split(lower({0}), '[ \\\\t-\\\\r]+'), x -> x <> ''))".format
+    # What the rules on words ask for.
+    both = _of("r", "kind = 'str' and p_kind = 'str' and not same and size > 5 and p_size > 5")
+    worded = f"transform(filter(rows, r -> {asked}), r -> {_struct('r', PATH, w=f'case when {both} then {words("r.txt")} end', p_w=f'case when {both} then {words("r.p_txt")} end')})"
+    counted = f"transform({worded}, r -> {_struct('r', PATH, shared_words='size(array_intersect(r.w, r.p_w))', all_words='size(array_union(r.w, r.p_w))')})"
+    kept_ = ("lvl", "path", "low", "kind", "p_kind", "size", "num", "txt")
+    told = {"leaf": "coalesce(r.leaf, false)", "p_leaf": "coalesce(r.p_leaf, false)", "same": "coalesce(r.same, false)", "fast": _of("r", _holds("lower(path)", FAST)), "found": _of("r", _both_found()), "of_top": _of("r", _top_found())}
+    s = s.withColumn("rows", F.expr(f"transform({counted}, r -> {_struct('r', kept_, **told)})"))
     # A top-level row stands for the leaves too, with what of its two values is a leaf.
-    told = told.withColumn("at", F.explode(F.expr("if(lvl = 1, array(1), if(either and (leaf or p_leaf) and not contains(path, '.'), array(0, 1), array(0)))"))) if depth else told.withColumn("at", F.lit(0))
-    below = (F.col("at") == 1) & (F.col("lvl") == 0)
-    kept_ = ~below | (F.col("leaf") & F.col("p_leaf"))
-    told = told.withColumns({
-        "kind": F.when(~below | F.col("leaf"), F.col("kind")), "p_kind": F.when(~below | F.col("p_leaf"), F.col("p_kind")), "same": F.col("same") & kept_,
-        "found": F.concat_ws(";", F.when(kept_, F.nullif("found", F.lit(""))), F.when(F.col("at") == 0, F.nullif("of_top", F.lit("")))), "lvl": F.col("at"),
-    })
-    told = told.withColumn("regressed", F.col("found").contains("status_regression:high"))
-    names = lambda c: F.array_sort(F.collect_list(F.when(F.expr(c), F.col("path"))))
-    last = lambda c, v: F.max(F.when(F.expr(c), F.col(v)))
+    top_ = f"transform(filter(rows, r -> r.lvl = 0), r -> {_struct('r', (*kept_, 'same', 'fast'), found="concat_ws(';', nullif(r.found, ''), nullif(r.of_top, ''))")})"
+    inner = {"kind": "if(r.lvl = 1 or r.leaf, r.kind, null)", "p_kind": "if(r.lvl = 1 or r.p_leaf, r.p_kind, null)", "size": "r.size", "num": "r.num", "txt": "r.txt", "same": "r.same and (r.lvl = 1 or (r.leaf and r.p_leaf))", "fast": "r.fast", "found": "if(r.lvl = 1 or (r.leaf and r.p_leaf), r.found, '')"}
+    below = f"transform(filter(rows, r -> r.lvl = 1 or ((r.leaf or r.p_leaf) and not contains(r.path, '.'))), r -> {_struct('r', ('lvl', 'path', 'low'), **inner)})"
+    levels = f"if(either, array(struct(0 as lvl, {top_} as rows), struct(1 as lvl, {below} as rows)), array(struct(0 as lvl, {top_} as rows)))" if depth else f"array(struct(0 as lvl, {top_} as rows))"
+    s = s.select("trace_id", "ord", "step", "ts", "p_ts", F.explode(F.expr(levels)).alias("x")).select("trace_id", "ord", "step", "ts", "p_ts", "x.lvl", "x.rows")
+    names = lambda c: F.expr(f"array_sort(transform(filter(rows, r -> {_of('r', c)}), r -> r.path))")
+    last = lambda c, v: F.expr(f"array_max(transform(filter(named, r -> {_of('r', c)}), r -> r.{v}))")
     common = "kind is not null and p_kind is not null"
     number = f"kind in {_ANY}"
-    pair = told.groupBy("trace_id", "ord", "step", "ts", "p_ts", "lvl").agg(
-        names("kind is null and not fast").alias("lost"), F.bool_or("regressed").alias("regressed"), names(f"{common} and kind = 'null' and p_kind <> 'null'").alias("nulled"),
-        names(f"{common} and {_in('lower(path)', IDENTITY)} and not same").alias("renamed"), F.count_if(F.expr(f"{common} and {_in('lower(path)', STABLE)} and same")).alias("stable"),
-        names("not fast and not same and (coalesce(kind, 'null') <> 'null' or coalesce(p_kind, 'null') <> 'null')").alias("changed"),
+    none = F.array().cast("array<string>")
+    s = s.withColumns({
+        "named": F.expr(f"filter(rows, r -> {_in('r.path', ('score', 'grade', *ends))})"), "regressed": F.expr("exists(rows, r -> contains(r.found, 'status_regression:high'))"),
+        # Too few paths for a rapid change have no list of them.
+        "rapid": (F.col("lvl") == 0) & (F.size("rows") > RAPID) & (F.size("rows") / F.greatest(F.col("ts") - F.col("p_ts"), F.lit(0.001)) > RATE),
+    })
+    pair = s.select(
+        "trace_id", "ord", "step", "ts", "p_ts", "lvl", names("kind is null and not fast").alias("lost"), "regressed", F.when(F.col("regressed"), names(f"{common} and kind = 'null' and p_kind <> 'null'")).alias("nulled"),
+        names(f"{common} and {_in('lower(path)', IDENTITY)} and not same").alias("renamed"), F.expr(f"exists(rows, r -> {_of('r', f'{common} and {_in("lower(path)", STABLE)} and same')})").alias("stable"),
+        F.when(F.col("rapid"), names("not fast and not same and (coalesce(kind, 'null') <> 'null' or coalesce(p_kind, 'null') <> 'null')")).otherwise(none).alias("changed"),
         last(f"path = 'score' and {number}", "num").alias("score"), last("path = 'grade' and kind = 'str'", "txt").alias("grade"),
-        *[last(f"path = '{p}' and {number}", "num").alias(f"n_{p}") for p in ("start_date", "end_date", "min_value", "max_value")], *[last(f"path = '{p}' and kind = 'str'", "txt").alias(f"t_{p}") for p in ("start_date", "end_date", "min_value", "max_value")],
-        F.array_sort(F.collect_list(F.when(F.expr("lvl = 0 and kind = 'str' and size > 10"), F.struct("path", "txt")))).alias("long"),
-        F.collect_list(F.expr("case when found <> '' then struct(found, path, kind = 'bool' and not contains(path, '.') as truth) end")).alias("single"),
+        *[last(f"path = '{p}' and {number}", "num").alias(f"n_{p}") for p in ends], *[last(f"path = '{p}' and kind = 'str'", "txt").alias(f"t_{p}") for p in ends],
+        F.expr("array_sort(transform(filter(rows, r -> r.lvl = 0 and r.kind = 'str' and r.size > 10), r -> struct(r.path as path, r.txt as txt)))").alias("long"),
+        F.expr("transform(filter(rows, r -> r.found <> ''), r -> struct(r.found as found, r.path as path, r.kind = 'bool' and not contains(r.path, '.') as truth))").alias("single"),
     )
     expected = F.expr("case upper(trim(grade)) " + " ".join(f"when '{g}' then not (score between {lo} and {hi})" for g, (lo, hi) in GRADES.items()) + " else false end")
     one = lambda name, severity, cond, list_: F.when(cond, F.array(F.struct(F.lit(f"{name}:{severity}").alias("x"), list_.alias("names")))).otherwise(F.array().cast("array<struct<x:string,names:array<string>>>"))
@@ -256,7 +307,7 @@ def issues(s: DataFrame, depth: int = DEPTH) -> DataFrame:
     copies = F.expr("flatten(transform(long, (a, i) -> transform(filter(slice(long, i + 2, size(long)), b -> b.txt = a.txt), b -> struct('suspicious_value_copy:low' as x, array(a.path, b.path) as names))))")
     more = F.concat(
         one("field_disappeared", "high", F.size("lost") >= 3, F.slice("lost", 1, 3)), one("cross_field_inconsistency", "high", F.coalesce(expected, F.lit(False)), fixed("score", "grade")),
-        one("identity_mutation", "high", (F.size("renamed") >= 2) & (F.col("stable") > 0), F.col("renamed")),
+        one("identity_mutation", "high", (F.size("renamed") >= 2) & F.col("stable"), F.col("renamed")),
         F.when(F.col("regressed"), F.expr("transform(nulled, n -> struct('regression_nullification:medium' as x, array(n) as names))")).otherwise(F.array().cast("array<struct<x:string,names:array<string>>>")),
         one("cross_field_inconsistency", "high", top & after("start_date", "end_date"), fixed("start_date", "end_date")), one("cross_field_inconsistency", "high", top & after("min_value", "max_value"), fixed("min_value", "max_value")),
         one("suspicious_rapid_changes", "medium", top & (rate > RATE) & (F.size("changed") > RAPID), F.slice("changed", 1, 5)), F.when(top, copies).otherwise(F.array().cast("array<struct<x:string,names:array<string>>>")),
@@ -267,10 +318,10 @@ def issues(s: DataFrame, depth: int = DEPTH) -> DataFrame:
     # How often a field was judged in the seconds before: those at one time count one after another.
     judged = found.withColumn("name", F.explode(F.when(F.col("immune"), F.array("field")).otherwise(F.col("names")))).withColumn("fast", F.expr(_holds("lower(name)", FAST)))
     judged = judged.withColumn("counted", F.expr("not immune and not fast and not truth"))
-    near = W.partitionBy("trace_id", "name", "counted").orderBy(F.round(F.col("ts") * 1000000).cast("long")).rangeBetween(int(-WINDOW_S * 1000000), 0)
-    peers = W.partitionBy("trace_id", "name", "counted", "ts")
-    nth = F.count("*").over(near) - F.count("*").over(peers) + F.row_number().over(peers.orderBy("ord", "lvl", "issue", "field"))
-    judged = judged.withColumn("quick", F.expr("not immune and fast") | (F.col("counted") & (nth > FAST_CHANGES)))
+    # It was judged more often if the judgement so many before it lies within the time; those without a time are at one time.
+    judged = judged.withColumn("us", F.coalesce(F.round(F.col("ts") * 1000000).cast("long"), F.lit(-(2**62))))
+    before = F.lag("us", FAST_CHANGES).over(W.partitionBy("trace_id", "name", "counted").orderBy("us", "ord", "lvl", "issue", "field"))
+    judged = judged.withColumn("quick", F.expr("not immune and fast") | (F.col("counted") & F.coalesce(before >= F.col("us") - int(WINDOW_S * 1000000), F.lit(False))))
     kept = judged.groupBy("trace_id", "ord", "step", "lvl", "pos", "issue", "severity", "field").agg(F.bool_or("quick").alias("quick"))
     return kept.filter("not quick").select("trace_id", "step", "issue", "severity", "field")
 

@@ -120,3 +120,24 @@ def test_issues_of_both_levels_come_twice(spark):
     a, b = {"x": 5, "e.f": 5, "o": {"y": 5}, "z": {"q": 1}}, {"x": -5, "e.f": -5, "o": {"y": -5}, "z": -1}
     found = sorted((r.issue, r.field) for r in x.issues(frame(spark, a, b)).collect())
     assert found == sorted([("sign_flip", "x")] * 2 + [("sign_flip", "e.f")] * 2 + [("sign_flip", "o.y"), ("type_drift", "z"), ("type_drift", "z")])
+
+
+def test_paths_meet_within_a_row(spark, monkeypatch):
+    """No window or aggregate sorts or gathers paths, and a task has a bounded number of states."""
+    s = frame(spark, *[{"x": i, "o": {"y": -i}} for i in range(9)])
+    plan = x.issues(s)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan and "RangeFrame" not in plan
+    assert not any("path" in line for line in plan.splitlines() if "Window [" in line)
+    monkeypatch.setattr(x, "ROWS", 1)
+    assert x.compared(s).rdd.getNumPartitions() == 9
+
+
+def test_names_with_dots_are_told_from_members(spark):
+    """A name with a dot and a member of the same path are two paths, each held against its own."""
+    a, b = {"a.b": 1, "a": {"b": 5, "c": {"d": 1}}, "a\u0000b": 2}, {"a.b": 1, "a": {"b": -5, "c": {"d": 1}}, "a\u0000b": 2}
+    assert [(r.issue, r.field) for r in x.issues(frame(spark, a, b)).collect()] == [("sign_flip", "a.b")]
+
+
+def test_judgements_without_a_time_are_at_one_time(spark):
+    df = frame(spark, *[{"x": 1 if i % 2 else 100} for i in range(16)]).selectExpr("trace_id", "step", "cast(null as double) as ts", "state")
+    assert sorted(r.step for r in x.issues(df).filter("issue = 'extreme_magnitude_change'").collect()) == list(range(1, 11))
